@@ -1,9 +1,9 @@
 """Collect the queries of all catalog modules."""
 
-from incidentlens.catalog import history
+from incidentlens.catalog import cleaning, evaluation, history, profiling, reports
 from incidentlens.catalog.base import full_sql
 
-MODULES = [history]
+MODULES = [profiling, cleaning, reports, history, evaluation]
 
 
 def all_queries():
