@@ -79,14 +79,16 @@ def full_sql(body: str, extra: dict | None = None) -> str:
     """Prefix a query with the incident views (and ``extra`` named parts) it uses."""
     parts = {**VIEWS, **(extra or {})}
     body = body.strip()
-    used, todo = [], [body]
-    while todo:
-        text = todo.pop()
+    ordered = []
+
+    def need(text):
         for name, sql in parts.items():
-            if name not in used and re.search(rf"\b{name}\b", text):
-                used.append(name)
-                todo.append(sql)
-    ctes = [f"{n} as ({parts[n].strip()})" for n in parts if n in used]
+            if name not in ordered and sql is not text and re.search(rf"\b{name}\b", text):
+                need(sql)
+                ordered.append(name)
+
+    need(body)
+    ctes = [f"{n} as ({parts[n].strip()})" for n in ordered]
     if not ctes:
         return body
     prefix = "with " + ",\n".join(ctes)

@@ -1,9 +1,9 @@
 """Collect the queries of all catalog modules."""
 
-from incidentlens.catalog import cleaning, evaluation, history, profiling, reports
+from incidentlens.catalog import cleaning, derivation, evaluation, history, profiling, reports
 from incidentlens.catalog.base import full_sql
 
-MODULES = [profiling, cleaning, reports, history, evaluation]
+MODULES = [profiling, cleaning, reports, history, derivation, evaluation]
 
 
 def all_queries():
