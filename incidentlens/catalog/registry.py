@@ -1,9 +1,10 @@
 """Collect the queries of all catalog modules."""
 
-from incidentlens.catalog import cleaning, derivation, evaluation, history, profiling, reports
+from incidentlens.catalog import (
+    cleaning, derivation, evaluation, explanation, history, learning, loading, profiling, reports)
 from incidentlens.catalog.base import full_sql
 
-MODULES = [profiling, cleaning, reports, history, derivation, evaluation]
+MODULES = [loading, profiling, cleaning, reports, history, derivation, learning, evaluation, explanation]
 
 
 def all_queries():

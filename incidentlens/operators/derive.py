@@ -8,12 +8,12 @@ rungs come from aggregates keyed by the distinct terms of the requests
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from incidentlens import fixed_values as fv
 from incidentlens.functions.cleaning import clean_text, map_implant_status, round_half, to_numeric
-from incidentlens.operators.aggregates import latest_month_of_year, latest_year, top_value_by_group
+from incidentlens.operators.aggregates import top_value_by_group
 from incidentlens.operators.matching import first_per_term, pattern_join, pattern_matches, search_terms
 from incidentlens.plans.materialize import materialize
 
@@ -80,6 +80,15 @@ def always(value, source):
     return F.struct(value.alias("value"), F.lit(source).alias("source"))
 
 
+def wide_tops(counts, key, prefix):
+    """One row per key: its most frequent event type and status, from ready counts ``n``."""
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("type", "status")])
+    long = counts.select(key, "n", F.explode(cells).alias("c")).select(key, "n", "c.field", "c.value")
+    top = top_value_by_group(long, [key, "field"], "value", weight="n")
+    return top.groupBy(key).agg(
+        *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"{prefix}{f}") for f in ("type", "status")])
+
+
 class History:
     """Pre-aggregates shared by the cascades; each is built on first use."""
 
@@ -93,13 +102,29 @@ class History:
     # --- events, reduced once -------------------------------------------------------
 
     @cached_property
-    def cube(self) -> DataFrame:
-        """Event counts per device, type and status; the only wide pass over events."""
-        return materialize(
-            self.events.groupBy("device_id", "type", "status").agg(
+    def _events_once(self):
+        """The only pass over events: the cube, and the years and months seen on the way."""
+        year, month = F.col("event_year"), F.col("event_month")
+        usable = year.between(fv.YEAR_MIN, fv.YEAR_MAX)
+        in_year = usable & month.between(fv.MONTH_MIN, fv.MONTH_MAX)
+        seen = Observation()
+        events = self.events.observe(
+            seen,
+            F.max(F.when(usable, year)).alias("latest_year"),
+            # At most twelve entries per year of the fixed range.
+            F.collect_set(F.when(in_year, year * 100 + month)).alias("months"),
+        )
+        cube = materialize(
+            events.groupBy("device_id", "type", "status").agg(
                 F.count("*").alias("n"),
                 F.min(F.when(F.col("country") != "", F.upper("country"))).alias("country"),
             ))
+        return cube, seen.get
+
+    @property
+    def cube(self) -> DataFrame:
+        """Event counts per device, type and status."""
+        return self._events_once[0]
 
     @cached_property
     def device_cube(self) -> DataFrame:
@@ -173,8 +198,7 @@ class History:
         names = self.devices.filter("name is not null").groupBy(F.lower("name").alias("name"), "manufacturer_id").agg(
             F.min("id").alias("id"))
         found = pattern_matches(search_terms((self.asks, "dterm")), names, "name", "id")
-        per_maker = materialize(
-            found.groupBy(F.col("term").alias("dterm"), "manufacturer_id").agg(F.min("id").alias("id")))
+        per_maker = found.groupBy(F.col("term").alias("dterm"), "manufacturer_id").agg(F.min("id").alias("id"))
         scoped = (
             pairs.join(self.maker_hits.select("mterm", "manufacturer_id"), "mterm")
             .join(per_maker, ["dterm", "manufacturer_id"])
@@ -198,17 +222,15 @@ class History:
         own = self.devices.select(
             F.col("id").alias("device_id"), F.col("risk_class").alias("d_risk_class"), F.col("country").alias("d_country"),
             F.col("quantity_in_commerce").alias("d_quantity"))
-        return self._matches.join(own, "device_id")
+        return self._matches.join(own, "device_id").drop("device_id")
 
     @cached_property
     def device_events(self) -> DataFrame:
         """(mterm, dterm) -> the matched device's event count and most frequent type and status."""
         ids = self._matches.select("device_id").distinct()
         own = self.cube.join(ids, "device_id", "left_semi")
-        total = own.groupBy("device_id").agg(F.sum("n").alias("d_events"))
-        for f in ("type", "status"):
-            top = top_value_by_group(own, "device_id", f, weight="n")
-            total = total.join(top.select("device_id", F.col(f).alias(f"d_{f}")), "device_id", "left")
+        total = own.groupBy("device_id").agg(F.sum("n").alias("d_events")).join(
+            wide_tops(own, "device_id", "d_"), "device_id", "left")
         return self._matches.join(total, "device_id").drop("device_id")
 
     # --- device classes -------------------------------------------------------------
@@ -252,13 +274,7 @@ class History:
         """One row per class term: events of its first 200 devices (also 0), top type and status."""
         own = self.class_devices.join(self.cube, "device_id", "left")
         total = own.groupBy("cterm").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("c_events"))
-        cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("type", "status")])
-        tops = top_value_by_group(
-            own.select("cterm", "n", F.explode(cells).alias("c")).select("cterm", "c.field", "c.value", "n"),
-            ["cterm", "field"], "value", weight="n")
-        wide = tops.groupBy("cterm").agg(
-            *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"c_{f}") for f in ("type", "status")])
-        return total.join(wide, "cterm", "left")
+        return total.join(wide_tops(own, "cterm", "c_"), "cterm", "left")
 
     @cached_property
     def maker_class_events(self) -> DataFrame:
@@ -277,13 +293,25 @@ class History:
         top = top_value_by_group(self.devices.filter("risk_class is not null"), "risk_class", "classification")
         return top.select(F.col("risk_class").alias("u_risk_class"), F.col("classification").alias("r_classification"))
 
-    def first_known(self, col):
+    @cached_property
+    def _first_known(self) -> dict:
+        def lowest(col):
+            return F.min_by(col, F.when(F.col(col).isNotNull(), F.col("id"))).alias(col)
+
+        return self.devices.agg(lowest("classification"), lowest("risk_class")).first().asDict()
+
+    def first_known(self, col, default):
         """The value of the lowest device id that has one."""
-        return self.devices.filter(F.col(col).isNotNull()).agg(F.min_by(col, "id")).scalar()
+        value = self._first_known[col]
+        return F.lit(default if value is None else value)
 
-    def global_top(self, col):
-        counts = self.cube.filter(F.col(col).isNotNull()).groupBy(col).agg(F.sum("n").alias("n"))
-        return counts.agg(F.min_by(col, F.struct(-F.col("n"), F.col(col)))).scalar()
+    @cached_property
+    def _global_tops(self) -> dict:
+        return wide_tops(self.cube.withColumn("all", F.lit(1)), "all", "").first()
+
+    def global_top(self, col, default):
+        top = self._global_tops
+        return F.lit(default if top is None or top[col] is None else top[col])
 
     @cached_property
     def country_by_type(self) -> DataFrame:
@@ -299,7 +327,7 @@ class History:
             text_rung(F.col("u_classification"), fv.SRC_USER_SELECTION),
             text_rung(F.col("m_classification"), fv.SRC_HISTORY),
             text_rung(F.col("r_classification"), fv.SRC_HISTORY),
-            always(F.coalesce(self.first_known("classification"), F.lit(fv.DEFAULT_CLASSIFICATION)), fv.SRC_CATALOG),
+            always(self.first_known("classification", fv.DEFAULT_CLASSIFICATION), fv.SRC_CATALOG),
         )
         return (
             r.join(tops, "mterm", "left")
@@ -314,7 +342,7 @@ class History:
             text_rung(F.col("d_risk_class"), fv.SRC_DEVICE),
             text_rung(F.col("m_risk_class"), fv.SRC_HISTORY),
             text_rung(F.col("c_risk_class"), fv.SRC_HISTORY),
-            always(F.coalesce(self.first_known("risk_class"), F.lit(fv.DEFAULT_RISK_CLASS)), fv.SRC_CATALOG),
+            always(self.first_known("risk_class", fv.DEFAULT_RISK_CLASS), fv.SRC_CATALOG),
         )
 
     def of_events(self, field, default):
@@ -324,7 +352,7 @@ class History:
             text_rung(F.col(f"d_{field}"), fv.SRC_DEVICE),
             text_rung(F.col(f"m_{field}"), fv.SRC_HISTORY),
             text_rung(F.col(f"c_{field}"), fv.SRC_HISTORY),
-            always(F.coalesce(self.global_top(field), F.lit(default)), fv.SRC_CATALOG),
+            always(self.global_top(field, default), fv.SRC_CATALOG),
         )
 
     @staticmethod
@@ -375,21 +403,40 @@ class History:
         )
 
     def event_year(self):
-        latest = latest_year(self.events).scalar()
+        latest = self._events_once[1]["latest_year"]
         return F.coalesce(
             rung(F.col("u_event_year").isNotNull(), F.col("u_event_year"), fv.SRC_USER_SELECTION),
-            always(latest, fv.SRC_EVENT_RECORD),
+            always(F.lit(fv.DEFAULT_YEAR if latest is None else latest), fv.SRC_EVENT_RECORD),
         )
 
     def event_month(self, year):
-        """``year`` is the resolved year; the lookup holds one entry per usable year."""
-        months = latest_month_of_year(self.events.filter(F.col("event_year").between(fv.YEAR_MIN, fv.YEAR_MAX)))
-        lookup = months.agg(F.map_from_entries(F.collect_list(F.struct("event_year", "latest_month")))).scalar()
+        """The highest month of the resolved ``year``."""
+        latest = F.lit(fv.DEFAULT_MONTH)
+        last = {code // 100: code % 100 for code in sorted(self._events_once[1]["months"])}
+        if last:
+            lookup = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+            latest = F.coalesce(F.try_element_at(lookup, year), latest)
         return F.coalesce(
             rung(F.col("u_event_month").isNotNull(), F.col("u_event_month"), fv.SRC_USER_SELECTION),
-            always(F.coalesce(F.try_element_at(lookup, year), F.lit(fv.DEFAULT_MONTH)), fv.SRC_EVENT_RECORD),
+            always(latest, fv.SRC_EVENT_RECORD),
         )
 
+    # --- one written row per key, for jobs that need all cascades ----------------------
+
+    @cached_property
+    def maker_profile(self) -> DataFrame:
+        tops = self.maker_tops("classification", "risk_class", "type", "status")
+        return materialize(
+            self.maker_stock.join(self.maker_events, "mterm", "left").join(tops, "mterm", "left"))
+
+    @cached_property
+    def device_profile(self) -> DataFrame:
+        return materialize(self.device_facts.join(self.device_events, ["mterm", "dterm"], "left"))
+
+    @cached_property
+    def class_profile(self) -> DataFrame:
+        return materialize(self.class_stock.join(self.class_events, "cterm", "left"))
+
 
 def history_for(requests: DataFrame, m: DataFrame, d: DataFrame, e: DataFrame) -> History:
     return History(request_asks(requests), m, d, e)
@@ -531,13 +578,9 @@ def derive_features(requests: DataFrame, m: DataFrame, d: DataFrame, e: DataFram
     """Every request with its 13 features, their provenance and its validation errors."""
     h = history_for(requests, m, d, e)
     r = (
-        h.with_classification(h.asks, h.maker_tops("classification", "risk_class", "type", "status"))
-        .join(h.maker_stock, "mterm", "left")
-        .join(h.maker_events, "mterm", "left")
-        .join(h.device_facts.drop("device_id"), ["mterm", "dterm"], "left")
-        .join(h.device_events, ["mterm", "dterm"], "left")
-        .join(h.class_stock, "cterm", "left")
-        .join(h.class_events, "cterm", "left")
+        h.with_classification(h.asks, h.maker_profile)
+        .join(h.device_profile, ["mterm", "dterm"], "left")
+        .join(h.class_profile, "cterm", "left")
         .join(h.maker_class_events, ["mterm", "cterm"], "left")
         .withColumn("type", h.of_events("type", fv.DEFAULT_TYPE))
         .withColumn("tterm", F.lower("type.value"))

@@ -11,7 +11,7 @@ piece and are then checked against the whole pattern.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from incidentlens.plans.materialize import fits_broadcast, materialize
+from incidentlens.plans.materialize import fits_broadcast, materialize, size_metrics
 
 SALTS = 32
 _ANY = "\u0000"  # marks the key of terms that consist of wildcards only
@@ -55,18 +55,21 @@ def pattern_matches(terms: DataFrame, names: DataFrame, name: str, salt_on: str)
     names never shuffle; otherwise both sides shuffle on the key, with the names of a
     hot key spread over ``SALTS`` tasks by ``salt_on``.
     """
-    needles = materialize(_needles(terms))
     plain = ~F.col("needle").startswith(_ANY)
-    lengths = needles.agg(F.collect_set(F.when(plain, F.length("needle")))).scalar()
-    floors = needles.agg(F.collect_set(F.when(~plain, F.substring("needle", 2, 9).cast("int")))).scalar()
-    low = F.lower(F.col(name))
+    needles, seen = materialize(
+        _needles(terms),
+        lengths=F.collect_set(F.when(plain, F.length("needle"))),
+        floors=F.collect_set(F.when(~plain, F.substring("needle", 2, 9).cast("int"))),
+        **size_metrics("term", "needle"),
+    )
+    # Both lists are bounded by the longest stored name.
+    lengths, floors = (F.lit(sorted(seen[k])).cast("array<int>") for k in ("lengths", "floors"))
     keyed = (
         names.filter(F.col(name).isNotNull())
-        .withColumns({"_low": low, "_lengths": lengths, "_floors": floors})
-        .withColumn("needle", F.explode(_keys_of(F.col("_low"), F.col("_lengths"), F.col("_floors"))))
-        .drop("_lengths", "_floors")
+        .withColumn("_low", F.lower(F.col(name)))
+        .withColumn("needle", F.explode(_keys_of(F.col("_low"), lengths, floors)))
     )
-    if fits_broadcast(needles, ["term", "needle"]):
+    if fits_broadcast(seen):
         hits = keyed.join(F.broadcast(needles), "needle")
     else:
         salted = needles.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

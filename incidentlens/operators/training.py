@@ -1,11 +1,255 @@
 """Split, weighting, encoding, boosted trees and calibration with Spark ML."""
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from incidentlens import fixed_values as fv
 from incidentlens.functions.cleaning import risk_target_v1, risk_target_v2
+from incidentlens.operators.aggregates import top_value_by_group
+from incidentlens.operators.ordering import exact_quantiles, hash_cut, hash_key
+from incidentlens.plans.materialize import shared_dir
+
+# Columns with more categories than this become one category-valued input instead of one input each.
+ONEHOT_LIMIT = 64
+# Categories kept per column; rarer ones are encoded like unseen ones.
+MAX_CATEGORIES = 32768
 
 
 def labelled(e: DataFrame, version: str = "v2") -> DataFrame:
     rule = {"v1": risk_target_v1, "v2": risk_target_v2}[version]
     return e.withColumn("target", rule(F.col("action_classification")))
+
+
+# --- imputation -----------------------------------------------------------------------
+
+
+def _cells(train, cols, kind):
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in cols])
+    return train.select(F.explode(cells).alias("c")).select("c.*").filter("value is not null")
+
+
+def impute_mode(train: DataFrame, cols=tuple(fv.CATEGORICAL)) -> DataFrame:
+    """Most frequent value per column; ties go to the smaller value."""
+    return top_value_by_group(_cells(train, cols, "string"), "column", "value").select("column", "value")
+
+
+def impute_median(train: DataFrame, cols=tuple(fv.NUMERICAL)) -> DataFrame:
+    """Exact interpolated median per column."""
+    return exact_quantiles(_cells(train, cols, "double"), "value", [0.5], group="column").select("column", "value")
+
+
+# --- split, folds, weights ------------------------------------------------------------
+
+
+def stratified_split(df: DataFrame, label: str = "target", frac: float = 0.2, seed: int = 42,
+                     id_col: str = "id") -> DataFrame:
+    """``is_test`` for exactly round(frac * n) rows of each class, drawn by the hash of the id.
+
+    The row that ends the test part is found per class; after that every row is
+    compared with it, so the data itself is neither sorted nor shuffled.
+    """
+    cuts = hash_cut(df, label, 1, lambda n, i: F.round(n * F.lit(frac)).cast("bigint"), id_col, seed)
+    return (
+        df.join(F.broadcast(cuts), label, "left")
+        .withColumn("is_test", F.coalesce(hash_key(id_col, seed) <= F.col("cut_1"), F.lit(False)))
+        .drop("cut_1")
+    )
+
+
+def kfold_stratified(df: DataFrame, label: str = "target", k: int = 3, seed: int = 42, id_col: str = "id") -> DataFrame:
+    """``fold`` 0..k-1, each with an equal share (the first folds one more) of every class."""
+    def end(n, i):
+        return (F.floor(n / k) * i + F.least(n % k, F.lit(i))).cast("bigint")
+
+    cuts = hash_cut(df, label, k - 1, end, id_col, seed)
+    key = hash_key(id_col, seed)
+    passed = sum(
+        (F.when(key > F.col(f"cut_{i}"), 1).otherwise(0) for i in range(1, k)), F.lit(0))
+    return (
+        df.join(F.broadcast(cuts), label, "left").withColumn("fold", passed)
+        .drop(*[f"cut_{i}" for i in range(1, k)])
+    )
+
+
+class NoPositives(ValueError):
+    """The training part holds no row of the positive class."""
+
+
+def class_weight(df: DataFrame, label: str = "target") -> DataFrame:
+    """One row: class sizes and negatives per positive (NULL without positives)."""
+    pos, neg = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
+    return df.agg(pos.alias("positives"), neg.alias("negatives")).withColumn(
+        "scale_pos_weight", F.when(F.col("positives") > 0, F.col("negatives") / F.nullif("positives", F.lit(0))))
+
+
+def weighted(df: DataFrame, label: str = "target") -> DataFrame:
+    sizes = class_weight(df, label).first()
+    if not sizes["positives"]:
+        raise NoPositives("the positive class is absent from the training part")
+    return df.withColumn(
+        "weight", F.when(F.col(label) == 1, F.lit(float(sizes["scale_pos_weight"]))).otherwise(F.lit(1.0)))
+
+
+# --- encoding -------------------------------------------------------------------------
+
+
+def frequent_categories(train: DataFrame, cols=tuple(fv.CATEGORICAL), limit: int = MAX_CATEGORIES) -> dict:
+    """The most frequent categories of each column, at most ``limit`` of them."""
+    counts = _cells(train, cols, "string").groupBy("column", "value").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+    kept = counts.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= limit)
+    out = {c: [] for c in cols}
+    for row in kept.orderBy("column", "_rn").collect():
+        out[row["column"]].append(row["value"])
+    return {c: values or ["Unknown"] for c, values in out.items()}
+
+
+def onehot_ignore_unknown(cols, categories: dict, prefix: str = "") -> list:
+    """Indexer and one-hot stages; unseen categories give all zeros (theirs is the dropped slot)."""
+    stages = [
+        StringIndexerModel.from_labels(
+            categories[c], inputCol=c, outputCol=f"{prefix}{c}_index", handleInvalid="keep")
+        for c in cols]
+    onehot = [c for c in cols if len(categories[c]) <= ONEHOT_LIMIT]
+    if onehot:
+        stages.append(OneHotEncoder(
+            inputCols=[f"{prefix}{c}_index" for c in onehot], outputCols=[f"{prefix}{c}_slots" for c in onehot],
+            dropLast=True))
+    return stages
+
+
+def encoded_columns(categories: dict, prefix: str = "") -> list:
+    """(feature, assembled column, slots) in model order."""
+    out = []
+    for c in fv.CATEGORICAL:
+        if len(categories[c]) <= ONEHOT_LIMIT:
+            out.append((c, f"{prefix}{c}_slots", len(categories[c])))
+        else:
+            out.append((c, f"{prefix}{c}_index", 1))
+    return out + [(c, c, 1) for c in fv.NUMERICAL]
+
+
+def _imputer(train):
+    """A stage that fills gaps with the training part's modes and medians (13 literals)."""
+    modes = {r["column"]: r["value"] for r in impute_mode(train).collect()}
+    medians = {r["column"]: r["value"] for r in impute_median(train).collect()}
+    filled = []
+    for c in fv.CATEGORICAL:
+        text = modes.get(c, "Unknown").replace("\\", "\\\\").replace("'", "\\'")
+        filled.append(f"coalesce({c}, '{text}') as {c}")
+    for c in fv.NUMERICAL:
+        filled.append(f"coalesce(cast({c} as double), {float(medians.get(c, 0.0))!r}D) as {c}")
+    return SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(fv.FEATURES)}), {', '.join(filled)} FROM __THIS__")
+
+
+# --- boosted trees --------------------------------------------------------------------
+
+
+def train_gbt(df: DataFrame, rounds: int = 300, label: str = "target", seed: int = 42) -> PipelineModel:
+    """Impute, encode and boost; all statistics come from ``df`` alone."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    train = weighted(df.select("id", label, *fv.FEATURES), label).persist()
+    try:
+        categories = frequent_categories(train)
+        parts = encoded_columns(categories)
+        arity = max([len(v) + 1 for c, v in categories.items() if len(v) > ONEHOT_LIMIT], default=0)
+        booster = GBTClassifier(
+            featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds, stepSize=0.03, maxDepth=4,
+            subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=2, maxBins=max(32, arity),
+            checkpointInterval=10, seed=seed)
+        stages = [
+            _imputer(train),
+            *onehot_ignore_unknown(fv.CATEGORICAL, categories),
+            VectorAssembler(inputCols=[c for _, c, _ in parts], outputCol="features"),
+            booster,
+        ]
+        return Pipeline(stages=stages).fit(train)
+    finally:
+        train.unpersist()
+
+
+def score(model, df: DataFrame) -> DataFrame:
+    """Adds ``prediction`` (int) and ``probability`` of the positive class."""
+    if isinstance(model, CalibratedModel):
+        return model.transform(df)
+    out = model.transform(df)
+    keep = [c for c in df.columns if c not in ("prediction", "probability")]
+    return out.select(
+        *keep, F.col("prediction").cast("int").alias("prediction"),
+        vector_to_array("probability")[1].alias("probability"))
+
+
+class CalibratedModel:
+    """Mean of the sigmoid-calibrated probabilities of several boosted models."""
+
+    def __init__(self, bases, sigmoids):
+        self.bases = bases
+        self.sigmoids = sigmoids  # (slope, intercept) per base
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = df.drop("prediction", "probability")
+        keep = out.columns
+        for i, model in enumerate(self.bases):
+            out = model.transform(out.select(*keep, *[f"_p{j}" for j in range(i)])).withColumn(
+                f"_p{i}", vector_to_array("probability")[1])
+            out = out.select(*keep, *[f"_p{j}" for j in range(i + 1)])
+        parts = [1 / (1 + F.exp(-(F.lit(a) * F.col(f"_p{i}") + F.lit(b)))) for i, (a, b) in enumerate(self.sigmoids)]
+        mean = sum(parts[1:], parts[0]) / len(parts)
+        return out.select(*keep, mean.alias("probability")).select(
+            *keep, (F.col("probability") > 0.5).cast("int").alias("prediction"), "probability")
+
+    def save(self, path: str) -> None:
+        for i, model in enumerate(self.bases):
+            model.write().overwrite().save(f"{path}/base_{i}")
+        _session().createDataFrame([(json.dumps(self.sigmoids),)], "sigmoids string").coalesce(1).write.mode(
+            "overwrite").text(f"{path}/sigmoids")
+
+    @classmethod
+    def load(cls, path: str) -> "CalibratedModel":
+        sigmoids = [tuple(s) for s in json.loads(_session().read.text(f"{path}/sigmoids").first()[0])]
+        return cls([PipelineModel.load(f"{path}/base_{i}") for i in range(len(sigmoids))], sigmoids)
+
+
+def _session():
+    return SparkSession.getActiveSession()
+
+
+def fit_sigmoid(scored: DataFrame, label: str = "target") -> tuple:
+    """Platt scaling of ``probability`` with smoothed targets.
+
+    A target t is expressed as two weighted copies of a row: label 1 with weight t, label 0 with 1 - t.
+    """
+    sizes = scored.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
+    high, low = (sizes["p"] + 1.0) / (sizes["p"] + 2.0), 1.0 / (sizes["n"] + 2.0)
+    t = F.when(F.col(label) == 1, F.lit(high)).otherwise(F.lit(low))
+    copies = scored.select(F.col("probability").alias("p"), t.alias("t")).select(
+        "p",
+        F.explode(F.array(F.struct(F.lit(1.0).alias("y"), F.col("t").alias("w")),
+                          F.struct(F.lit(0.0).alias("y"), (1 - F.col("t")).alias("w")))).alias("c"),
+    ).select("p", "c.y", "c.w")
+    rows = VectorAssembler(inputCols=["p"], outputCol="x").transform(copies)
+    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=0.0).fit(rows)
+    return float(fitted.coefficients[0]), float(fitted.intercept)
+
+
+def calibrate_sigmoid(df: DataFrame, k: int = 3, rounds: int = 300, label: str = "target", seed: int = 42) -> CalibratedModel:
+    """Per fold: boost on the other folds, calibrate on the fold itself."""
+    folded = kfold_stratified(df, label, k, seed).persist()
+    try:
+        bases, sigmoids = [], []
+        for i in range(k):
+            model = train_gbt(folded.filter(F.col("fold") != i), rounds, label, seed)
+            held = score(model, folded.filter(F.col("fold") == i)).select(label, "probability")
+            bases.append(model)
+            sigmoids.append(fit_sigmoid(held, label))
+        return CalibratedModel(bases, sigmoids)
+    finally:
+        folded.unpersist()

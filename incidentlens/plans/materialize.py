@@ -7,7 +7,7 @@ so that the joins after it are planned on facts.
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Upper bounds of a table we broadcast ourselves.
@@ -30,15 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, **metrics):
+    """Write ``df`` and return the written table.
+
+    With ``metrics`` (bounded aggregates over its rows) also their values, taken during the
+    write itself: ``(table, values)``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/incidentlens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation() if metrics else None
+    out = df.observe(seen, *[c.alias(n) for n, c in metrics.items()]) if metrics else df
+    out.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    return (table, seen.get) if metrics else table
 
 
-def fits_broadcast(written: DataFrame, text_columns) -> bool:
-    """Check the real size of a written table against the broadcast bounds."""
+def size_metrics(*text_columns) -> dict:
+    """Metrics for ``fits_broadcast``: rows and bytes of text."""
     length = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text_columns), F.lit(0))
-    row = written.agg(F.count("*").alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("b")).first()
-    return row["n"] <= BROADCAST_ROWS and row["b"] <= BROADCAST_BYTES
+    return {"rows": F.count(F.lit(1)), "bytes": F.coalesce(F.sum(length), F.lit(0))}
+
+
+def fits_broadcast(sizes: dict) -> bool:
+    """Check the real size of a written table against the broadcast bounds."""
+    return sizes["rows"] <= BROADCAST_ROWS and sizes["bytes"] <= BROADCAST_BYTES

@@ -12,12 +12,18 @@ class IncidentTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._raw, self._sizes = {}, {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._raw[name]
 
     def _size(self, name: str):
-        return self.raw(name).agg(F.count("*")).scalar()
+        """Row count from the file footers."""
+        if name not in self._sizes:
+            self._sizes[name] = self.raw(name).count()
+        return F.lit(self._sizes[name])
 
     @cached_property
     def manufacturers(self) -> DataFrame:
