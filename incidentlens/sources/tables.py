@@ -8,6 +8,7 @@ from incidentlens import fixed_values as fv
 from incidentlens import schemas
 from incidentlens.functions.cleaning import strip, to_numeric
 from incidentlens.functions.frames import event_year_month, nested_json
+from incidentlens.plans.materialize import materialize
 
 
 def read_table(spark: SparkSession, path: str, name: str, columns=None, on_bad="keep", multi_line=True,
@@ -105,7 +106,8 @@ def load(spark: SparkSession, csv_path: str, table_path: str, name: str, if_stal
     is merged with cannot be overwritten while it is read.
     """
     rows = read_table(spark, csv_path, name, with_seq=True, **read_options)
-    rows = dedupe(normalize(rows, name)).drop("seq")
+    # Written once, so that counting and loading do not parse the text twice.
+    rows = materialize(dedupe(normalize(rows, name)).drop("seq"))
     exists = _table_exists(spark, table_path)
     if exists:
         old = spark.read.parquet(table_path)
