@@ -75,8 +75,8 @@ def _flat_factors(t):
 
 
 def _bands(t):
-    rows = ops.rule_attributions(scored_features(t)).select("id", F.explode("contributions").alias("c"))
-    return rows.select("id", "c.feature", ops.impact_band(F.col("c.impact")).alias("band"))
+    rows = ops.contribution_rows(ops.rule_attributions(scored_features(t)), "id")
+    return rows.select("id", "feature", ops.impact_band(F.col("impact")).alias("band"))
 
 
 def _descriptions(t):
@@ -131,8 +131,7 @@ LEVEL = f"case when {HIGH} then 'HIGH' else 'LOW' end"
 PERCENT = "cast(round(cast(probability * 100 as decimal(38,8)), 2) as double)"
 
 QUERIES = {
-    "rule_attributions": lambda t: ops.rule_attributions(scored_features(t)).select(
-        "id", F.explode("contributions").alias("c")).select("id", "c.feature", "c.impact"),
+    "rule_attributions": lambda t: ops.contribution_rows(ops.rule_attributions(scored_features(t)), "id"),
     "top_risk_factors": _flat_factors,
     "impact_band": _bands,
     "factor_description": _descriptions,

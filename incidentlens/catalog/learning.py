@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from incidentlens.catalog.cleaning import EXTRA as TRAINING
 from incidentlens.operators import attributions, metrics
 from incidentlens.operators import training as ops
+from incidentlens.operators.explain import contribution_rows
 from incidentlens.plans.assess import assess
 from incidentlens.plans.materialize import materialize, shared_dir
 from incidentlens.plans.training_frame import training_frame
@@ -17,12 +18,13 @@ _fitted = {}
 
 
 def _frame(t):
-    return training_frame(t.events, t.devices, t.manufacturers, "v2")
+    """The training table, written once: split, folds and medians each read it more than once."""
+    return materialize(training_frame(t.events, t.devices, t.manufacturers, "v2"))
 
 
 def _parts(t):
     """(train, test) of the written training frame."""
-    split = materialize(ops.stratified_split(_frame(t)))
+    split = ops.stratified_split(_frame(t))
     return split.filter("not is_test").drop("is_test"), split.filter("is_test").drop("is_test")
 
 
@@ -80,7 +82,7 @@ def _load_model(t):
 def _attributions(t):
     model, test = _boosted(t)
     rows = attributions.tree_attributions(model, test)
-    return rows.select("id", "base", F.explode("contributions").alias("c")).select("id", "base", "c.*")
+    return contribution_rows(rows, "id", "base")
 
 
 def _assess(t):

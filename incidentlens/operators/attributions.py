@@ -152,7 +152,7 @@ def slot_attributions(model: PipelineModel, df: DataFrame, id_col: str = "id") -
 
 
 def tree_attributions(model, df: DataFrame, id_col: str = "id") -> DataFrame:
-    """``df`` with ``base`` and ``contributions`` (the 13 features in label order).
+    """``df`` with ``base`` and ``contributions``, a struct of the 13 features in label order.
 
     Contributions of a calibrated model are those of its base models, averaged.
     Only the input arrays travel to Python; all other columns stay in the JVM.
@@ -172,8 +172,7 @@ def tree_attributions(model, df: DataFrame, id_col: str = "id") -> DataFrame:
             *out.columns, f"_x{i}")
     out = out.withColumn(
         "_impacts", _impacts(df.sparkSession, tables, len(features))(*[F.col(f"_x{i}") for i in range(len(models))]))
-    pairs = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col("_impacts")[i].alias("impact")) for i, f in enumerate(features)])
+    named = F.struct(*[F.col("_impacts")[i].alias(f) for i, f in enumerate(features)])
     return out.select(
         *[F.col(f"_kept_{c}").alias(c) if c in ("prediction", "probability") else c for c in keep],
-        F.lit(sum(bases) / len(bases)).alias("base"), pairs.alias("contributions"))
+        F.lit(sum(bases) / len(bases)).alias("base"), named.alias("contributions"))

@@ -8,7 +8,7 @@ from incidentlens.functions.cleaning import round_half
 
 
 def rule_attributions(df: DataFrame) -> DataFrame:
-    """``contributions``: a fixed weight per feature by simple thresholds, in rule order."""
+    """``contributions``: a struct with a fixed weight per feature by simple thresholds, in rule order."""
     def pick(test, yes, no):
         return F.when(F.coalesce(test, F.lit(False)), F.lit(yes)).otherwise(F.lit(no))
 
@@ -29,8 +29,16 @@ def rule_attributions(df: DataFrame) -> DataFrame:
         "event_year": F.lit(0.01),
         "event_month": F.lit(0.01),
     }
-    return df.withColumn("contributions", F.array(*[
-        F.struct(F.lit(f).alias("feature"), weights[f].cast("double").alias("impact")) for f in fv.RULE_ORDER]))
+    return df.withColumn("contributions", F.struct(*[
+        weights[f].cast("double").alias(f) for f in fv.RULE_ORDER]))
+
+
+def contribution_rows(df: DataFrame, *keep) -> DataFrame:
+    """``contributions`` as one row per feature."""
+    order = df.schema["contributions"].dataType.fieldNames()
+    cells = F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f"contributions.{f}").alias("impact")) for f in order])
+    return df.select(*keep, F.explode(cells).alias("c")).select(*keep, "c.*")
 
 
 def impact_band(c: Column) -> Column:
@@ -41,25 +49,38 @@ def impact_band(c: Column) -> Column:
     )
 
 
-def _lookup(names: dict, key: Column) -> Column:
-    pairs = [F.lit(x) for kv in names.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
-
-
-def _filled_in(texts: dict, other: str, f: Column, v: Column) -> Column:
-    template = F.coalesce(_lookup(texts, f), F.lit(other))
-    return F.replace(template, F.lit("{}"), F.coalesce(v, F.lit("None")))
+def _pick(names: dict, key: Column, other: Column) -> Column:
+    out = other
+    for name, text in names.items():
+        out = F.when(key == name, F.lit(text)).otherwise(out)
+    return out
 
 
 def factor_description(f: Column, v: Column, band: Column) -> Column:
     """Text for a feature, its value as text, and its band."""
     units = F.format_number(v.try_cast("double"), 0)
-    shown = F.when(f == "quantity_in_commerce", units).otherwise(v)
-    neutral = F.replace(F.lit(fv.NEUTRAL_TEXT), F.lit("{}"), F.coalesce(_lookup(fv.EXPLANATION_LABELS, f), f))
+    shown = F.when((f == "quantity_in_commerce") & (band == fv.ELEVATED), units).otherwise(v)
+    template = (
+        F.when(band == fv.ELEVATED, _pick(fv.ELEVATED_TEXT, f, F.lit(fv.ELEVATED_OTHER)))
+        .when(band == fv.REDUCED, _pick(fv.REDUCED_TEXT, f, F.lit(fv.REDUCED_OTHER)))
+        .otherwise(F.lit(fv.NEUTRAL_TEXT)))
+    part = F.when(band == fv.NEUTRAL, _pick(fv.EXPLANATION_LABELS, f, f)).otherwise(F.coalesce(shown, F.lit("None")))
+    return F.replace(template, F.lit("{}"), part)
+
+
+def _described(f: str, v: Column, band: Column) -> Column:
+    """The same text for a feature known by name: only its own templates are built."""
+    def filled(template, value):
+        if "{}" not in template:
+            return F.lit(template)
+        head, tail = template.split("{}")
+        return F.concat(F.lit(head), F.coalesce(value, F.lit("None")), F.lit(tail))
+
+    shown = F.format_number(v.try_cast("double"), 0) if f == "quantity_in_commerce" else v
     return (
-        F.when(band == fv.ELEVATED, _filled_in(fv.ELEVATED_TEXT, fv.ELEVATED_OTHER, f, shown))
-        .when(band == fv.REDUCED, _filled_in(fv.REDUCED_TEXT, fv.REDUCED_OTHER, f, v))
-        .otherwise(neutral)
+        F.when(band == fv.ELEVATED, filled(fv.ELEVATED_TEXT.get(f, fv.ELEVATED_OTHER), shown))
+        .when(band == fv.REDUCED, filled(fv.REDUCED_TEXT.get(f, fv.REDUCED_OTHER), v))
+        .otherwise(F.lit(fv.NEUTRAL_TEXT.replace("{}", fv.EXPLANATION_LABELS[f])))
     )
 
 
@@ -72,25 +93,24 @@ def factor_badge(c: Column) -> Column:
 
 
 def top_risk_factors(df: DataFrame, n: int = 5) -> DataFrame:
-    """``risk_factors``: the ``n`` largest contributions by size; ties keep the order of ``contributions``."""
-    ranked = F.array_sort(F.transform(
-        "contributions",
-        lambda c, i: F.struct((-F.abs(c["impact"])).alias("size"), i.alias("at"), c["feature"].alias("feature"),
-                              c["impact"].alias("impact"))))
-    values = F.create_map(*[x for f in fv.FEATURES for x in (F.lit(f), F.col(f).cast("string"))])
-    named = df.withColumns({"_top": F.slice(ranked, 1, n), "_values": values})
-    factors = F.transform(
-        "_top",
-        lambda c: F.struct(
-            c["feature"].alias("feature"),
-            _lookup(fv.EXPLANATION_LABELS, c["feature"]).alias("feature_name"),
-            F.try_element_at(F.col("_values"), c["feature"]).alias("value"),
-            round_half(c["impact"], 4).alias("importance"),
-            impact_band(c["impact"]).alias("impact"),
-            factor_description(c["feature"], F.try_element_at(F.col("_values"), c["feature"]), impact_band(c["impact"]))
-            .alias("description"),
-        ))
-    return named.withColumn("risk_factors", factors).drop("_top", "_values")
+    """``risk_factors``: the ``n`` largest contributions by size; ties keep the order of ``contributions``.
+
+    All candidates are built as plain expressions and ordered as structs that start with their
+    size and place, so no per-element comparison function is needed.
+    """
+    order = df.schema["contributions"].dataType.fieldNames()
+    candidates = []
+    for i, f in enumerate(order):
+        impact = F.col(f"contributions.{f}")
+        value, band = F.col(f).cast("string"), impact_band(impact)
+        candidates.append(F.struct(
+            (-F.abs(impact)).alias("size"), F.lit(i).alias("place"), F.lit(f).alias("feature"),
+            F.lit(fv.EXPLANATION_LABELS[f]).alias("feature_name"), value.alias("value"),
+            round_half(impact, 4).alias("importance"), band.alias("impact"),
+            _described(f, value, band).alias("description")))
+    kept = ("feature", "feature_name", "value", "importance", "impact", "description")
+    top = F.slice(F.array_sort(F.array(*candidates)), 1, n)
+    return df.withColumn("risk_factors", F.transform(top, lambda c: F.struct(*[c[k].alias(k) for k in kept])))
 
 
 def is_high(df_prediction="prediction", probability="probability") -> Column:

@@ -27,8 +27,7 @@ def running_totals(df: DataFrame, key: str, sums: dict, group: str | None = None
         placed = distinct.join(cuts, group)
     else:
         placed = distinct.withColumn("_cuts", cuts.scalar())
-    placed = placed.withColumn(
-        "_range", F.size(F.filter("_cuts", lambda b: b < F.col(key)))).drop("_cuts")
+    placed = placed.withColumn("_range", _position("_cuts", F.col(key), ranges)).drop("_cuts")
     totals = placed.groupBy(*groups, "_range").agg(*[F.sum(n).alias(f"_{n}_range") for n in sums])
     # At most ``ranges`` rows per group.
     before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -41,6 +40,16 @@ def running_totals(df: DataFrame, key: str, sums: dict, group: str | None = None
         *[(F.col(f"_{n}_offset") + F.coalesce(F.sum(n).over(within), F.lit(0))).alias(f"{n}_before") for n in sums])
 
 
+def _position(cuts: str, value, ranges: int):
+    """How many of the sorted ``cuts`` are below ``value``: first among every 16th, then within 16."""
+    step = 16
+    coarse = F.size(F.filter(
+        F.transform(F.sequence(F.lit(step), F.lit(max(ranges - 1, step)), F.lit(step)), lambda i: F.try_element_at(cuts, i)),
+        lambda b: b < value))
+    fine = F.slice(cuts, coarse * step + 1, step)
+    return coarse * step + F.size(F.filter(fine, lambda b: b < value))
+
+
 def exact_quantiles(df: DataFrame, key: str, qs, group: str | None = None, ranges: int = RANGES) -> DataFrame:
     """Linear-interpolated quantiles: one row per (group and) ``q`` with ``value``."""
     groups = [group] if group else []
