@@ -63,7 +63,8 @@ def _loaded(t):
 QUERIES = {
     "scan_csv": _scan_csv,
     "scan_csv_pruned": _scan_pruned,
-    "scan_table": lambda t: t.devices.select("id", "name", "classification"),
+    "scan_table": lambda t: tables.scan_table(
+        t.spark, ["p_partkey", "p_name", "p_type"], path=f"{t.folder}/part.parquet"),
     "normalize_load": lambda t: tables.normalize(_messy(t), "devices"),
     "dedupe_keep_first": lambda t: tables.dedupe(t.events_raw, "id", ["k1", "k2", "k3", "k4"]).select(
         "id", "device_id", "type", "status", "date"),
@@ -80,7 +81,7 @@ ORACLE = {
     "scan_csv": """select id, manufacturer_id, name, classification, implanted, risk_class, country,
         cast(null as string) as code, quantity_in_commerce from md_devices""",
     "scan_csv_pruned": "select device_id, type, status, country, action_classification, date from md_events_raw",
-    "scan_table": "select id, name, classification from md_devices",
+    "scan_table": "select p_partkey, p_name, p_type from part",
     "normalize_load": """select id, manufacturer_id, left(repeat(name, 60), 500) as name, classification, implanted,
         quantity_in_commerce, risk_class, country from md_devices""",
     "dedupe_keep_first": "select id, device_id, type, status, date from md_events",

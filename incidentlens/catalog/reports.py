@@ -6,6 +6,7 @@ from incidentlens.operators import aggregates as agg
 from incidentlens.operators import joins, search
 from incidentlens.functions.frames import risk_bands
 from incidentlens.operators.training import labelled
+from incidentlens.plans.materialize import materialize
 from incidentlens.plans.training_frame import merged_events
 
 EXTRA = {"merged": TRAINING["merged"], "tokens": TRAINING["tokens"]}
@@ -34,9 +35,9 @@ def _countries_chunks(t):
 
 def _volumes(t):
     """Per device: its own events against all events of its manufacturer."""
-    ed = merged_events(t.events, t.devices)
-    own = agg.count_by_device(ed)
-    makers = agg.count_by_manufacturer(ed)
+    counts = agg.event_counts(t.events, t.devices)
+    own = agg.count_by_device(counts, "n")
+    makers = agg.count_by_manufacturer(counts, "n")
     rows = (
         t.devices.select(F.col("id").alias("device_id"), "manufacturer_id")
         .join(own, "device_id", "left").join(makers, "manufacturer_id", "left"))
@@ -53,15 +54,16 @@ EXTRA["banded"] = """
       case when risk_level = 'HIGH' then 'High Risk' else 'Low Risk' end as prediction_label from md_predictions"""
 
 QUERIES = {
-    "enrich_event_counts": lambda t: joins.enrich_event_counts(merged_events(t.events, t.devices)).select(
+    "enrich_event_counts": lambda t: joins.enrich_event_counts(materialize(merged_events(t.events, t.devices))).select(
         "id", "device_id", "manufacturer_id", "event_count", "manufacturer_event_count"),
     "semi_join_events": lambda t: joins.semi_join_events(t.events, t.devices, _makers(t)),
     "logs_with_users": lambda t: joins.logs_with_users(t.audit_logs, t.users),
     "users_with_counts": lambda t: joins.users_with_counts(t.users, t.predictions),
     "predictions_with_users": lambda t: joins.predictions_with_users(t.predictions, t.users).select(
         "id", "user_id", "risk_level", "user_name", "user_role"),
-    "count_by_device": lambda t: agg.count_by_device(merged_events(t.events, t.devices)),
-    "count_by_manufacturer": lambda t: agg.count_by_manufacturer(merged_events(t.events, t.devices)),
+    "count_by_device": lambda t: agg.count_by_device(agg.event_counts(t.events, t.devices), "n"),
+    "count_by_manufacturer": lambda t: agg.count_by_manufacturer(
+        agg.event_counts(t.events, t.devices), "n"),
     "top_value_by_group": lambda t: agg.top_value_by_group(t.events, "device_id", "type"),
     "avg_positive_quantity": lambda t: agg.avg_positive_quantity(t.devices, "manufacturer_id"),
     "latest_year": lambda t: agg.latest_year(t.events),

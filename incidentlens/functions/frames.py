@@ -47,6 +47,11 @@ def column_alias_fallback(df: DataFrame, aliases: dict) -> DataFrame:
     return df.withColumnsRenamed(renames)
 
 
+def with_collation(df: DataFrame, cols, collation: str = "UNICODE_CI_AI") -> DataFrame:
+    """Compare, group and sort the given text columns by a collation instead of by bytes."""
+    return df.withColumns({c: F.collate(c, collation) for c in cols})
+
+
 DEVICE_ALIASES = {"implantation_status": "implanted"}
 
 

@@ -7,18 +7,33 @@ from incidentlens import fixed_values as fv
 from incidentlens.functions.cleaning import round_half
 
 
-def count_by_device(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("device_id").isNotNull()).groupBy("device_id").agg(F.count("*").alias("event_count"))
+def _size(weight):
+    return F.sum(weight) if weight else F.count("*")
 
 
-def count_by_manufacturer(df: DataFrame) -> DataFrame:
+def count_by_device(df: DataFrame, weight=None) -> DataFrame:
+    """Rows per device. ``weight`` names a column of ready counts.
+
+    Joined rows are already laid out by device, which leaves a hot device to one task; counting
+    before the join (``event_counts``) and passing the counts as weights avoids that.
+    """
+    return df.filter(F.col("device_id").isNotNull()).groupBy("device_id").agg(_size(weight).alias("event_count"))
+
+
+def count_by_manufacturer(df: DataFrame, weight=None) -> DataFrame:
     return (
         df.filter(F.col("manufacturer_id").isNotNull())
         .groupBy("manufacturer_id")
-        .agg(F.count("*").alias("manufacturer_event_count"))
+        .agg(_size(weight).alias("manufacturer_event_count"))
     )
 
 
+def event_counts(e: DataFrame, d: DataFrame) -> DataFrame:
+    """(device_id, manufacturer_id, n): events per known device, counted before the join."""
+    per_device = e.filter("device_id is not null").groupBy("device_id").agg(F.count("*").alias("n"))
+    return per_device.join(d.select(F.col("id").alias("device_id"), "manufacturer_id"), "device_id")
+
+
 def top_value_by_group(df: DataFrame, keys, value: str, weight=None) -> DataFrame:
     """Most frequent non-null ``value`` per key; ties go to the smaller value.
 
@@ -26,8 +41,7 @@ def top_value_by_group(df: DataFrame, keys, value: str, weight=None) -> DataFram
     ``weight`` names a column of ready counts.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    n = F.sum(weight) if weight else F.count("*")
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(_size(weight).alias("n"))
     order = Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc(value))
     return counts.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
 

@@ -290,8 +290,11 @@ class History:
 
     @cached_property
     def risk_class_tops(self) -> DataFrame:
+        """Written, so that its true (small) size decides how it meets the requests: most of
+        them state no risk class and would share one shuffle key."""
         top = top_value_by_group(self.devices.filter("risk_class is not null"), "risk_class", "classification")
-        return top.select(F.col("risk_class").alias("u_risk_class"), F.col("classification").alias("r_classification"))
+        return materialize(
+            top.select(F.col("risk_class").alias("u_risk_class"), F.col("classification").alias("r_classification")))
 
     @cached_property
     def _first_known(self) -> dict:

@@ -32,8 +32,9 @@ def enrich_event_counts(df: DataFrame) -> DataFrame:
     """Rows per device and per manufacturer, joined back to every row.
 
     Counts are pre-aggregated and joined rather than windowed, so that a device or
-    manufacturer holding a large share of the rows never sits in one task.
-    Rows without a manufacturer get no manufacturer count.
+    manufacturer holding a large share of the rows never sits in one task. ``df`` should be a
+    stored table: rows fresh from a join on the device are already laid out by it and
+    would be counted where they lie. Rows without a manufacturer get no manufacturer count.
     """
     per_device = df.groupBy("device_id").agg(F.count("*").alias("event_count"))
     per_maker = (

@@ -10,21 +10,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 256
-HASH_PREFIX = 3  # hex digits: 4096 hash ranges
+HASH_PREFIX = 4  # hex digits: 65536 hash ranges
 
 
 def running_totals(df: DataFrame, key: str, sums: dict, group: str | None = None, ranges: int = RANGES) -> DataFrame:
     """One row per distinct ``key`` with each sum and its total over all smaller keys.
 
     ``sums`` maps an output name to a row-level column; ``<name>_before`` holds the
-    total over smaller keys. ``group`` (few distinct values) restarts the totals.
+    total over smaller keys. ``group`` restarts the totals; its distinct values must be few and
+    known (column names), because their cut lists are broadcast.
     """
     groups = [group] if group else []
     distinct = df.groupBy(*groups, key).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     cuts = distinct.groupBy(*groups).agg(
         F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts"))
     if group:
-        placed = distinct.join(cuts, group)
+        # One row per group; joined any other way, all keys of a group would share a task.
+        placed = distinct.join(F.broadcast(cuts), group)
     else:
         placed = distinct.withColumn("_cuts", cuts.scalar())
     placed = placed.withColumn("_range", _position("_cuts", F.col(key), ranges)).drop("_cuts")

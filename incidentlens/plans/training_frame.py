@@ -7,6 +7,7 @@ from incidentlens import fixed_values as fv
 from incidentlens.functions.cleaning import clean_text, to_numeric, upper_implanted
 from incidentlens.functions.frames import (
     DEVICE_ALIASES, column_alias_fallback, drop_unlabelled, event_year_month, feature_projection, fill_unknown)
+from incidentlens.operators.aggregates import count_by_device, count_by_manufacturer
 from incidentlens.operators.joins import join_events_devices, join_manufacturers
 from incidentlens.operators.training import labelled
 
@@ -26,11 +27,7 @@ def counted_devices(e: DataFrame, d: DataFrame, m: DataFrame) -> DataFrame:
     per_device = e.filter("device_id is not null").groupBy("device_id").agg(F.count("*").alias("_n"))
     owned = join_manufacturers(column_alias_fallback(d, DEVICE_ALIASES), m)
     owned = owned.withColumnRenamed("id", "device_id").join(per_device, "device_id")
-    device = owned.groupBy("device_id").agg(F.sum("_n").alias("event_count"))
-    maker = (
-        owned.filter("manufacturer_id is not null").groupBy("manufacturer_id")
-        .agg(F.sum("_n").alias("manufacturer_event_count"))
-    )
+    device, maker = count_by_device(owned, "_n"), count_by_manufacturer(owned, "_n")
     return owned.drop("_n").join(device, "device_id").join(maker, "manufacturer_id", "left")
 
 

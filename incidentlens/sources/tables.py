@@ -21,7 +21,9 @@ def read_table(spark: SparkSession, path: str, name: str, columns=None, on_bad="
     come as many files (or be read with ``multi_line=False``).
     ``with_seq`` adds ``seq``, the file order of the rows.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    reader = (
+        spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+        .option("enforceSchema", False))  # files whose header differs from the first one's fail
     mode = "DROPMALFORMED" if on_bad == "skip" else "PERMISSIVE"
     # The header alone fixes the file's column order; no values are inferred.
     found = reader.option("inferSchema", False).csv(path).columns
@@ -37,6 +39,13 @@ def read_table(spark: SparkSession, path: str, name: str, columns=None, on_bad="
     return df.select(*picked, *seq)
 
 
+def scan_table(spark: SparkSession, columns=None, format: str = "parquet", **options) -> DataFrame:
+    """A stored table through any Spark source (``path=`` for files; ``url=``, ``dbtable=`` and
+    the partitioning options for JDBC). Only ``columns`` are read."""
+    df = spark.read.format(format).options(**options).load()
+    return df.select(*columns) if columns else df
+
+
 def file_order():
     """Order of a row within its input: file, block, position."""
     return F.struct(

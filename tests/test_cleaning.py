@@ -94,3 +94,9 @@ def test_nested_json_round_trip(spark):
     rebuilt = frames.nested_json(empty, encode=False).first()
     assert rebuilt["risk_factors"] == [] and len(rebuilt["features_used"]) == 13
     assert rebuilt["features_used"][0]["source"] == fv.SRC_RECORDED
+
+
+def test_collation_groups_cases_and_accents(spark):
+    df = spark.createDataFrame([("usa",), ("USA",), ("Usá",), ("deu",)], "country string")
+    assert frames.with_collation(df, ["country"]).distinct().count() == 2
+    assert df.distinct().count() == 4
