@@ -11,8 +11,21 @@ def _distinct(t):
     return p.select("column", "distinct_values", F.array_join("first_values", "|").alias("first_values"))
 
 
+LINEITEM = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int",
+    "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",
+    "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz",
+}
+
+
+def _schema(t):
+    """Names and types, each with the missing values of its column."""
+    df = t.raw("lineitem")
+    return ops.profile_schema(df).join(ops.profile_missing(df), "column")
+
+
 QUERIES = {
-    "profile_schema": lambda t: ops.profile_schema(t.raw("lineitem")),
+    "profile_schema": _schema,
     "profile_shape": lambda t: ops.profile_shape(t.events),
     "profile_file_sizes": lambda t: ops.file_sizes(t.raw("lineitem")),
     "profile_missing": lambda t: ops.profile_missing(t.events),
@@ -21,6 +34,10 @@ QUERIES = {
 }
 
 ORACLE = {
+    "profile_schema": " union all ".join(
+        f"""select {i} as position, '{c}' as "column", '{kind}' as type, count(*) filter ({c} is null) as missing,
+        cast(round(cast(count(*) filter ({c} is null) * 100 / count(*) as decimal(38,8)), 1) as double) as percent
+        from lineitem""" for i, (c, kind) in enumerate(LINEITEM.items())),
     "profile_shape": "select count(*) as rows, 9 as columns from md_events",
     "profile_missing": " union all ".join(
         f"""select '{c}' as "column", count(*) filter ({c} is null) as missing,
