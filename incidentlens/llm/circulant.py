@@ -171,7 +171,8 @@ def block_links(sets: list[np.ndarray], ids: np.ndarray, percent: int) -> list[t
 
 def verify(dealt: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``a, b``: a forest of the verified links of each block."""
-    texts = docs.join(dealt, "id").select("centre", "lo", "hi", "id", "text")
+    # Merged at every size: the side that could be broadcast grows with the documents.
+    texts = docs.hint("merge").join(dealt, "id").select("centre", "lo", "hi", "id", "text")
     texts = texts.repartition("centre", "lo", "hi").sortWithinPartitions("centre", "lo", "hi")
 
     def links(ids, rows):
