@@ -110,18 +110,19 @@ def centre_groups(classes: DataFrame) -> DataFrame:
     """``centre, id, lo, hi``: members of each centre, dealt to blocks; every pair of members meets in one block at least.
 
     Two classes that share a band share its centre, so centres keep every meeting and have far fewer rows than bands.
+    What is summed up for a band or centre is written before it is joined, so that a hot one's rows can be split.
     """
     rows = classes.select("id", "size", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1")
+    shared = materialize(rows.groupBy("band").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1"))
     rows = materialize(rows.join(shared, "band"))
     mates = rows.groupBy("id").agg(F.sum("mates").alias("weight"))
     centre = rows.join(mates, "id").groupBy("band").agg(
         F.max(F.struct(F.col("weight"), (-F.col("id")).alias("neg"))).alias("top"))
-    centre = centre.select("band", (-F.col("top.neg")).alias("centre"))
+    centre = materialize(centre.select("band", (-F.col("top.neg")).alias("centre")))
     members = materialize(rows.join(centre, "band").select("centre", "id", "size").distinct())
     groups = members.groupBy("centre").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes"))
     parts = F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("bytes") / BLOCK_BYTES, F.lit(1.0))).cast("int")
-    groups = groups.select("centre", parts.alias("parts"))
+    groups = materialize(groups.select("centre", parts.alias("parts")))
     dealt = members.join(groups, "centre").withColumn("mine", F.pmod(F.xxhash64("id", "centre"), F.col("parts")).cast("int"))
     other = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("mine"))
     other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(other)
