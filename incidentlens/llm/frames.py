@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 import incidentlens
 
 _shipped: set[str] = set()
+BATCH_BYTES = 4 << 20  # of the Arrow batches that go to workers; Spark's default lets texts fill 64 MB
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,9 +33,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches to ``BATCH_BYTES``, unless it is lower."""
+    now = spark.conf.get(BATCH_CONF)
+    if not now.removesuffix("b").isdigit() or not 0 < int(now.removesuffix("b")) <= BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` by workers that have this package."""
+    """``mapInArrow`` by workers that have this package, in batches of bounded size."""
     ship(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
