@@ -71,8 +71,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """All columns of ``docs`` and ``size, source_size, target, taken, copies, position``, sorted by position.
 
     ``taken`` is ``size * copies``; a source's taken words come within half a document of its target. ``position`` is
-    the training time of the first copy in [0, 1), null for documents that are not taken; ``positions`` gives
-    those of all copies. Nulls: a text has size 0, a null source is a source of its own, a null id is an id.
+    the training time of the first copy in [0, 1), null for documents that are not taken. Nulls: a text has size 0, a null source is a source of its own, a null id is an id.
     Rows with equal ids are told apart by text, equal rows are interchangeable. Documents of size 0 take part with
     0 words. A column that has one of the new names keeps it and the new one gets a leading ``_``; an empty table
     gives an empty result.
@@ -127,7 +126,7 @@ def _time(words, target, slope):
         2 * share / (even + F.sqrt(even * even + 4 * slope * share)))
 
 
-def expand_copies(mixed: DataFrame, source_slopes: DataFrame | None = None) -> DataFrame:
+def expand_copies(mixed: DataFrame) -> DataFrame:
     """One row for each copy of a document that ``mix`` takes, with its ``copy`` number from 0."""
     (name,) = fresh(mixed, "copy")
     return mixed.withColumn(name, F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).where(F.col("copies") > 0)

@@ -59,11 +59,6 @@ def map_batches(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch],
     return map_arrow(df, run, schema)
 
 
-def record(names: list[str], columns: list, types: list) -> pa.RecordBatch:
-    arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)]
-    return pa.RecordBatch.from_arrays(arrays, names=names)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -15,8 +15,6 @@ documents share costs a row for each, and no pairs.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -240,7 +238,3 @@ def cutter(names, named, text_at, window):
                     names=[*names, *named])
 
     return run
-
-
-def text_digest(text) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -142,7 +142,3 @@ def word_counts(column: pa.Array) -> np.ndarray:
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as the type that Spark has."""
     return x.view(np.int64)
-
-
-def string_array(text, size) -> pa.Array:
-    return pa.array(text, pa.string(), size=size)
