@@ -4,8 +4,9 @@ A first permutation spreads the shingles over ``UNIVERSE`` places; a second one,
 ``BANDS * ROWS`` signature coordinates. Texts with equal shingle sets are one class with its smallest id. Classes that
 share a band meet at the band's centre, the class with the most band mates; members of a centre are verified on
 their full sets in blocks of bounded size, so a group of any size is spread over tasks and no pair becomes
-a row: a block gives a forest of its verified links. At similarity 0.8 a pair shares no band with a probability
-of 3e-6, at 0.85 of 7e-9.
+a row: a block gives a forest of its verified links. Each block of a large group has the centre in it, so members
+that are linked with the centre are done after one pass; only the rest meet all others. At similarity 0.8 a pair
+shares no band with a probability of 3e-6, at 0.85 of 7e-9.
 """
 
 from __future__ import annotations
@@ -106,10 +107,10 @@ def fingerprint(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFram
     return map_arrow(source, run, "id bigint, n bigint, size bigint, s1 bigint, s2 bigint, bands array<bigint>")
 
 
-def centre_groups(classes: DataFrame) -> DataFrame:
-    """``centre, id, lo, hi``: members of each centre, dealt to blocks; every pair of members meets in one block at least.
+def centre_members(classes: DataFrame) -> DataFrame:
+    """``centre, id, size``: two classes that share a band share its centre, so centres keep every meeting and have far
+    fewer rows than bands. A centre is a member of its own.
 
-    Two classes that share a band share its centre, so centres keep every meeting and have far fewer rows than bands.
     What is summed up for a band or centre is written before it is joined, so that a hot one's rows can be split.
     """
     rows = classes.select("id", "size", F.explode("bands").alias("band"))
@@ -119,15 +120,48 @@ def centre_groups(classes: DataFrame) -> DataFrame:
     centre = rows.join(mates, "id").groupBy("band").agg(
         F.max(F.struct(F.col("weight"), (-F.col("id")).alias("neg"))).alias("top"))
     centre = materialize(centre.select("band", (-F.col("top.neg")).alias("centre")))
-    members = materialize(rows.join(centre, "band").select("centre", "id", "size").distinct())
-    groups = members.groupBy("centre").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes"))
-    parts = F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("bytes") / BLOCK_BYTES, F.lit(1.0))).cast("int")
-    groups = materialize(groups.select("centre", parts.alias("parts")))
-    dealt = members.join(groups, "centre").withColumn("mine", F.pmod(F.xxhash64("id", "centre"), F.col("parts")).cast("int"))
-    other = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("mine"))
-    other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(other)
-    dealt = dealt.select("centre", "id", "mine", F.explode(other).alias("other"))
-    return dealt.select("centre", "id", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    return materialize(rows.join(centre, "band").select("centre", "id", "size").distinct())
+
+
+def block_count(rows, size):
+    """How many blocks take so many rows of so many bytes together; none for no rows."""
+    return F.ceil(F.greatest(rows / BLOCK_DOCS, size / BLOCK_BYTES)).cast("int")
+
+
+def deal_with_centre(members: DataFrame) -> DataFrame:
+    """``centre, many, lo, hi, id``: each member in one block of its centre, and the centre in all of them.
+
+    ``many`` says that there are several blocks, so that not every pair of members meets here.
+    """
+    groups = members.groupBy("centre").agg(block_count(F.count(F.lit(1)), F.sum("size")).alias("parts"))
+    dealt = members.join(materialize(groups), "centre")
+    block = F.when(F.col("id") == F.col("centre"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
+        F.array(F.pmod(F.xxhash64("id", "centre"), F.col("parts")).cast("int")))
+    dealt = dealt.select("centre", (F.col("parts") > 1).alias("many"), "id", F.explode(block).alias("lo"))
+    return dealt.select("centre", "many", "lo", F.col("lo").alias("hi"), "id")
+
+
+def deal_rest(members: DataFrame, rest: DataFrame) -> DataFrame:
+    """``centre, many, lo, hi, id``: blocks in which every pair of members meets of which one is among the ``rest``.
+
+    The rest have the parts 0, 1, ... and the others, the centre among them, those that follow; a block is two parts.
+    """
+    rows = members.join(rest.distinct().withColumn("rest", F.lit(True)), ["centre", "id"], "left")
+    rows = rows.withColumn("rest", F.coalesce("rest", F.lit(False)))
+    side = lambda is_rest: block_count(F.count_if(F.col("rest") == is_rest),
+                                       F.sum(F.when(F.col("rest") == is_rest, F.col("size")).otherwise(0)))
+    groups = rows.groupBy("centre").agg(side(True).alias("apart"), side(False).alias("linked")).where("apart > 0")
+    rows = rows.join(materialize(groups), "centre")
+    place = F.xxhash64("id", "centre")
+    mine = F.when(F.col("rest"), F.pmod(place, F.col("apart"))).otherwise(
+        F.col("apart") + F.pmod(place, F.greatest("linked", F.lit(1)))).cast("int")
+    rows = rows.withColumn("mine", mine)
+    other = F.when(F.col("rest"), F.filter(F.sequence(F.lit(0), F.col("apart") + F.col("linked") - 1),
+                                           lambda x: x != F.col("mine"))).otherwise(
+        F.sequence(F.lit(0), F.col("apart") - 1))
+    rows = rows.select("centre", "id", "mine", F.explode(other).alias("other"))
+    return rows.select("centre", F.lit(False).alias("many"), F.least("mine", "other").alias("lo"),
+                       F.greatest("mine", "other").alias("hi"), "id")
 
 
 def block_links(sets: list[np.ndarray], ids: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -171,34 +205,56 @@ def block_links(sets: list[np.ndarray], ids: np.ndarray, percent: int) -> list[t
 
 
 def verify(dealt: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``a, b``: a forest of the verified links of each block."""
+    """``a, b, apart``: a forest of the verified links of each block; from blocks of centres that have many of them also
+    the members ``a`` that are not linked with the centre ``apart``, without a ``b``."""
     # Merged at every size: the side that could be broadcast grows with the documents.
-    texts = docs.hint("merge").join(dealt, "id").select("centre", "lo", "hi", "id", "text")
+    texts = docs.hint("merge").join(dealt, "id").select("centre", "lo", "hi", "many", "id", "text")
     texts = texts.repartition("centre", "lo", "hi").sortWithinPartitions("centre", "lo", "hi")
 
-    def links(ids, rows):
+    def links(key, many, ids, rows):
+        if len(ids) < 2:
+            return []
         out = []
         for part in T.slices(pa.array(rows, pa.string())):
             sets, first = shingle_sets(part, n)
             out += [sets[first[d]:first[d + 1]] for d in range(part.docs)]
-        return block_links(out, np.array(ids), percent) if len(ids) > 1 else []
+        found = block_links(out, np.array(ids), percent)
+        rows_out = [(a, b, None) for a, b in found]
+        if many:
+            root, centre = dict(found), key[0]
+            own = root.get(centre, centre)
+            rows_out += [(i, None, centre) for i in set(ids) if root.get(i, i) != own]
+        return rows_out
 
     def run(batches):
-        block, ids, rows, found = None, [], [], []
+        block, held, ids, rows, found = None, False, [], [], []
         for batch in batches:
             keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
-            for key, id_, text in zip(keys, batch.column(3).to_pylist(), batch.column(4)):
+            for key, many, id_, text in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
                 if key != block:
-                    found += links(ids, rows)
-                    block, ids, rows = key, [], []
+                    found += links(block, held, ids, rows)
+                    block, held, ids, rows = key, many, [], []
                 ids.append(id_)
                 rows.append(text.as_py())
-        found += links(ids, rows)
+        found += links(block, held, ids, rows)
         if found:
-            a, b = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b", "apart"])
+
+    return map_arrow(texts, run, "a bigint, b bigint, apart bigint")
 
-    return map_arrow(texts, run, "a bigint, b bigint")
+
+def verified_links(classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``a, b``: links that join all classes that verified links join.
+
+    Members that are linked with their centre are of one component and need not meet each other.
+    """
+    members = centre_members(classes)
+    first = materialize(verify(deal_with_centre(members), docs, n, percent))
+    links = first.where("b is not null").select("a", "b")
+    rest = first.where("b is null").select(F.col("apart").alias("centre"), F.col("a").alias("id"))
+    if not rest.limit(1).count():
+        return links
+    return links.unionByName(verify(deal_rest(members, rest), docs, n, percent).select("a", "b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -237,8 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = exact.withColumnRenamed("class", "id")
     classes = usable.join(one, ["n", "s1", "s2", "id"]).select("id", "size", "bands")
     texts = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
-    dealt = centre_groups(classes)
-    labels = components(class_links(usable, exact).unionByName(verify(dealt, texts, shingle_words, percent)))
+    labels = components(class_links(usable, exact).unionByName(verified_links(classes, texts, shingle_words, percent)))
     rows = prints.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("id")).alias("key"))
     out = rows.join(labels.withColumnRenamed("id", "key"), "key", "left")
     component = F.coalesce(F.col("component"), F.col("id"))

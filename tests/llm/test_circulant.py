@@ -42,8 +42,19 @@ def test_groups_of_copies(spark):
 
 def test_group_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(C, "BLOCK_DOCS", 4)
+    dealt, deal_rest = [], C.deal_rest
+    monkeypatch.setattr(C, "deal_rest", lambda *x: dealt.append(deal_rest(*x)) or dealt[-1])
     df = spark.createDataFrame(copies(2, 3, 60), "doc_id bigint, text string")
     check(df, 3, 85)
+    assert dealt[0].count()  # some members are not linked with their centre
+
+
+def test_group_linked_with_its_centre(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(C, "deal_rest", None)  # is not needed
+    base = [f"w{i}" for i in range(300)]
+    rows = [(9 + i, " ".join(base[:i] + [f"n{i}"] + base[i + 1:])) for i in range(60)]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85)
 
 
 def test_signature_estimates_similarity():
