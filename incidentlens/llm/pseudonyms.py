@@ -2,6 +2,7 @@
 
 The same value gets the same pseudonym in every document, whatever its separators, so values stay linked. Numbers with
 check digits keep valid ones, dates stay dates, addresses stay addresses. What does not validate is left alone.
+Where a value ends follows from the shape of the text alone, never from its digits, so that a pseudonym ends where its value did.
 """
 
 from __future__ import annotations
@@ -27,14 +28,16 @@ PATTERN = re.compile(
     r"|(?P<secret>\b(?i:token|password|passwd|secret|api[_-]?key)\b[ \t]*[=:][ \t]*[\"']?)"
     r"(?P<secret_value>[A-Za-z0-9_\-]*[0-9][A-Za-z0-9_\-]*)"
     r"|(?P<access_key>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b)"
-    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
+    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b)"
     r"|(?P<ip>(?<![\d.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?\d))"
     r"|(?P<iso>(?<![\d-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\d-]))"
     r"|(?P<dotted>(?<![\d./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![\d/]))"
     r"|(?P<ssn>(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d-]))"
-    r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?!\d)"
+    r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+    r"|(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4})(?!\.?\d)"
     r"|(?<![\w)])\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}(?!\d)|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\d-]))"
-    r"|(?P<card>(?<![\d.-])[0-9](?:[ -]?[0-9]){12,18}(?![\d-]))"
+    r"|(?P<card>(?<![\d.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
+    r"|[0-9](?:[ -]?[0-9]){12,18})(?![\d-]))"
 )
 SIGN, BLANK = re.compile(r"[0-9@]"), re.compile(r"[ \n]")
 BEFORE, AFTER = 64, 64  # characters around a digit or at sign that a value with blanks in it can take

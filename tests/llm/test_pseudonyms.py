@@ -23,6 +23,18 @@ def test_valid_values_change_and_come_back(value):
     assert P.Pseudonyms(b"other").text(text)[0] != new
 
 
+@pytest.mark.parametrize("first", [*VALID, "+33 6 12 34 56 78", "DE89370400440532013000"])
+def test_neighbours_are_found_both(first):
+    for second in VALID:
+        for gap in (" ", "\n", ", ", " | "):
+            if gap == " " and first.startswith("+33") and second[:5].strip().isdigit():
+                continue  # groups of digits go on after a phone number of groups: where it ends can't be seen
+            text = f"a {first}{gap}{second} b"
+            new, n = P.Pseudonyms(b"k").text(text)
+            assert n == 2 and first not in new and second not in new, text
+            assert P.Pseudonyms(b"k", back=True).text(new) == (text, 2)
+
+
 @pytest.mark.parametrize("value", INVALID)
 def test_invalid_values_stay(value):
     assert P.Pseudonyms(b"k").text(f"a {value} b") == (f"a {value} b", 0)
