@@ -6,7 +6,8 @@ word), so that a small edit distance becomes a small Hamming distance. Windows a
 all sampled positions of one of the repetitions; every meeting is then verified by the exact edit distance.
 
 Not every window is embedded. By the pigeonhole principle a passage within ``t`` edits of an item of ``n`` words holds
-at least one of its ``t + 1`` pieces unchanged, so only windows around shared sequences of ``SEED`` words can pass.
+at least one of its ``t + 1`` pieces unchanged, of ``SEED`` words if ``t`` is small enough (for 5 words no edit is
+allowed), so only windows around shared sequences of ``SEED`` words can pass.
 """
 
 from __future__ import annotations
@@ -69,6 +70,11 @@ def sample_keys(rows: np.ndarray, kind: np.ndarray, at: np.ndarray, length: np.n
     return T.mix(key + np.arange(REPEATS, dtype=np.uint64)[None, :])
 
 
+def allowed_edits(length: np.ndarray) -> np.ndarray:
+    """``MAX_EDITS`` of the words, as far as the words that are left, in one piece more than edits, have a seed in them."""
+    return np.minimum((MAX_EDITS * length).astype(np.int64), (length - SEED) // SEED)
+
+
 @dataclass
 class Items:
     """Items of a block: their words, seeds and bit-sampling tables."""
@@ -89,7 +95,7 @@ class Items:
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.seeds & np.uint64(len(self.sieve) - 1)] = True
         self.lengths = np.array([len(w) for w in self.words], np.int64)
-        self.edits = (MAX_EDITS * self.lengths).astype(np.int64)
+        self.edits = allowed_edits(self.lengths)
         self.kinds = np.unique(self.lengths)
         self.sampled = [np.stack([samples(n, walk) for n in self.kinds.tolist()]) if len(self.kinds) else
                         np.zeros((0, REPEATS, SAMPLED), np.int64) for walk in range(WALKS)]
@@ -201,7 +207,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, item_id, first_word, end_word, edits``: the best passage of each document for each item it contains.
 
-    A document contains an item if one of its passages is within ``MAX_EDITS`` of the item's number of folded words.
+    A document contains an item if one of its passages is within ``MAX_EDITS`` of the item's number of folded words
+    (an item of 5 words: equal to it).
     Items of fewer than ``MIN_ITEM_WORDS`` words, and null or empty texts and items, match nothing. Rows with
     equal ids are each searched; equal rows give equal result rows. Other columns do not matter. Empty tables
     give an empty result. The items are the stated query set: blocks of at most ``block_bytes`` of them (or one
