@@ -84,7 +84,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = with_size(rows, text_col, size)
     if not keep_text:
         rows = materialize(rows.drop(text_col))
-    count = rows.count()
+    count = docs.count()  # the footers of a table tell it
     buckets = 1 << max(0, math.ceil(math.log2(max(1, count / BUCKET_ROWS))))
     buckets = min(max(buckets, LEAST_BUCKETS), MOST_BUCKETS)
     rows = (rows.withColumn(order, F.xxhash64(F.lit(seed), column(id_col)))
