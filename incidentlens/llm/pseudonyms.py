@@ -24,7 +24,7 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal
 LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 PATTERN = re.compile(
-    r"(?P<email>[\w.+-]*[\w+-]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24})"
+    r"(?P<email>(?:(?<![\w.+-])[\w.+-]*|[\w.+-]{0,63})[\w+-]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24})"
     r"|(?P<secret>\b(?i:token|password|passwd|secret|api[_-]?key)\b[ \t]*[=:][ \t]*[\"']?)"
     r"(?P<secret_value>[A-Za-z0-9_\-]*[0-9][A-Za-z0-9_\-]*)"
     r"|(?P<access_key>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b)"
@@ -41,6 +41,7 @@ PATTERN = re.compile(
 )
 SIGN, BLANK = re.compile(r"[0-9@]"), re.compile(r"[ \n]")
 BEFORE, AFTER = 64, 64  # characters around a digit or at sign that a value with blanks in it can take
+PIECE = 256  # characters of an address or secret that are permuted together
 
 
 class Permutation:
@@ -95,7 +96,13 @@ class Pseudonyms:
         self.known: dict[tuple[str, str], str | None] = {}
 
     def characters(self, kind: str, text: str) -> str:
-        """Permute the letters and digits of a text in place; case and other characters stay."""
+        """Permute the letters and digits of a text in place; case and other characters stay.
+
+        Texts of more than ``PIECE`` characters are permuted in pieces, each by its place.
+        """
+        if len(text) > PIECE:
+            pieces = [text[i:i + PIECE] for i in range(0, len(text), PIECE)]
+            return "".join(self.characters(f"{kind}/{i}", p) for i, p in enumerate(pieces))
         sets = [LETTERS if c.lower() in LETTERS else DIGITS if c in DIGITS else "" for c in text]
         n = math.prod(len(s) for s in sets if s)
         if n <= 1:

@@ -40,6 +40,18 @@ def test_invalid_values_stay(value):
     assert P.Pseudonyms(b"k").text(f"a {value} b") == (f"a {value} b", 0)
 
 
+@pytest.mark.parametrize("value", ["token=" + "a1" * 40_000, "b2" * 40_000 + "@mail.example.org", "password: " + "Z9_" * 2_000])
+def test_long_values_change_and_come_back(value):
+    new, n = P.Pseudonyms(b"k").text(f"a {value} b")
+    assert n == 1 and new != f"a {value} b" and len(new) == len(value) + 4
+    assert P.Pseudonyms(b"k", back=True).text(new) == (f"a {value} b", 1)
+
+
+def test_long_texts_without_blanks():
+    for text in ("a1" * 200_000, "1" * 400_000, "1-" * 200_000, "a@" * 100_000, "x.1@" * 50_000, "1.2." * 50_000):
+        assert P.Pseudonyms(b"k").text(text) == (text, 0)
+
+
 def test_formats_and_links_are_kept():
     made = P.Pseudonyms(b"k")
     plain, spaced = made.card("4041894974608795"), made.card("4041 8949 7460 8795")
