@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incidentlens.llm import text as T
-from incidentlens.llm.frames import column, map_arrow
+from incidentlens.llm.frames import column, fresh, map_arrow
 from incidentlens.plans.materialize import materialize
 
 BANDS, ROWS = 32, 5
@@ -315,15 +315,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     without words or without an id all stay.
     """
     found = near_duplicates(docs, id_col, text_col, shingle_words, percent)
-    gone = materialize(found.where(~F.col("kept")).select(column(id_col).cast("long").alias("gone")).distinct())
-    kept = docs.join(gone, column(id_col).cast("long") == F.col("gone"), "left_anti")
+    key, others = fresh(docs, "near_id", "near_count")
+    same = column(id_col).cast("long") == F.col(key)
+    gone = materialize(found.where(~F.col("kept")).select(column(id_col).cast("long").alias(key)).distinct())
+    kept = docs.join(gone, same, "left_anti")
     again = materialize(found.where(F.col(id_col).isNotNull() & F.col("kept") & (F.col("n_shingles") > 0)).groupBy(
-        column(id_col).cast("long").alias("again")).count().where("count > 1").select("again"))
+        column(id_col).cast("long").alias(key)).agg(F.count(F.lit(1)).alias(others)).where(F.col(others) > 1).select(key))
     if not again.limit(1).count():
         return kept
-    repeated = column(id_col).cast("long") == F.col("again")
-    single = kept.join(again, repeated, "left_anti")
-    several = kept.join(again, repeated, "left_semi")
+    single = kept.join(again, same, "left_anti")
+    several = kept.join(again, same, "left_semi")
     worded = F.coalesce(column(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     smallest = several.where(worded).groupBy(column(id_col).alias("_id")).agg(
         F.min_by(F.struct(*[column(c) for c in docs.columns]), column(text_col)).alias("_row"))

@@ -78,8 +78,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     named = fresh(docs, "size", "source_size", "target", "taken", "copies", "position")
     size, source_size, target, taken, copies, position = named
-    bucket, order, tie, start, slope, key, weight = fresh(
-        docs, "mix_bucket", "mix_order", "mix_tie", "mix_start", "mix_slope", "mix_source", "mix_weight")
+    bucket, order, tie, start, slope, key, weight, ahead, whole, of_source, of_bucket = fresh(
+        docs, "mix_bucket", "mix_order", "mix_tie", "mix_start", "mix_slope", "mix_source", "mix_weight", "mix_ahead",
+        "mix_whole", "mix_of_source", "mix_of_bucket")
     rows = docs.withColumn(tie, F.xxhash64(column(text_col)))
     rows = with_size(rows, text_col, size)
     if not keep_text:
@@ -97,17 +98,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     parts = parts.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
     same = F.col("p.source").eqNullSafe(F.col("t.source"))
     parts = parts.alias("p").join(targets.alias("t"), same).select(
-        F.col("p.source").alias("_s"), F.col("p.bucket").alias("_b"), F.col("p.before").alias(start),
+        F.col("p.source").alias(of_source), F.col("p.bucket").alias(of_bucket), F.col("p.before").alias(start),
         F.col("t.source_size").alias(source_size), F.col("t.target").alias(target), F.col("t.slope").alias(slope),
         F.col("t.weight").alias(weight))
     within = Window.partitionBy(key, bucket).orderBy(order, column(id_col), size, tie)
-    rows = rows.withColumn("_c", F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size))
-    rows = rows.join(parts, F.col(key).eqNullSafe(F.col("_s")) & (F.col(bucket) == F.col("_b")))
-    begin = F.col(start) + F.col("_c")
+    rows = rows.withColumn(ahead, F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size))
+    rows = rows.join(parts, F.col(key).eqNullSafe(F.col(of_source)) & (F.col(bucket) == F.col(of_bucket)))
+    begin = F.col(start) + F.col(ahead)
     full = F.when(F.col(source_size) > 0, F.least(F.floor(F.col(target) / F.col(source_size)), F.lit(max_copies))).otherwise(0)
-    extra = ((F.col(target) - F.col("_full") * F.col(source_size) > begin + F.col(size) / 2)
-             & (F.col("_full") < max_copies)).cast("int")
-    rows = rows.withColumn(start, begin).withColumn("_full", full.cast("int")).withColumn(copies, F.col("_full") + extra)
+    extra = ((F.col(target) - F.col(whole) * F.col(source_size) > begin + F.col(size) / 2)
+             & (F.col(whole) < max_copies)).cast("int")
+    rows = rows.withColumn(start, begin).withColumn(whole, full.cast("int")).withColumn(copies, F.col(whole) + extra)
     rows = rows.withColumn(taken, F.col(size) * F.col(copies))
     rows = rows.withColumn(position, F.when(F.col(copies) > 0, _time(F.col(start), F.col(target), F.col(slope))))
     return rows.select(*[column(c) for c in docs.columns if keep_text or c != text_col], *named).orderBy(

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incidentlens.llm import text as T
-from incidentlens.llm.frames import column, map_arrow
+from incidentlens.llm.frames import column, fresh, map_arrow
 from incidentlens.plans.materialize import materialize
 
 MAX_EDITS = 0.2  # of an item's words
@@ -253,6 +253,7 @@ def searcher(shared):
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that contain no item; a document with a null id is kept."""
-    found = find_leaks(docs, benchmark, id_col, **options).select(column(id_col).alias("leaked")).distinct()
+    (key,) = fresh(docs, "leaked")
+    found = find_leaks(docs, benchmark, id_col, **options).select(column(id_col).alias(key)).distinct()
     leaked = materialize(found)  # its size is then known to the join
-    return docs.join(leaked, column(id_col) == F.col("leaked"), "left_anti")
+    return docs.join(leaked, column(id_col) == F.col(key), "left_anti")

@@ -25,7 +25,8 @@ def odd(spark):
     ]
     schema = "doc_id bigint, text string, lang string, source string"
     df = spark.createDataFrame(rows, schema)
-    extra = ["kept", "n_words", "id", "size", "target", "item", "mark", "class", "word", "key", "n"]
+    extra = ["kept", "n_words", "id", "size", "target", "item", "mark", "class", "word", "key", "n", "gone", "again", "leaked",
+             "near_id", "mix_bucket", "_c", "_full", "_s", "_b"]
     for name in extra:
         df = df.selectExpr("*", f"'own' as `{name}`")
     return df
