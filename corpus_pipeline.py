@@ -15,7 +15,7 @@ from incidentlens.plans.materialize import materialize
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and their language's perplexity band accept."""
-    return kn_quality.quality_rules(docs, measures=False)
+    return kn_quality.quality_rules(docs, measures=False, labels=read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,7 +41,8 @@ def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = kn_quality.quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = kn_quality.quality_rules(docs, labels=read(spark, sf_dir, "labels"))
     return judged.drop("text", "lang")
 
 
