@@ -8,6 +8,10 @@ all sampled positions of one of the repetitions; every meeting is then verified
 Not every window is embedded. By the pigeonhole principle a passage within ``t`` edits of an item of ``n`` words holds
 at least one of its ``t + 1`` pieces unchanged, of ``SEED`` words if ``t`` is small enough (for 5 words no edit is
 allowed), so only windows around shared sequences of ``SEED`` words can pass.
+
+Walks fall out of step in long sequences. So items of more than ``PIECE_WORDS`` words are embedded in equal pieces: at
+least one piece of an item within its edits has no larger share of edits than the whole. A window that meets a piece
+leads to the exact check of the whole item.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ MAX_EDITS = 0.2  # of an item's words
 SEED = 3
 MIN_ITEM_WORDS = 5
 WALKS, REPEATS, SAMPLED = 8, 16, 3
+PIECE_WORDS = 40  # most words that are embedded at once
 BLOCK_BYTES = 4 << 20  # of item texts that are held in memory at once; more items take further passes
 
 SEPARATE = T.WHITE.copy()
@@ -77,39 +82,47 @@ def allowed_edits(length: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Items:
-    """Items of a block: their words, seeds and bit-sampling tables."""
+    """Items of a block: their words, and the seeds and bit-sampling tables of their pieces."""
 
     ids: list
     words: list[np.ndarray]
 
     def __post_init__(self):
-        seeds, item, place = [], [], []
+        pieces, owner, offset = [], [], []
         for i, w in enumerate(self.words):
+            cuts = np.linspace(0, len(w), -(-len(w) // PIECE_WORDS) + 1).astype(int).tolist()
+            pieces += [w[a:b] for a, b in zip(cuts, cuts[1:])]
+            owner += [i] * (len(cuts) - 1)
+            offset += cuts[:-1]
+        self.piece_item, self.piece_offset = np.array(owner, np.int64), np.array(offset, np.int64)
+        seeds, piece, place = [], [], []
+        for i, w in enumerate(pieces):
             g, ok = T.grams(w, np.array([0, len(w)]), SEED)
             seeds.append(g[ok])
-            item += [i] * int(ok.sum())
+            piece += [i] * int(ok.sum())
             place += np.flatnonzero(ok).tolist()
         seeds = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
         order = np.argsort(seeds, kind="stable")
-        self.seeds, self.seed_item, self.seed_place = seeds[order], np.array(item, np.int64)[order], np.array(place, np.int64)[order]
+        self.seeds, self.seed_piece, self.seed_place = seeds[order], np.array(piece, np.int64)[order], np.array(place, np.int64)[order]
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.seeds & np.uint64(len(self.sieve) - 1)] = True
         self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.edits = allowed_edits(self.lengths)
-        self.kinds = np.unique(self.lengths)
+        self.piece_lengths = np.array([len(w) for w in pieces], np.int64)
+        self.kinds = np.unique(self.piece_lengths)
         self.sampled = [np.stack([samples(n, walk) for n in self.kinds.tolist()]) if len(self.kinds) else
                         np.zeros((0, REPEATS, SAMPLED), np.int64) for walk in range(WALKS)]
         flat = np.concatenate([*self.words, np.zeros(1, np.uint64)])
-        begin = np.cumsum(self.lengths) - self.lengths
+        begin = np.cumsum(self.piece_lengths) - self.piece_lengths
         self.tables = []
         for walk in range(WALKS):
-            keys = self.keys(flat, begin, self.lengths, self.lengths, walk)
-            owner = np.repeat(np.arange(len(self.ids)), REPEATS)
+            keys = self.keys(flat, begin, self.piece_lengths, self.piece_lengths, walk)
+            owner = np.repeat(np.arange(len(pieces)), REPEATS)
             sort = np.argsort(keys, kind="stable")
             self.tables.append((keys[sort], owner[sort]))
 
     def keys(self, sequence: np.ndarray, start: np.ndarray, size: np.ndarray, length: np.ndarray, walk: int) -> np.ndarray:
-        """The sampled keys of windows that are compared with items of ``length``, ``REPEATS`` for each."""
+        """The sampled keys of windows that are compared with pieces of ``length``, ``REPEATS`` for each."""
         if not len(start):
             return np.zeros(0, np.uint64)
         at = self.sampled[walk]
@@ -117,21 +130,21 @@ class Items:
         return sample_keys(rows, np.searchsorted(self.kinds, length), at, length).ravel()
 
     def windows(self, w: T.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and lengths of the windows that a shared seed lines up with an item."""
+        """Starts and lengths of the windows that a shared seed lines up with a piece."""
         gram, ok = T.grams(w.hashes, w.first, SEED)
         at = np.flatnonzero(ok & self.sieve[gram & np.uint64(len(self.sieve) - 1)])
         lo = np.searchsorted(self.seeds, gram[at], "left")
         n = np.searchsorted(self.seeds, gram[at], "right") - lo
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
         hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item = self.seed_item[hit]
+        piece = self.seed_piece[hit]
         doc_first = np.repeat(w.first[:-1], w.per_doc)
         start = np.maximum(np.repeat(at, n) - self.seed_place[hit], doc_first[np.repeat(at, n)])
-        pair = np.unique(np.stack([start, self.lengths[item]], 1), axis=0)
+        pair = np.unique(np.stack([start, self.piece_lengths[piece]], 1), axis=0)
         return pair[:, 0], pair[:, 1]
 
     def meetings(self, w: T.Words, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Pairs (start, item) that agree in one repetition."""
+        """Pairs (start, piece) that agree in one repetition."""
         out = [np.zeros((0, 2), np.int64)]
         size = np.minimum(length, np.repeat(w.first[1:], w.per_doc)[start] - start)
         for walk, (keys, owner) in enumerate(self.tables):
@@ -174,10 +187,14 @@ def find_in(items: Items, w: T.Words):
     pairs = items.meetings(w, start, length)
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     doc = np.searchsorted(w.first, pairs[:, 0], "right") - 1
+    # Where the item begins if its piece does where it was met; it can lie before the document's first word.
+    pairs = np.stack([pairs[:, 0] - items.piece_offset[pairs[:, 1]], items.piece_item[pairs[:, 1]]], 1)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0], doc))
+    doc, pairs = doc[order], pairs[order]
     seen_to: dict[tuple[int, int], int] = {}
     for d, (s, i) in zip(doc.tolist(), pairs.tolist()):
         most = int(items.edits[i])
-        if seen_to.get((d, i), -1) >= s:
+        if (d, i) in seen_to and seen_to[d, i] >= s:
             continue  # lies in a region that was verified for this item
         lo, hi = max(s - 2 * most, int(w.first[d])), min(s + int(items.lengths[i]) + 4 * most + 1, int(w.first[d + 1]))
         seen_to[d, i] = s + 2 * most

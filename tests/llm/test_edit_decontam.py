@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from brute import edits
 from incidentlens.llm import edit_decontam as E
@@ -85,3 +86,27 @@ def test_blocks_of_items_and_odd_rows(spark, odd, nothing, documents):
     kept = E.drop_leaked(odd, items)
     assert kept.columns == odd.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, None, None, 7, 8, 9, 10]))
+
+
+@pytest.mark.parametrize("size", [41, 59, 150, 400, 1000])
+@pytest.mark.parametrize("kind", ["mixed", "deletions", "insertions"])
+def test_recall_of_long_items(size, kind):
+    pick = random.Random(size)
+    items = [[f"w{pick.randrange(3000)}" for _ in range(size)] for _ in range(20)]
+    index = E.fold_items([(i, " ".join(w)) for i, w in enumerate(items)])
+    found = 0
+    for i, item in enumerate(items):
+        most = int(E.MAX_EDITS * size)
+        if kind == "mixed":
+            passage = changed(pick, item, most)
+        elif kind == "deletions":
+            gone = set(pick.sample(range(size), most))
+            passage = [w for k, w in enumerate(item) if k not in gone]
+        else:
+            passage = list(item)
+            for _ in range(most):
+                passage.insert(pick.randrange(len(passage)), f"more{pick.randrange(10**6)}")
+        hits = E.find_in(index, folded(" ".join([f"p{k}" for k in range(40)] + passage + [f"q{k}" for k in range(40)])))
+        found += any(h[1] == i for h in hits)
+        assert all(h[4] <= most for h in hits)
+    assert found >= 19, found
