@@ -7,6 +7,8 @@ Where a value ends follows from the shape of the text alone, never from its digi
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import math
 import re
@@ -23,24 +25,30 @@ ROUNDS = 8
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+NAMES = "|".join(MONTHS + [m[:3] for m in MONTHS if m != "may"])
+
 PATTERN = re.compile(
     r"(?P<email>(?:(?<![\w.+-])[\w.+-]*|[\w.+-]{0,63})[\w+-]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24})"
-    r"|(?P<secret>\b(?i:token|password|passwd|secret|api[_-]?key)\b[ \t]*[=:][ \t]*[\"']?)"
-    r"(?P<secret_value>[A-Za-z0-9_\-]*[0-9][A-Za-z0-9_\-]*)"
+    r"|(?P<secret>(?<![A-Za-z0-9])(?i:(?:[a-z0-9]{1,16}[_-]){0,3}(?:token|password|passwd|secret|api[_-]?key)(?:[_-][a-z0-9]{1,16}){0,2})"
+    r"[\"']?[ \t]*[=:][ \t]*[\"']?)"
+    r"(?P<secret_value>(?=[A-Za-z0-9_\-./+~@!#$%^*]*?[0-9])[A-Za-z0-9_\-]+(?:[./+~@!#$%^*]+[A-Za-z0-9_\-]+)*)"
     r"|(?P<access_key>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b)"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b)"
     r"|(?P<ip>(?<![\d.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?\d))"
-    r"|(?P<iso>(?<![\d-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\d-]))"
-    r"|(?P<dotted>(?<![\d./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![\d/]))"
+    r"|(?P<iso>(?<![\d-])[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?![\d-])|(?<![\d/])[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}(?![\d/]))"
+    r"|(?P<dotted>(?<![\d./])[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}(?![\d/]))"
+    rf"|(?P<named>(?<![\w.])[0-9]{{1,2}} (?i:{NAMES})\.? [0-9]{{4}}(?!\w)|(?<!\w)(?i:{NAMES})\.? [0-9]{{1,2}},? [0-9]{{4}}(?!\w))"
     r"|(?P<ssn>(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d-]))"
     r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
     r"|(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4})(?!\.?\d)"
-    r"|(?<![\w)])\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}(?!\d)|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\d-]))"
+    r"|(?<![\w)])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?!\d)|(?<![\w.+-])(?<!\d )[0-9]{3} [0-9]{3} [0-9]{4}(?![ .-]?\d)"
+    r"|(?<![\w.+-])(?<!\d )0[0-9]{2,3} [0-9]{3,4} [0-9]{4}(?![ .-]?\d)|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\d-]))"
     r"|(?P<card>(?<![\d.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
     r"|[0-9](?:[ -]?[0-9]){12,18})(?![\d-]))"
 )
 SIGN, BLANK = re.compile(r"[0-9@]"), re.compile(r"[ \n]")
-BEFORE, AFTER = 64, 64  # characters around a digit or at sign that a value with blanks in it can take
+BEFORE, AFTER = 128, 64  # characters around a digit or at sign that a value with blanks in it can take
 PIECE = 256  # characters of an address or secret that are permuted together
 
 
@@ -88,6 +96,14 @@ def iban_check(country: str, rest: str) -> str:
     return f"{98 - int(number) % 97:02d}"
 
 
+@functools.cache
+def days_of(short_month: bool, short_day: bool, late: bool, no_may: bool) -> list[int]:
+    """The days from 1900 to 2099 with a month and a day of one digit, a day after the 12th, a month other than May."""
+    days = ((at, date.fromordinal(at)) for at in range(FIRST_DAY, LAST_DAY + 1))
+    return [at for at, x in days if not (short_month and x.month > 9 or short_day and x.day > 9 or late and x.day < 13
+                                         or no_may and x.month == 5)]
+
+
 class Pseudonyms:
     """Replaces the values of a text; ``back=True`` restores them."""
 
@@ -150,24 +166,54 @@ class Pseudonyms:
         x = self.permute.apply("ip", 1 << 32, int.from_bytes(bytes(map(int, parts)), "big"), self.back)
         return ".".join(map(str, x.to_bytes(4, "big")))
 
-    def day(self, y: str, m: str, d: str) -> date | None:
+    def day(self, y: str, m: str, d: str, late: bool = False, no_may: bool = False) -> date | None:
+        """Permute a date among those whose month and day have as many digits; ``late``: among those after the 12th."""
         try:
             at = date(int(y), int(m), int(d)).toordinal()
         except ValueError:
             return None
         if not FIRST_DAY <= at <= LAST_DAY:
             return None
-        return date.fromordinal(FIRST_DAY + self.permute.apply("date", LAST_DAY - FIRST_DAY + 1, at - FIRST_DAY, self.back))
+        shape = len(m) == 1, len(d) == 1, late, no_may
+        if not any(shape):
+            return date.fromordinal(FIRST_DAY + self.permute.apply("date", LAST_DAY - FIRST_DAY + 1, at - FIRST_DAY, self.back))
+        days = days_of(*shape)
+        place = bisect.bisect_left(days, at)
+        if place == len(days) or days[place] != at:
+            return None
+        return date.fromordinal(days[self.permute.apply(f"date{shape}", len(days), place, self.back)])
 
     def iso(self, v: str) -> str | None:
-        new = self.day(*v.split("-"))
-        return new and new.isoformat()
+        y, m, d = re.split("[-/]", v)
+        new = self.day(y, m, d)
+        return new and f"{new.year:04d}{v[4]}{new.month:0{len(m)}d}{v[4]}{new.day:0{len(d)}d}"
 
     def dotted(self, v: str) -> str | None:
-        if v[2] != v[5]:
+        """Day first; month first if that is no date, which then holds for the pseudonym too."""
+        (a, b, y), (sign, other) = re.split("[./]", v), re.findall("[./]", v)
+        if sign != other:
+            return None
+        late = int(b) > 12
+        new = self.day(y, a, b, late=True) if late else self.day(y, b, a)
+        if new is None:
+            return None
+        first, second = (new.month, new.day) if late else (new.day, new.month)
+        return f"{first:0{len(a)}d}{sign}{second:0{len(b)}d}{sign}{new.year:04d}"
+
+    def named(self, v: str) -> str | None:
+        name, (d, y) = re.search("[A-Za-z]+", v)[0], re.findall("[0-9]+", v)
+        case = next((c for c in (str.lower, str.upper, str.capitalize) if c(name) == name), None)
+        short = name.lower() not in MONTHS
+        if case is None:
+            return None
+        month = 1 + [m[:3] for m in MONTHS].index(name[:3].lower())
+        # "May" counts as a full name, so that a short name never turns into it.
+        new = self.day(y, f"{month:02d}", d, no_may=short)
+        if new is None:
             return None
-        new = self.day(v[6:], v[3:5], v[:2])
-        return new and f"{new.day:02d}{v[2]}{new.month:02d}{v[5]}{new.year:04d}"
+        other = case(MONTHS[new.month - 1][:3] if short else MONTHS[new.month - 1])
+        parts = iter([f"{new.day:0{len(d)}d}", f"{new.year:04d}"])
+        return re.sub("[A-Za-z]+|[0-9]+", lambda m: other if m[0] == name else next(parts), v)
 
     def ssn(self, v: str) -> str | None:
         area, group, serial = (int(p) for p in v.split("-"))
@@ -189,6 +235,8 @@ class Pseudonyms:
         if v[0] == "+":
             head = re.match(r"\+([0-9]{1,3})(?=[ .(-])", v)
             code = len(head[1]) if head else 1
+        elif re.match(r"0[0-9]{2} [0-9]{4}|0[0-9]{3} ", v):
+            code = 1  # the zero is part of the shape
         return refill(v, digits[:code] + self.digits(f"phone{digits[:code]}", digits[code:]))
 
     def card(self, v: str) -> str | None:
@@ -252,7 +300,11 @@ def pseudonymize(docs: DataFrame, key: str | bytes, text_col: str = "text", coun
     """All columns of ``docs`` with pseudonyms in ``text_col``, and the number of replaced values in ``count_col``.
 
     Covered are e-mail addresses, card numbers (Luhn), IBANs (mod 97), social security numbers, IPv4 addresses, phone
-    numbers, dates from 1900 to 2099, and secrets: access keys and values assigned to names like password.
+    numbers, dates from 1900 to 2099, and secrets: access keys and values assigned to names like password (quoted or
+    part of a longer name too). Dates are year first, day first, month first where the day is after the 12th, or with an
+    English month name. Not covered: years of two digits, ordinals (3rd), months in other languages, phone numbers
+    without + other than 3-3-4 digits in groups or 0 and groups of 2-3, 3-4 and 4 digits, values of secrets without any
+    digit, and what follows a sign other than ``_-./+~@!#$%^*`` in them, or stands before their first letter or digit.
     Null and empty texts stay as they are with 0 replacements; repeated rows get equal results; if a column has
     the name of ``count_col``, the count's name gets a leading ``_``; an empty table gives an empty result.
     ``back`` turns pseudonyms into the values they stand for.

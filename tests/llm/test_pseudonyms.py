@@ -91,3 +91,17 @@ def test_round_trip_of_a_table(documents):
     back = P.pseudonymize(there.drop("n_replaced"), "k", back=True)
     assert sorted(back.select("doc_id", "text").collect()) == sorted(documents.select("doc_id", "text").collect())
     assert there.agg({"n_replaced": "sum"}).first()[0] > 0
+
+
+@pytest.mark.parametrize("value", [
+    "03/25/1984", "3/7/2021", "2021/03/07", "2021-3-7", "12 March 2020", "3 Mar 2020", "May 5, 1999", "DEC. 31 2001", "(555) 123 4567",
+    "555 123 4567", "020 7946 0958", "0113 496 0999", "token=eyJhbGci0.eyJzdWIi1.sflKx_w-9", "password: P@ssw0rd!9", '"token": "abc123def"',
+    "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCY1"])
+def test_more_formats_change_and_come_back(value):
+    for key in (b"k", b"l", b"m", b"n", b"o"):
+        text = f"before {value}, after"
+        new, n = P.Pseudonyms(key).text(text)
+        assert n == 1 and value not in new
+        assert P.Pseudonyms(key, back=True).text(new) == (text, 1)
+    for part in re.split(r"[./]", value.split("=")[-1].strip()) if "=" in value else []:
+        assert part not in new
