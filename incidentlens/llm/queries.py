@@ -1,11 +1,10 @@
 """One registered query for each operator, over its whole tables with production parameters."""
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidentlens.llm import (
-    brown, bpe_counts, circulant, curriculum, edit_decontam, kn_quality, pseudonyms, relative_lz, url_rules, warc)
+    brown, bpe_counts, byte_bpe, circulant, curriculum, edit_decontam, kn_quality, pseudonyms, relative_lz, url_rules, warc)
 from incidentlens.llm.frames import read
 from incidentlens.plans.materialize import shared_dir
 
@@ -29,6 +28,8 @@ def op3_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     return bpe_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -62,9 +63,20 @@ def op10_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.decode(encoded, ranks).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.encode(F.concat_ws(" ", F.col("ids").cast("array<string>")), "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_rules, op2_pseudonyms, op3_relative_lz, op4_token_counts, op5_edit_decontamination, op6_circulant_minhash,
-    op7_perplexity_rules, op8_warc, op9_curriculum, op10_brown_scores)}
+    op7_perplexity_rules, op8_warc, op9_curriculum, op10_brown_scores, op13_byte_bpe)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
