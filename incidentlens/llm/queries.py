@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidentlens.llm import (
-    brown, bpe_counts, byte_bpe, circulant, curriculum, edit_decontam, kn_quality, pseudonyms, relative_lz, url_rules, warc)
+    brown, bpe_counts, byte_bpe, circulant, curriculum, edit_decontam, kn_quality, periodic, pseudonyms, relative_lz, url_rules, warc)
 from incidentlens.llm.frames import read
 from incidentlens.plans.materialize import shared_dir
 
@@ -63,6 +63,39 @@ def op10_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_documents(read(spark, sf_dir, "documents"))
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """The texts that the query judges: of each tenth document (by the id's checksum) the words from one on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        turns = F.ceil((n - a) / p).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), turns)), F.lit(1), n - a)
+        return F.when(n > 0, F.concat_ws(" ", F.slice(w, F.lit(1), a), tail)).otherwise("")
+
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    # The lambda binds the words, so that they are extracted once.
+    again = F.transform(F.array(found), repeated)[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(_with_periods(read(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    found = found.withColumn("longest", longest)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("longest.s")).alias("start"), "longest.length",
+        (-F.col("longest.p")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.p")).alias("exponent_milli"),
+        F.sha2(F.encode(F.concat_ws("", F.transform(lines, lambda t: F.concat(t, F.lit("\n")))), "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("collapsed_sha256"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,7 +109,8 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_url_rules, op2_pseudonyms, op3_relative_lz, op4_token_counts, op5_edit_decontamination, op6_circulant_minhash,
-    op7_perplexity_rules, op8_warc, op9_curriculum, op10_brown_scores, op13_byte_bpe)}
+    op7_perplexity_rules, op8_warc, op9_curriculum, op10_brown_scores, op11_periodic_runs,
+    op13_byte_bpe)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
