@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidentlens.llm import (
-    brown, bpe_counts, byte_bpe, circulant, curriculum, edit_decontam, kn_quality, periodic, pseudonyms, relative_lz, url_rules, warc)
+    brown, bpe_counts, byte_bpe, circulant, curriculum, edit_decontam, hard_negatives, kn_quality, periodic, pseudonyms, relative_lz, url_rules, warc)
 from incidentlens.llm.frames import read
 from incidentlens.plans.materialize import shared_dir
 
@@ -96,6 +96,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("collapsed_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), label=label)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -110,7 +115,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_url_rules, op2_pseudonyms, op3_relative_lz, op4_token_counts, op5_edit_decontamination, op6_circulant_minhash,
     op7_perplexity_rules, op8_warc, op9_curriculum, op10_brown_scores, op11_periodic_runs,
-    op13_byte_bpe)}
+    op12_hard_negatives, op13_byte_bpe)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -161,5 +166,21 @@ select page_id, cast(size as bigint) as payload_bytes, digest as payload_digest,
   case when size >= 1000 and page_id <> keeper then 'revisit' else 'response' end as record_type,
   case when size >= 1000 and page_id <> keeper then keeper end as refers_to
 from k
+""",
+    "op12_hard_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+    cast(list_inner_product(a.e, b.e) as bigint) as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (select anchor_id, other_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5),
+bands as (select p.anchor_id, positive_id, other_id as negative_id, positive_score, score as negative_score,
+    cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id) as int) as rank
+  from positives p join scored s on p.anchor_id = s.anchor_id and not same
+    and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from bands where rank <= 10
 """,
 }
