@@ -1,19 +1,19 @@
 """Byte-level BPE encoding and decoding with a rank queue over a hierarchical bitmap.
 
-A pre-token is a linked list of symbols. Every mergeable neighbour pair stands in the bucket of its merge rank, as the
+The symbols of pre-tokens are a linked list. Every mergeable neighbour pair stands in the bucket of its merge rank, as the
 position of its left symbol; a bitmap of several levels tells which buckets hold anything, so that the next rank is
 found by one find-first-set for each level. A merge changes at most two neighbour pairs, which enter their new buckets;
-what they left behind is stale and is skipped when it comes up. Work is proportional to the symbols of a pre-token,
-times the logarithm of a bucket's size, however long it is.
+what they left behind is stale and is skipped when it comes up. Work is proportional to the symbols, but for sorting
+the positions of a bucket, however long a pre-token is.
 
-The distinct pre-tokens of a group of texts are encoded once and then laid out by ragged numpy arrays; short ones are
+The distinct pre-tokens of a group of texts share one list, with breaks between them that no pair crosses: what merges
+in one does not depend on the others. Their ids are then laid out by ragged numpy arrays; short pre-tokens are
 remembered within a task, in a table of bounded size.
 """
 
 from __future__ import annotations
 
 import base64
-from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -42,7 +42,7 @@ def split_pattern(pattern: str):
 
 
 class RankQueue:
-    """Positions in buckets by rank; ``pop`` gives the smallest position of the smallest rank."""
+    """Positions in buckets by rank, and a bitmap of the ranks that have any."""
 
     BITS = 6
 
@@ -54,12 +54,9 @@ class RankQueue:
             size = (size + (1 << self.BITS) - 1) >> self.BITS
             self.levels.append([0] * size)
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+    def open(self, rank: int, positions: list[int]) -> None:
+        """Begin the bucket of a rank that has none."""
+        self.buckets[rank] = positions
         at = rank
         for words in self.levels:
             bit, at = 1 << (at & 63), at >> self.BITS
@@ -68,25 +65,25 @@ class RankQueue:
             if seen:  # the levels above know this word already
                 break
 
-    def pop(self) -> tuple[int, int] | None:
-        top = self.levels[-1][0]
-        if not top:
+    def close(self, rank: int) -> None:
+        """End the bucket of a rank."""
+        del self.buckets[rank]
+        at = rank
+        for words in self.levels:
+            bit, at = 1 << (at & 63), at >> self.BITS
+            words[at] &= ~bit
+            if words[at]:
+                break
+
+    def first(self) -> int | None:
+        """The smallest rank that has a bucket."""
+        if not self.levels[-1][0]:
             return None
         at = 0
         for words in reversed(self.levels):
             word = words[at]
             at = at << self.BITS | (word & -word).bit_length() - 1
-        bucket = self.buckets[at]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            place = at
-            for words in self.levels:
-                bit, place = 1 << (place & 63), place >> self.BITS
-                words[place] &= ~bit
-                if words[place]:
-                    break
-        return at, position
+        return at
 
 
 class ByteBPE:
@@ -94,8 +91,6 @@ class ByteBPE:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, split_pattern(pattern)
-        self.longest = max(map(len, ranks))
-        self.queue = RankQueue(max(ranks.values()) + 1)
         size = max(ranks.values()) + 1
         parts = [b""] * size
         for token, i in ranks.items():
@@ -105,77 +100,107 @@ class ByteBPE:
         self.length = np.array([len(p) for p in parts], np.int64)
         self.begin = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.of_pair = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}  # of a pre-token in the ragged arrays below
-        self.ids: list[list[int]] = []
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        ranks, longest, queue = self.ranks, self.longest, self.queue
-        whole = ranks.get(piece) if len(piece) <= longest else None
-        if whole is not None:
-            return [whole]
-        n = len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n))  # of a symbol: where the next one begins, the last one
-        waits = [-1] * n  # the rank under which the pair that begins at a position is queued
-        for i in range(n - 1):
-            rank = ranks.get(piece[i:i + 2])
-            if rank is not None:
-                waits[i] = rank
-                queue.push(rank, i)
-        while (found := queue.pop()) is not None:
-            rank, i = found
-            if waits[i] != rank:
-                continue  # stale: one of the pair's symbols has changed since
-            gone = after[i]
-            end = after[i] = after[gone]
-            waits[gone] = -1
-            if end < n:
+        self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pre-tokens, one after another, and the number of each."""
+        ranks, queue = self.ranks, RankQueue(len(self.length))
+        text = b"\0" + b"\0".join(pieces) + b"\0"
+        n = len(text)
+        data = np.frombuffer(text, np.uint8)
+        size = np.array([len(p) for p in pieces], np.int64)
+        at_break = np.r_[0, np.cumsum(size + 1)]
+        breaks = np.zeros(n, bool)
+        breaks[at_break] = True
+        rank = self.of_pair[data[:-1].astype(np.int64) << 8 | data[1:]]
+        rank[breaks[:-1] | breaks[1:]] = -1
+        waits = [*rank.tolist(), -1]  # the rank under which the pair that begins at a position is queued
+        order = np.argsort(rank, kind="stable")[np.count_nonzero(rank < 0):]
+        cuts = np.flatnonzero(np.diff(rank[order])) + 1
+        for some in np.split(order, cuts) if len(order) else []:
+            queue.open(int(rank[some[0]]), some.tolist())
+        symbol, alive, breaks = self.of_byte[data].tolist(), bytearray(b"\1") * n, breaks.tobytes()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        buckets, get = queue.buckets, ranks.get
+        while (now := queue.first()) is not None:
+            bucket = buckets[now]
+            bucket.sort(reverse=True)  # of equal ranks the leftmost pair merges first
+            while bucket:
+                i = bucket.pop()
+                if waits[i] != now:
+                    continue  # stale: one of the pair's symbols has changed since
+                gone = after[i]
+                end = after[i] = after[gone]
                 before[end] = i
-            for left, right in ((i, end), (before[i], i)):
-                if left < 0 or right >= n:
-                    if left >= 0:
+                symbol[i], alive[gone], waits[gone], waits[i] = now, 0, -1, -1
+                lower = False
+                if not breaks[end]:
+                    new = get(text[i:after[end]])
+                    if new is not None:
+                        waits[i] = new
+                        if new in buckets:
+                            buckets[new].append(i)
+                        else:
+                            queue.open(new, [i])
+                        lower = new < now
+                left = before[i]
+                if not breaks[left]:
+                    new = get(text[left:end])
+                    if new is None:
                         waits[left] = -1
-                    continue
-                stop = after[right]
-                new = ranks.get(piece[left:stop]) if stop - left <= longest else None
-                if new is None:
-                    waits[left] = -1
-                elif waits[left] != new:
-                    waits[left] = new
-                    queue.push(new, left)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i:after[i]]])
-            i = after[i]
-        return out
+                    else:
+                        waits[left] = new
+                        if new in buckets:
+                            buckets[new].append(left)
+                        else:
+                            queue.open(new, [left])
+                        lower = lower or new < now
+                if lower:  # such a pair goes before what is left here
+                    break
+            if not bucket:
+                queue.close(now)
+        left = np.frombuffer(alive, bool).copy()
+        left[at_break] = False
+        counts = np.add.reduceat(left, at_break[:-1], dtype=np.int64) if len(pieces) else size
+        return np.array(symbol, np.int32)[left], counts
+
+    def learn(self, pieces: list[str]) -> None:
+        """Append the ids of pre-tokens to the ragged arrays."""
+        raw = [p.encode("utf-8") for p in pieces]
+        whole = [self.ranks.get(r) for r in raw]
+        merged, size = self.merge([r for r, w in zip(raw, whole) if w is None])
+        known = np.array([w is not None for w in whole])
+        counts = np.ones(len(raw), np.int64)
+        counts[~known] = size
+        ids = np.empty(int(counts.sum()), np.int32)
+        single = np.repeat(known, counts)
+        ids[single] = [w for w in whole if w is not None]
+        ids[~single] = merged
+        self.place.update(zip(pieces, range(len(self.start) - 1, len(self.start) - 1 + len(pieces))))
+        self.flat = np.concatenate([self.flat, ids])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's ids begin (and the last one's end)."""
-        split, place = [self.pattern.findall(t) for t in texts], self.place
-        if len(place) > REMEMBERED:
+        if len(self.place) > REMEMBERED or len(self.flat) > REMEMBERED * LONG:
             self.forget()
-            place = self.place
-        fresh_long = []
-        for pieces in split:
-            for piece in set(pieces).difference(place):
-                place[piece] = len(self.ids)
-                self.ids.append(self.merge(piece.encode("utf-8")))
-                if len(piece) > LONG:
-                    fresh_long.append(piece)
+        split, place = [self.pattern.findall(t) for t in texts], self.place
+        new = sorted(set(chain.from_iterable(split)).difference(place))
+        if new:
+            self.learn(new)
         at = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64)
-        used, at = np.unique(at, return_inverse=True)
-        lists = [self.ids[u] for u in used]
-        size = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter(chain.from_iterable(lists), np.int32)
-        ids = flat[_ragged((np.cumsum(size) - size)[at], size[at])] if len(at) else np.zeros(0, np.int32)
-        tokens = np.zeros(len(texts) + 1, np.int64)
-        ends = np.r_[0, np.cumsum(size[at])] if len(at) else np.zeros(1, np.int64)
-        tokens[1:] = ends[np.cumsum([len(pieces) for pieces in split])]
-        for piece in fresh_long:
-            self.ids[place.pop(piece)] = []
+        size = self.start[at + 1] - self.start[at]
+        ids = self.flat[_ragged(self.start[at], size)]
+        tokens = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum([len(pieces) for pieces in split])]]
+        for piece in new:
+            if len(piece) > LONG:
+                del place[piece]
         return ids, tokens
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -32,19 +32,20 @@ def split(ids, ends):
 
 def test_rank_queue():
     pick = random.Random(1)
-    queue, held = B.RankQueue(70_000), []
+    queue, held = B.RankQueue(70_000), set()
     for _ in range(30_000):
-        if pick.random() < 0.5:
-            entry = (pick.choice([0, 63, 64, 4095, 4096, 69_999, pick.randrange(70_000)]), pick.randrange(50))
-            queue.push(*entry)
-            held.append(entry)
-        elif held:
-            held.sort()
-            assert queue.pop() == held.pop(0)
-    assert [queue.pop() for _ in range(len(held))] == sorted(held) and queue.pop() is None
+        rank = pick.choice([0, 63, 64, 4095, 4096, 69_999, pick.randrange(70_000)])
+        if rank in held:
+            queue.close(rank)
+            held.remove(rank)
+        elif pick.random() < 0.6:
+            queue.open(rank, [1])
+            held.add(rank)
+        assert queue.first() == min(held, default=None) and queue.buckets.keys() == held
     one = B.RankQueue(1)
-    one.push(0, 5)
-    assert one.pop() == (0, 5) and one.pop() is None
+    assert one.first() is None
+    one.open(0, [5])
+    assert one.first() == 0 and one.buckets == {0: [5]}
 
 
 def test_hard_texts(library, coder):
