@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from incidentlens.llm.frames import column, fresh, map_arrow
 
-REMEMBERED = 300_000  # pre-tokens whose ids a task keeps; beyond it the table starts anew
+REMEMBERED = 500_000  # pre-tokens whose ids a task keeps; beyond it the table starts anew
 LONG = 64  # longer pre-tokens are not kept
-GROUP_CHARS = 1 << 19  # texts are encoded in groups of about so many characters
+GROUP_CHARS = 1 << 20  # texts are encoded in groups of about so many characters
 OUT_IDS = 1 << 20  # rows are handed on when they hold so many ids
 
 
@@ -86,6 +86,19 @@ class RankQueue:
         return at
 
 
+class Places(dict):
+    """Numbers of pre-tokens; one that is not known gets the next number and is noted as new."""
+
+    def __init__(self):
+        self.count, self.new = 0, []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = self.count
+        self.count += 1
+        self.new.append(piece)
+        return number
+
+
 class ByteBPE:
     """Encodes and decodes with one vocabulary; a task makes one and keeps it."""
 
@@ -105,7 +118,7 @@ class ByteBPE:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}  # of a pre-token in the ragged arrays below
+        self.place = Places()  # of a pre-token in the ragged arrays below
         self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,53 +138,54 @@ class ByteBPE:
         cuts = np.flatnonzero(np.diff(rank[order])) + 1
         for some in np.split(order, cuts) if len(order) else []:
             queue.open(int(rank[some[0]]), some.tolist())
-        symbol, alive, breaks = self.of_byte[data].tolist(), bytearray(b"\1") * n, breaks.tobytes()
+        symbol, breaks = self.of_byte[data], breaks.tobytes()
+        symbol[at_break] = -1
+        symbol = symbol.tolist()  # -1: a break, or merged into the symbol on the left
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         buckets, get = queue.buckets, ranks.get
+        bucket_of = buckets.get
         while (now := queue.first()) is not None:
             bucket = buckets[now]
             bucket.sort(reverse=True)  # of equal ranks the leftmost pair merges first
+            least = now
             while bucket:
                 i = bucket.pop()
                 if waits[i] != now:
                     continue  # stale: one of the pair's symbols has changed since
                 gone = after[i]
-                end = after[i] = after[gone]
-                before[end] = i
-                symbol[i], alive[gone], waits[gone], waits[i] = now, 0, -1, -1
-                lower = False
-                if not breaks[end]:
-                    new = get(text[i:after[end]])
-                    if new is not None:
-                        waits[i] = new
-                        if new in buckets:
-                            buckets[new].append(i)
-                        else:
-                            queue.open(new, [i])
-                        lower = new < now
+                end = after[gone]
+                after[i], before[end], symbol[i], symbol[gone], waits[gone] = end, i, now, -1, -1
+                new = -1 if breaks[end] else get(text[i:after[end]], -1)
+                waits[i] = new
+                if new >= 0:
+                    if (other := bucket_of(new)) is None:
+                        queue.open(new, [i])
+                    else:
+                        other.append(i)
+                    if new < least:
+                        least = new
                 left = before[i]
                 if not breaks[left]:
-                    new = get(text[left:end])
-                    if new is None:
-                        waits[left] = -1
-                    else:
-                        waits[left] = new
-                        if new in buckets:
-                            buckets[new].append(left)
-                        else:
+                    new = get(text[left:end], -1)
+                    waits[left] = new
+                    if new >= 0:
+                        if (other := bucket_of(new)) is None:
                             queue.open(new, [left])
-                        lower = lower or new < now
-                if lower:  # such a pair goes before what is left here
+                        else:
+                            other.append(left)
+                        if new < least:
+                            least = new
+                if least < now:  # such a pair goes before what is left here
                     break
             if not bucket:
                 queue.close(now)
-        left = np.frombuffer(alive, bool).copy()
-        left[at_break] = False
+        symbol = np.array(symbol, np.int32)
+        left = symbol >= 0
         counts = np.add.reduceat(left, at_break[:-1], dtype=np.int64) if len(pieces) else size
-        return np.array(symbol, np.int32)[left], counts
+        return symbol[left], counts
 
     def learn(self, pieces: list[str]) -> None:
-        """Append the ids of pre-tokens to the ragged arrays."""
+        """Append the ids of the next pre-tokens to the ragged arrays."""
         raw = [p.encode("utf-8") for p in pieces]
         whole = [self.ranks.get(r) for r in raw]
         merged, size = self.merge([r for r, w in zip(raw, whole) if w is None])
@@ -182,7 +196,6 @@ class ByteBPE:
         single = np.repeat(known, counts)
         ids[single] = [w for w in whole if w is not None]
         ids[~single] = merged
-        self.place.update(zip(pieces, range(len(self.start) - 1, len(self.start) - 1 + len(pieces))))
         self.flat = np.concatenate([self.flat, ids])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
 
@@ -191,10 +204,10 @@ class ByteBPE:
         if len(self.place) > REMEMBERED or len(self.flat) > REMEMBERED * LONG:
             self.forget()
         split, place = [self.pattern.findall(t) for t in texts], self.place
-        new = sorted(set(chain.from_iterable(split)).difference(place))
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64)
+        new, place.new = place.new, []
         if new:
             self.learn(new)
-        at = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64)
         size = self.start[at + 1] - self.start[at]
         ids = self.flat[_ragged(self.start[at], size)]
         tokens = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum([len(pieces) for pieces in split])]]
