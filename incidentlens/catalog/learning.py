@@ -2,8 +2,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from incidentlens import fixed_values as fv
 from incidentlens.catalog.cleaning import EXTRA as TRAINING
-from incidentlens.operators import attributions, metrics
+from incidentlens.operators import attributions, encoding, metrics
 from incidentlens.operators import training as ops
 from incidentlens.operators.explain import contribution_rows
 from incidentlens.plans.assess import assess
@@ -12,8 +13,6 @@ from incidentlens.plans.training_frame import training_frame
 from incidentlens.sources import tables
 
 EXTRA = {k: TRAINING[k] for k in ("merged", "counted", "frame_v1", "frame_v2")}
-ROUNDS = 3  # registered queries show the path; real fits use the default 300
-
 _fitted = {}
 
 
@@ -38,11 +37,11 @@ def _once(t, kind, fit):
 
 
 def _boosted(t):
-    return _once(t, "gbt", lambda train: ops.train_gbt(train, ROUNDS))
+    return _once(t, "gbt", lambda train: ops.train_gbt(train))
 
 
 def _calibrated(t):
-    return _once(t, "calibrated", lambda train: ops.calibrate_sigmoid(train, rounds=ROUNDS))
+    return _once(t, "calibrated", lambda train: ops.calibrate_sigmoid(train))
 
 
 def _scored(fitted):
@@ -51,14 +50,14 @@ def _scored(fitted):
 
 
 def _onehot(t):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
-
-    cols = ["type", "status", "classification", "risk_class"]
     train, test = _parts(t)
-    categories = ops.frequent_categories(train, cols)
-    out = Pipeline(stages=ops.onehot_ignore_unknown(cols, categories)).fit(train).transform(test)
-    return out.select("id", *[vector_to_array(f"{c}_slots").alias(c) for c in cols])
+    slots = encoding.onehot_ignore_unknown(test, encoding.category_dictionary(train, fv.CATEGORICAL), fv.CATEGORICAL)
+    return slots.select("id", F.concat_ws(",", F.col("slots").cast("array<string>")).alias("slots"))
+
+
+def _trained(t):
+    """The fitted model itself: its nodes."""
+    return _boosted(t)[0].node_table(t.spark)
 
 
 def _saved(t):
@@ -69,14 +68,18 @@ def _saved(t):
 
 
 def _save_model(t):
+    """What was stored of each tree."""
     path, _ = _saved(t)
-    rows = t.spark.read.text(f"{path}/metadata")
-    return rows.select(F.get_json_object("value", "$.class").alias("class"))
+    leaf = F.col("feature").isNull()
+    return t.spark.read.parquet(f"{path}/nodes").groupBy("tree").agg(
+        F.count("*").alias("n_nodes"), F.count_if(leaf).alias("n_leaves"),
+        F.max(F.when(F.col("node") == 0, F.col("cover"))).alias("cover"))
 
 
 def _load_model(t):
+    """Log odds of the test part by the model read back."""
     path, test = _saved(t)
-    return _scored((tables.load_model(path), test))
+    return tables.load_model(path).with_margin(test).select("id", "margin")
 
 
 def _attributions(t):
@@ -99,7 +102,7 @@ QUERIES = {
     "class_weight": lambda t: ops.class_weight(_frame(t)),
     "kfold_stratified": lambda t: ops.kfold_stratified(_frame(t)).select("id", "target", "fold"),
     "onehot_ignore_unknown": _onehot,
-    "train_gbt": lambda t: _scored(_boosted(t)),
+    "train_gbt": _trained,
     "score": lambda t: _scored(_boosted(t)),
     "score_metrics": lambda t: metrics.classification_metrics(_scored(_boosted(t))),
     "calibrate_sigmoid": lambda t: _scored(_calibrated(t)),
@@ -109,12 +112,21 @@ QUERIES = {
     "assess": _assess,
 }
 
+_CELLS = " union all ".join(f"select id, {i} as c, {c} as value, is_test from parts" for i, c in enumerate(fv.CATEGORICAL))
+
 ORACLE = {
+    "onehot_ignore_unknown": f"""with parts as (select *, row_number() over (partition by target order by md5('42|' || id))
+          <= round(0.2 * count(*) over (partition by target)) as is_test from frame_v2),
+        cells as ({_CELLS}),
+        slots as (select c, value, row_number() over (order by c, value) - 1 as slot
+          from (select distinct c, value from cells where not is_test and value is not null) d)
+        select id, coalesce(string_agg(cast(slot as string), ',' order by slot), '') as slots
+        from cells left join slots on cells.c = slots.c and cells.value = slots.value where is_test group by id""",
     "impute_mode": " union all ".join(
         f"""select * from (select '{c}' as "column", {c} as value from frame_v2 group by {c}
-        order by count(*) desc, {c} limit 1) t""" for c in ops.fv.CATEGORICAL),
+        order by count(*) desc, {c} limit 1) t""" for c in fv.CATEGORICAL),
     "impute_median": " union all ".join(
-        f"""select '{c}' as "column", quantile_cont({c}, 0.5) as value from frame_v2""" for c in ops.fv.NUMERICAL),
+        f"""select '{c}' as "column", quantile_cont({c}, 0.5) as value from frame_v2""" for c in fv.NUMERICAL),
     "stratified_split": """select id, target, row_number() over (partition by target order by md5('42|' || id))
         <= round(0.2 * count(*) over (partition by target)) as is_test from frame_v2""",
     "class_weight": """select count(*) filter (target = 1) as positives, count(*) filter (target = 0) as negatives,

@@ -1,178 +1,61 @@
-"""Additive (SHAP) contributions of the boosted trees.
+"""Additive (Shapley) contributions of boosted trees, on the scale of the log odds.
 
-On one root-to-leaf path a leaf counts for a feature set S when the row meets the
-path's conditions of the features in S; for the others it counts with the share of training
-rows that took the path. Which conditions a row meets is a bit mask over
-at most four features, so the contributions of every (leaf, mask) are tabled
-once on the driver (trees x 16 leaves x 16 masks) and the rows only look them up, in Arrow batches.
+A leaf counts for a set of known inputs when the row meets the path's conditions on them; for the other inputs it counts with
+the share of the training weight that took the path. ``path_contributions`` solves that for a path of any
+length; rows meet the trees in Arrow batches.
 """
 
-import uuid
-from itertools import combinations
-from math import factorial
-
 import numpy as np
-import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from incidentlens import fixed_values as fv
+from incidentlens.operators.boosted_model import BoostedModel, Ensemble
 from incidentlens.operators.training import CalibratedModel
-from incidentlens.plans.materialize import shared_dir
 
 
-def model_slots(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """(slot, feature) for every input of the model, from the assembler's own columns."""
+def slot_features(model: BoostedModel) -> list:
+    """Feature name of each input: the numeric features, then each category that some split names."""
+    return [feature for feature, _ in model.ensemble.slots]
+
+
+def model_slots(model: BoostedModel, df: DataFrame) -> DataFrame:
+    """(slot, feature) for every input that a split of the model uses."""
     names = slot_features(model)
     rows = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(f).alias("feature")) for i, f in enumerate(names)])
     return df.sparkSession.range(1).select(F.explode(rows).alias("s")).select("s.*")
 
 
-def slot_features(model: PipelineModel) -> list:
-    """Feature name of each input slot."""
-    assembler = next(s for s in model.stages if type(s).__name__ == "VectorAssembler")
-    sizes = {s.getInputCol(): len(s.labels) for s in model.stages if type(s).__name__ == "StringIndexerModel"}
-    out = []
-    for column in assembler.getInputCols():
-        feature = column.removesuffix("_slots").removesuffix("_index")
-        out += [feature] * (sizes[feature] if column.endswith("_slots") else 1)
-    return out
-
-
-def _nodes(model):
-    """Tree nodes from the model's saved form: at most 31 per tree."""
-    booster = model.stages[-1]
-    spark = SparkSession.getActiveSession()
-    path = f"{shared_dir(spark)}/incidentlens-trees-{uuid.uuid4().hex}"
-    booster.write().save(path)
-    trees = {}
-    for row in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():
-        trees.setdefault(row["treeID"], {})[row["id"]] = row
-    return [trees[i] for i in sorted(trees)], list(booster.treeWeights)
-
-
-def _paths(tree, weight):
-    """Leaves as (value, [(slot, threshold or category set, goes left, share of rows)])."""
-    out, todo = [], [(tree[0], [])]
-    while todo:
-        node, taken = todo.pop()
-        if node["leftChild"] < 0:
-            out.append((node["prediction"] * weight, taken))
-            continue
-        split = node["split"]
-        test = (
-            float(split["leftCategoriesOrThreshold"][0]) if split["numCategories"] == -1
-            else frozenset(split["leftCategoriesOrThreshold"]))
-        for child, left in ((node["leftChild"], True), (node["rightChild"], False)):
-            share = tree[child]["rawCount"] / node["rawCount"] if node["rawCount"] else 0.0
-            todo.append((tree[child], taken + [(split["featureIndex"], test, left, share)]))
-    return out
-
-
-def _mask_table(value, shares):
-    """Contribution of each of the path's features for every mask of met conditions."""
-    d = len(shares)
-    table = np.zeros((1 << d, d))
-    for mask in range(1 << d):
-        met = [mask >> j & 1 for j in range(d)]
-        for i in range(d):
-            others = [j for j in range(d) if j != i]
-            total = 0.0
-            for size in range(d):
-                weight = factorial(size) * factorial(d - size - 1) / factorial(d)
-                for chosen in combinations(others, size):
-                    term = 1.0
-                    for j in others:
-                        term *= met[j] if j in chosen else shares[j]
-                    total += weight * term
-            table[mask, i] = value * total * (met[i] - shares[i])
-    return table
-
-
-def leaf_tables(model: PipelineModel):
-    """(base value, leaves) with each leaf's conditions by slot and its mask table."""
-    trees, weights = _nodes(model)
-    base, leaves = 0.0, []
-    for tree, weight in zip(trees, weights):
-        for value, taken in _paths(tree, weight):
-            slots, shares = {}, {}
-            for slot, test, left, share in taken:
-                slots.setdefault(slot, []).append((test, left))
-                shares[slot] = shares.get(slot, 1.0) * share
-            order = list(slots)
-            base += value * float(np.prod([shares[s] for s in order])) if order else value
-            if order:
-                leaves.append(([(s, slots[s]) for s in order], _mask_table(value, [shares[s] for s in order])))
-    return base, leaves
-
-
-def _contribute(x, leaves, n_slots):
-    """Slot contributions of a batch: ``x`` is rows x slots."""
-    out = np.zeros((len(x), n_slots))
-    for conditions, table in leaves:
-        mask = np.zeros(len(x), dtype=np.int64)
-        for bit, (slot, tests) in enumerate(conditions):
-            met = np.ones(len(x), dtype=bool)
-            for test, left in tests:
-                goes_left = np.isin(x[:, slot], list(test)) if isinstance(test, frozenset) else x[:, slot] <= test
-                met &= goes_left == left
-            mask |= met.astype(np.int64) << bit
-        for bit, (slot, _) in enumerate(conditions):
-            out[:, slot] += table[mask, bit]
-    return out
-
-
-def _impacts(spark, tables, n_out):
-    """Arrow UDF over the models' input arrays: mean contribution per output position."""
-    shared = spark.sparkContext.broadcast(tables)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def impacts(*inputs: pd.Series) -> pd.Series:
-        total = np.zeros((len(inputs[0]), n_out))
-        for x, (leaves, owner) in zip(inputs, shared.value):
-            if len(x):
-                slots = _contribute(np.vstack(x.to_numpy()), leaves, len(owner))
-                np.add.at(total.T, owner, slots.T)
-        return pd.Series(list(total / len(inputs)))
+def slot_attributions(model: BoostedModel, df: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, margin, base, slot, impact): contributions of every input on the model's margin scale."""
+    impacts = model.udf(df.sparkSession, Ensemble.slot_contributions, T.ArrayType(T.DoubleType()))
+    rows = model.with_margin(df.withColumn("_impacts", impacts))
+    return rows.select(id_col, "margin", F.lit(model.ensemble.base).alias("base"), F.posexplode("_impacts").alias("slot", "impact"))
 
-    return impacts
 
+def _by_feature(features: list):
+    def run(ensemble: Ensemble, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), len(features)))
+        owner = np.array([features.index(f) for f, _ in ensemble.slots])
+        np.add.at(out.T, owner, ensemble.slot_contributions(x).T)
+        return out
 
-def slot_attributions(model: PipelineModel, df: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, margin, base, slot, impact): contributions of every input on the model's margin scale."""
-    base, leaves = leaf_tables(model)
-    n_slots = len(slot_features(model))
-    impacts = _impacts(df.sparkSession, [(leaves, np.arange(n_slots))], n_slots)
-    return model.transform(df).select(
-        id_col, vector_to_array("rawPrediction")[1].alias("margin"), F.lit(base).alias("base"),
-        F.posexplode(impacts(vector_to_array("features"))).alias("slot", "impact"))
+    return run
 
 
 def tree_attributions(model, df: DataFrame, id_col: str = "id") -> DataFrame:
     """``df`` with ``base`` and ``contributions``, a struct of the 13 features in label order.
 
     Contributions of a calibrated model are those of its base models, averaged.
-    Only the input arrays travel to Python; all other columns stay in the JVM.
+    Only the 13 inputs travel to Python; all other columns stay in the JVM.
     """
     models = model.bases if isinstance(model, CalibratedModel) else [model]
-    features = list(fv.EXPLANATION_LABELS)
-    keep, out, tables, bases = df.columns, df, [], []
+    features, keep, out = list(fv.EXPLANATION_LABELS), df.columns, df
+    compute = _by_feature(features)
     for i, m in enumerate(models):
-        base, leaves = leaf_tables(m)
-        bases.append(base)
-        tables.append((leaves, np.array([features.index(f) for f in slot_features(m)])))
-        plain = [c for c in keep if c not in ("prediction", "probability")]
-        hidden = [F.col(c).alias(f"_kept_{c}") for c in keep if c not in plain] if i == 0 else \
-            [f"_kept_{c}" for c in keep if c not in plain]
-        out = out.select(*plain, *hidden, *[f"_x{j}" for j in range(i)])
-        out = m.transform(out).withColumn(f"_x{i}", vector_to_array("features")).select(
-            *out.columns, f"_x{i}")
-    out = out.withColumn(
-        "_impacts", _impacts(df.sparkSession, tables, len(features))(*[F.col(f"_x{i}") for i in range(len(models))]))
-    named = F.struct(*[F.col("_impacts")[i].alias(f) for i, f in enumerate(features)])
-    return out.select(
-        *[F.col(f"_kept_{c}").alias(c) if c in ("prediction", "probability") else c for c in keep],
-        F.lit(sum(bases) / len(bases)).alias("base"), named.alias("contributions"))
+        out = out.withColumn(f"_impacts{i}", m.udf(df.sparkSession, compute, T.ArrayType(T.DoubleType())))
+    mean = [sum((F.col(f"_impacts{i}")[k] for i in range(len(models))), F.lit(0.0)) / len(models) for k in range(len(features))]
+    named = F.struct(*[c.alias(f) for c, f in zip(mean, features)])
+    base = float(np.mean([m.ensemble.base for m in models]))
+    return out.select(*keep, F.lit(base).alias("base"), named.alias("contributions"))

@@ -1,24 +1,24 @@
-"""Split, weighting, encoding, boosted trees and calibration with Spark ML."""
+"""Split, weighting, imputation, boosted trees and calibration."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidentlens import fixed_values as fv
 from incidentlens.functions.cleaning import risk_target_v1, risk_target_v2
 from incidentlens.operators.aggregates import top_value_by_group
+from incidentlens.operators.boosted_model import BoostedModel
+from incidentlens.operators.boosting import BINS, ROW_BLOCK, Block, Settings, fit_trees
+from incidentlens.operators.encoding import category_dictionary, encoded
 from incidentlens.operators.ordering import exact_quantiles, hash_cut, hash_key
-from incidentlens.plans.materialize import shared_dir
-
-# Columns with more categories than this become one category-valued input instead of one input each.
-ONEHOT_LIMIT = 64
-# Categories kept per column; rarer ones are encoded like unseen ones.
-MAX_CATEGORIES = 32768
+from incidentlens.plans.materialize import materialize
+from incidentlens.plans.workers import ship
 
 
 def labelled(e: DataFrame, version: str = "v2") -> DataFrame:
@@ -96,95 +96,102 @@ def weighted(df: DataFrame, label: str = "target") -> DataFrame:
         "weight", F.when(F.col(label) == 1, F.lit(float(sizes["scale_pos_weight"]))).otherwise(F.lit(1.0)))
 
 
-# --- encoding -------------------------------------------------------------------------
-
-
-def frequent_categories(train: DataFrame, cols=tuple(fv.CATEGORICAL), limit: int = MAX_CATEGORIES) -> dict:
-    """The most frequent categories of each column, at most ``limit`` of them."""
-    counts = _cells(train, cols, "string").groupBy("column", "value").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
-    kept = counts.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= limit)
-    out = {c: [] for c in cols}
-    for row in kept.orderBy("column", "_rn").collect():
-        out[row["column"]].append(row["value"])
-    return {c: values or ["Unknown"] for c, values in out.items()}
-
-
-def onehot_ignore_unknown(cols, categories: dict, prefix: str = "") -> list:
-    """Indexer and one-hot stages; unseen categories give all zeros (theirs is the dropped slot)."""
-    stages = [
-        StringIndexerModel.from_labels(
-            categories[c], inputCol=c, outputCol=f"{prefix}{c}_index", handleInvalid="keep")
-        for c in cols]
-    onehot = [c for c in cols if len(categories[c]) <= ONEHOT_LIMIT]
-    if onehot:
-        stages.append(OneHotEncoder(
-            inputCols=[f"{prefix}{c}_index" for c in onehot], outputCols=[f"{prefix}{c}_slots" for c in onehot],
-            dropLast=True))
-    return stages
-
-
-def encoded_columns(categories: dict, prefix: str = "") -> list:
-    """(feature, assembled column, slots) in model order."""
-    out = []
-    for c in fv.CATEGORICAL:
-        if len(categories[c]) <= ONEHOT_LIMIT:
-            out.append((c, f"{prefix}{c}_slots", len(categories[c])))
-        else:
-            out.append((c, f"{prefix}{c}_index", 1))
-    return out + [(c, c, 1) for c in fv.NUMERICAL]
-
-
-def _imputer(train):
-    """A stage that fills gaps with the training part's modes and medians (13 literals)."""
-    modes = {r["column"]: r["value"] for r in impute_mode(train).collect()}
-    medians = {r["column"]: r["value"] for r in impute_median(train).collect()}
-    filled = []
-    for c in fv.CATEGORICAL:
-        text = modes.get(c, "Unknown").replace("\\", "\\\\").replace("'", "\\'")
-        filled.append(f"coalesce({c}, '{text}') as {c}")
-    for c in fv.NUMERICAL:
-        filled.append(f"coalesce(cast({c} as double), {float(medians.get(c, 0.0))!r}D) as {c}")
-    return SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(fv.FEATURES)}), {', '.join(filled)} FROM __THIS__")
-
-
 # --- boosted trees --------------------------------------------------------------------
 
 
-def train_gbt(df: DataFrame, rounds: int = 300, label: str = "target", seed: int = 42) -> PipelineModel:
-    """Impute, encode and boost; all statistics come from ``df`` alone."""
+def fill_values(train: DataFrame) -> dict:
+    """What fills the gaps of the 13 features: the training part's modes and medians."""
+    fills = {c: "Unknown" for c in fv.CATEGORICAL} | {c: 0.0 for c in fv.NUMERICAL}
+    fills.update({r["column"]: r["value"] for r in impute_mode(train).collect()})
+    fills.update({r["column"]: float(r["value"]) for r in impute_median(train).collect()})
+    return fills
+
+
+def numeric_cuts(df: DataFrame, cols=tuple(fv.NUMERICAL), bins: int = BINS) -> list[np.ndarray]:
+    """Rising cuts of each column at approximate quantiles, from one mergeable sketch each; a bin ends below its cut."""
+    shares = [i / bins for i in range(1, bins)]
+    row = df.agg(*[F.percentile_approx(c, shares, 40 * bins).alias(c) for c in cols]).first()
+    return [np.unique(np.array(row[c] or [], float)) for c in cols]
+
+
+def packed_blocks(rows: DataFrame, cuts: list[np.ndarray], label: str) -> DataFrame:
+    """Rows with ``slots`` (places of categories) packed into the blocks that ``fit_trees`` takes, as a written table."""
+    ship(rows.sparkSession)
+    n_numeric = len(cuts)
+
+    def pack(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROW_BLOCK):
+                part = batch.slice(lo, ROW_BLOCK)
+                n = part.num_rows
+                places = part.column(0).flatten().fill_null(-1).to_numpy(zero_copy_only=False).reshape(n, -1)
+                codes = np.empty((n, places.shape[1] + n_numeric), np.int32)
+                codes[:, :places.shape[1]] = places
+                for i, cut in enumerate(cuts):
+                    value = part.column(4 + i).to_numpy(zero_copy_only=False).astype(float)
+                    codes[:, places.shape[1] + i] = np.where(np.isnan(value), 0, 1 + np.searchsorted(cut, value, "right"))
+                cells = [codes, *[part.column(k).to_numpy(zero_copy_only=False).astype(kind)
+                                  for k, kind in ((1, np.float64), (2, np.float64), (3, np.int64))]]
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in cells]],
+                                                 names=["n", "codes", "y", "w", "row_key"])
+
+    source = rows.select("slots", F.col(label).cast("double"), F.col("weight").cast("double"), F.xxhash64("id"),
+                         *[F.col(c).cast("double") for c in fv.NUMERICAL])
+    return materialize(source.mapInArrow(pack, "n int, codes binary, y binary, w binary, row_key binary"))
+
+
+def _block(row) -> Block:
+    n = row["n"]
+    y, w = (np.frombuffer(row[c], np.float64) for c in ("y", "w"))
+    return Block(np.asfortranarray(np.frombuffer(row["codes"], np.int32).reshape(n, -1)), y, w, np.frombuffer(row["row_key"], np.int64), np.zeros(n))
+
+
+def train_gbt(df: DataFrame, rounds: int = 300, label: str = "target", seed: int = 42, fill: bool = True,
+              settings: Settings | None = None) -> BoostedModel:
+    """Impute, encode and boost; all statistics come from ``df`` alone.
+
+    Trees of depth 4 are boosted to second order at rate 0.03, each from 80 % of the rows and 80 % of the inputs, with at least
+    a hessian of 2 in every child; positives weigh as much as negatives in sum. With ``fill=False`` gaps are left as
+    they are: each split learns the side that they take, and a gap in a category column has none of its categories.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    train = weighted(df.select("id", label, *fv.FEATURES), label).persist()
-    try:
-        categories = frequent_categories(train)
-        parts = encoded_columns(categories)
-        arity = max([len(v) + 1 for c, v in categories.items() if len(v) > ONEHOT_LIMIT], default=0)
-        booster = GBTClassifier(
-            featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds, stepSize=0.03, maxDepth=4,
-            subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=2, maxBins=max(32, arity),
-            checkpointInterval=10, seed=seed)
-        stages = [
-            _imputer(train),
-            *onehot_ignore_unknown(fv.CATEGORICAL, categories),
-            VectorAssembler(inputCols=[c for _, c, _ in parts], outputCol="features"),
-            booster,
-        ]
-        return Pipeline(stages=stages).fit(train)
-    finally:
-        train.unpersist()
+    settings = settings or Settings(rounds=rounds, seed=seed)
+    train = weighted(df.select("id", label, *fv.FEATURES), label)
+    fills = fill_values(train) if fill else {}
+    filled = {c: F.coalesce(F.col(c).cast("string" if c in fv.CATEGORICAL else "double"), F.lit(v)) for c, v in fills.items()}
+    train, seen = materialize(train.withColumns(filled), rows=F.count(F.lit(1)), heaviest=F.max("weight"))
+    dictionary = category_dictionary(train, fv.CATEGORICAL)
+    cuts = numeric_cuts(train)
+    sizes = {r["column_no"]: r["n"] for r in dictionary.groupBy("column_no").agg(F.count("*").alias("n")).collect()}
+    widths = [sizes.get(i, 0) for i in range(len(fv.CATEGORICAL))] + [len(cut) + 2 for cut in cuts]
+    table = packed_blocks(encoded(train, dictionary, fv.CATEGORICAL, "place"), cuts, label)
+    blocks = table.rdd.map(_block)
+    trees, scale = fit_trees(blocks, widths, len(fv.CATEGORICAL), seen["rows"], seen["heaviest"], settings)
+    return BoostedModel(_named_nodes(spark, trees, scale, settings, dictionary, cuts), fills)
+
+
+def _named_nodes(spark, trees, scale, settings, dictionary, cuts) -> list[dict]:
+    """Tree nodes with the names of their features, the texts of their categories and real thresholds."""
+    wide, names = len(fv.CATEGORICAL), [*fv.CATEGORICAL, *fv.NUMERICAL]
+    used = sorted({(c, code) for t in trees for c, code in zip(t.column, t.code) if 0 <= c < wide})
+    wanted = spark.createDataFrame(used, "column_no int, place bigint")
+    met = dictionary.join(F.broadcast(wanted), ["column_no", "place"]).collect() if used else []
+    text = {(r["column_no"], r["place"]): r["value"] for r in met}
+    out = []
+    for number, tree in enumerate(trees):
+        values = tree.leaf_values(settings, scale)
+        for node, (c, code) in enumerate(zip(tree.column, tree.code)):
+            out.append({
+                "tree": number, "node": node, "feature": names[c] if c >= 0 else None,
+                "category": text[c, code] if 0 <= c < wide else None,
+                "threshold": float(cuts[c - wide][code - 1]) if c >= wide else None, "gap_left": bool(tree.gap_left[node]),
+                "left": tree.left[node], "right": tree.right[node], "value": float(values[node]), "cover": tree.h[node] / scale})
+    return out
 
 
 def score(model, df: DataFrame) -> DataFrame:
     """Adds ``prediction`` (int) and ``probability`` of the positive class."""
-    if isinstance(model, CalibratedModel):
-        return model.transform(df)
-    out = model.transform(df)
-    keep = [c for c in df.columns if c not in ("prediction", "probability")]
-    return out.select(
-        *keep, F.col("prediction").cast("int").alias("prediction"),
-        vector_to_array("probability")[1].alias("probability"))
+    return model.transform(df)
 
 
 class CalibratedModel:
@@ -198,28 +205,23 @@ class CalibratedModel:
         out = df.drop("prediction", "probability")
         keep = out.columns
         for i, model in enumerate(self.bases):
-            out = model.transform(out.select(*keep, *[f"_p{j}" for j in range(i)])).withColumn(
-                f"_p{i}", vector_to_array("probability")[1])
-            out = out.select(*keep, *[f"_p{j}" for j in range(i + 1)])
-        parts = [1 / (1 + F.exp(-(F.lit(a) * F.col(f"_p{i}") + F.lit(b)))) for i, (a, b) in enumerate(self.sigmoids)]
+            out = model.with_margin(out, f"_m{i}")
+        chance = [1 / (1 + F.exp(-F.col(f"_m{i}"))) for i in range(len(self.bases))]
+        parts = [1 / (1 + F.exp(-(F.lit(a) * p + F.lit(b)))) for p, (a, b) in zip(chance, self.sigmoids)]
         mean = sum(parts[1:], parts[0]) / len(parts)
         return out.select(*keep, mean.alias("probability")).select(
             *keep, (F.col("probability") > 0.5).cast("int").alias("prediction"), "probability")
 
-    def save(self, path: str) -> None:
+    def save(self, spark: SparkSession, path: str) -> None:
         for i, model in enumerate(self.bases):
-            model.write().overwrite().save(f"{path}/base_{i}")
-        _session().createDataFrame([(json.dumps(self.sigmoids),)], "sigmoids string").coalesce(1).write.mode(
-            "overwrite").text(f"{path}/sigmoids")
+            model.save(spark, f"{path}/base_{i}")
+        about = {"class": "CalibratedModel", "sigmoids": self.sigmoids}
+        spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @classmethod
-    def load(cls, path: str) -> "CalibratedModel":
-        sigmoids = [tuple(s) for s in json.loads(_session().read.text(f"{path}/sigmoids").first()[0])]
-        return cls([PipelineModel.load(f"{path}/base_{i}") for i in range(len(sigmoids))], sigmoids)
-
-
-def _session():
-    return SparkSession.getActiveSession()
+    def load(cls, spark: SparkSession, path: str) -> "CalibratedModel":
+        sigmoids = [tuple(s) for s in json.loads(spark.read.text(f"{path}/about").first()[0])["sigmoids"]]
+        return cls([BoostedModel.load(spark, f"{path}/base_{i}") for i in range(len(sigmoids))], sigmoids)
 
 
 def fit_sigmoid(scored: DataFrame, label: str = "target") -> tuple:
@@ -241,15 +243,14 @@ def fit_sigmoid(scored: DataFrame, label: str = "target") -> tuple:
 
 
 def calibrate_sigmoid(df: DataFrame, k: int = 3, rounds: int = 300, label: str = "target", seed: int = 42) -> CalibratedModel:
-    """Per fold: boost on the other folds, calibrate on the fold itself."""
-    folded = kfold_stratified(df, label, k, seed).persist()
-    try:
-        bases, sigmoids = [], []
-        for i in range(k):
-            model = train_gbt(folded.filter(F.col("fold") != i), rounds, label, seed)
-            held = score(model, folded.filter(F.col("fold") == i)).select(label, "probability")
-            bases.append(model)
-            sigmoids.append(fit_sigmoid(held, label))
-        return CalibratedModel(bases, sigmoids)
-    finally:
-        folded.unpersist()
+    """Per fold: boost on the other folds, calibrate on the fold itself. The folds are fitted side by side."""
+    folded = materialize(kfold_stratified(df, label, k, seed))
+
+    def one(i):
+        model = train_gbt(folded.filter(F.col("fold") != i), rounds, label, seed)
+        held = score(model, folded.filter(F.col("fold") == i)).select(label, "probability")
+        return model, fit_sigmoid(held, label)
+
+    with ThreadPoolExecutor(k) as pool:
+        fitted = list(pool.map(one, range(k)))
+    return CalibratedModel([m for m, _ in fitted], [s for _, s in fitted])

@@ -1,6 +1,7 @@
 """Readers, load typing, upserts and writers."""
 
-from pyspark.ml import PipelineModel
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -8,7 +9,10 @@ from incidentlens import fixed_values as fv
 from incidentlens import schemas
 from incidentlens.functions.cleaning import strip, to_numeric
 from incidentlens.functions.frames import event_year_month, nested_json
+from incidentlens.operators.boosted_model import BoostedModel
+from incidentlens.operators.training import CalibratedModel
 from incidentlens.plans.materialize import materialize
+from incidentlens.sources.quoted_csv import read_quoted_csv
 
 
 def read_table(spark: SparkSession, path: str, name: str, columns=None, on_bad="keep", multi_line=True,
@@ -16,27 +20,27 @@ def read_table(spark: SparkSession, path: str, name: str, columns=None, on_bad="
     """Read one of the three CSV tables, all columns as text.
 
     Columns are matched by header, so a file may hold fewer or more columns or another
-    order. ``on_bad="skip"`` drops malformed lines. Quoted line breaks need
-    ``multi_line``; a file read that way is one task, so large inputs should
-    come as many files (or be read with ``multi_line=False``).
+    order. ``on_bad="skip"`` drops malformed lines. With ``multi_line`` fields may hold quoted line breaks; files
+    are read in ranges all the same (see ``quoted_csv``), in two passes.
     ``with_seq`` adds ``seq``, the file order of the rows.
     """
     reader = (
         spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
         .option("enforceSchema", False))  # files whose header differs from the first one's fail
-    mode = "DROPMALFORMED" if on_bad == "skip" else "PERMISSIVE"
     # The header alone fixes the file's column order; no values are inferred.
     found = reader.option("inferSchema", False).csv(path).columns
-    schema = ", ".join(f"`{c}` string" for c in found)
-    df = reader.schema(schema).option("mode", mode).csv(path)
-    seq = [file_order()] if with_seq else []
     wanted = columns or schemas.raw_columns(name)
-    if on_bad == "skip":
-        # Column pruning would stop the parser from seeing a malformed line's other fields.
-        df = reader.schema(schema).option("mode", mode).option("columnPruning", False).csv(path)
     present = {c: F.col(f"`{c}`") for c in found}
     picked = [present.get(c, F.lit(None).cast("string")).alias(c) for c in wanted]
-    return df.select(*picked, *seq)
+    if multi_line:
+        return read_quoted_csv(spark, path, found, on_bad).select(*picked, *(["seq"] if with_seq else []))
+    mode = "DROPMALFORMED" if on_bad == "skip" else "PERMISSIVE"
+    schema = ", ".join(f"`{c}` string" for c in found)
+    if on_bad == "skip":
+        # Column pruning would stop the parser from seeing a malformed line's other fields.
+        reader = reader.option("columnPruning", False)
+    df = reader.schema(schema).option("mode", mode).csv(path)
+    return df.select(*picked, *([file_order()] if with_seq else []))
 
 
 def scan_table(spark: SparkSession, columns=None, format: str = "parquet", **options) -> DataFrame:
@@ -175,13 +179,18 @@ def write_predictions(scored: DataFrame, path: str) -> None:
     prediction_rows(scored).write.mode("append").parquet(path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model, path: str) -> None:
+    """Store a fitted model: its node tables and what is needed to score with them."""
+    model.save(SparkSession.getActiveSession(), path)
 
 
-def load_model(path: str) -> PipelineModel:
-    """Reload a fitted pipeline and check that its last stage can predict."""
-    model = PipelineModel.load(path)
-    if not hasattr(model.stages[-1], "getPredictionCol"):
+def load_model(path: str):
+    """Reload a fitted model and check that it can predict."""
+    spark = SparkSession.getActiveSession()
+    if not _table_exists(spark, f"{path}/about"):
+        raise ValueError(f"{path} holds no predicting model")
+    kind = json.loads(spark.read.text(f"{path}/about").first()[0])["class"]
+    model = {"BoostedModel": BoostedModel, "CalibratedModel": CalibratedModel}[kind].load(spark, path)
+    if not getattr(model, "n_trees", None) and not getattr(model, "bases", None):
         raise ValueError(f"{path} holds no predicting model")
     return model
