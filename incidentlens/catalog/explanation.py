@@ -1,3 +1,5 @@
+import uuid
+
 from pyspark.sql import functions as F
 
 from incidentlens import fixed_values as fv
@@ -5,8 +7,9 @@ from incidentlens.catalog.cleaning import EXTRA as TRAINING
 from incidentlens.functions.frames import risk_bands
 from incidentlens.operators import explain as ops
 from incidentlens.plans.assess import banded, explained
+from incidentlens.plans.materialize import shared_dir
 from incidentlens.plans.training_frame import training_frame
-from incidentlens.sources import tables
+from incidentlens.sources import ledger, tables
 
 
 def scored_features(t):
@@ -100,13 +103,25 @@ def _folded(t):
         F.col("impact").cast("decimal(38,8)"), 6).cast("double").alias("impact"))
 
 
+def _assessed(t):
+    return banded(explained(scored_features(t))).withColumn("features_used", F.array().cast(
+        "array<struct<feature:string,feature_name:string,value:string,source:string>>"))
+
+
+def _batched(t):
+    """Two of three batches stored, then all three, one of them twice: each counts once, in both tables."""
+    rows = _assessed(t).withColumn("batch_id", (F.col("user_id") % 3).cast("string"))
+    root = f"{shared_dir(t.spark)}/incidentlens-batches-{uuid.uuid4().hex}"
+    for part in (rows.filter("batch_id < 2"), rows, rows.filter("batch_id = 1")):
+        ledger.write_batches(part, root)
+    audited = ledger.read_batches(t.spark, root, "audit").groupBy("batch_id").agg(F.count("*").alias("n_audited"))
+    stored = ledger.read_batches(t.spark, root, "predictions")
+    return stored.join(audited, "batch_id").select("batch_id", "id", "user_id", "risk_level", "risk_percentage", "n_audited")
+
+
 def _written(t):
     """Store assessed rows and read them back."""
-    from incidentlens.plans.materialize import shared_dir
-    import uuid
-
-    rows = banded(explained(scored_features(t))).withColumn("features_used", F.array().cast(
-        "array<struct<feature:string,feature_name:string,value:string,source:string>>"))
+    rows = _assessed(t)
     path = f"{shared_dir(t.spark)}/incidentlens-predictions-{uuid.uuid4().hex}"
     tables.write_predictions(rows, path)
     return t.spark.read.parquet(path).select(
@@ -143,6 +158,7 @@ QUERIES = {
     "fold_onehot": _folded,
     "audit_rows": lambda t: tables.audit_rows(risk_bands(t.predictions)),
     "write_predictions": _written,
+    "write_batches": _batched,
 }
 
 ORACLE = {
@@ -172,6 +188,8 @@ ORACLE = {
         || ' (' || classification || ') - Result: ' || risk_level || ' (' ||
         cast(cast(round(cast(risk_score * 100 as decimal(38,8)), 2) as double) as string) || '%)' as description,
         cast(null as string) as ip_address from md_predictions""",
+    "write_batches": f"""select cast(user_id % 3 as string) as batch_id, s.id, user_id, {LEVEL} as risk_level,
+        {PERCENT} as risk_percentage, count(*) over (partition by user_id % 3) as n_audited from scored s""",
     "write_predictions": f"""select s.id, user_id, {LEVEL} as risk_level, {PERCENT} as risk_percentage,
         {NARRATIVE_SQL} as explanation, 5 as n_factors from scored s join named n on n.id = s.id""",
 }

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from incidentlens.plans.materialize import shared_dir
 from incidentlens.sources import tables
+from incidentlens.sources.versions import read_version, upsert_version
 
 
 def _csv(df, spark, name):
@@ -57,7 +58,16 @@ def _loaded(t):
     csv = _csv(t.manufacturers.unionByName(t.manufacturers), t.spark, "manufacturers")
     path = f"{shared_dir(t.spark)}/incidentlens-manufacturers-{uuid.uuid4().hex}"
     tables.load(t.spark, csv, path, "manufacturers")
-    return t.spark.read.parquet(path).select("id", "name", "parent_company", "slug")
+    return read_version(t.spark, path).select("id", "name", "parent_company", "slug")
+
+
+def _upserted(t):
+    """Devices as the first version, then the updates and, once more, the same updates: what the current version holds."""
+    path = f"{shared_dir(t.spark)}/incidentlens-devices-{uuid.uuid4().hex}"
+    upsert_version(t.spark, path, t.devices.select("id", "name", "classification"))
+    for _ in range(2):
+        upsert_version(t.spark, path, _updates(t), "id", ["name"])
+    return read_version(t.spark, path)
 
 
 QUERIES = {
@@ -70,6 +80,7 @@ QUERIES = {
         "id", "device_id", "type", "status", "date"),
     "upsert_table": lambda t: tables.upsert(
         t.devices.select("id", "name", "classification"), _updates(t), "id", ["name"]),
+    "upsert_version": _upserted,
     "load_if_stale": lambda t: tables.load_if_stale(
         t.events, tables.dedupe(t.events_raw, "id", ["k1", "k2", "k3", "k4"])),
     "load_table": _loaded,
@@ -91,6 +102,12 @@ ORACLE = {
         select coalesce(d.id, u.id) as id, case when u.id is not null then u.name else d.name end as name,
           case when d.id is not null then d.classification else u.classification end as classification
         from md_devices d full outer join u on d.id = u.id""",
+    "upsert_version": """
+        with u as (select cast(p_partkey + (select count(*) // 2 from part) as string) as id, p_brand as name,
+            p_type as classification from part)
+        select coalesce(d.id, u.id) as id, case when u.id is not null then u.name else d.name end as name,
+          case when d.id is not null then d.classification else u.classification end as classification
+        from md_devices d full outer join u on d.id = u.id""",
     "load_if_stale": "select count(*) as incoming_rows, count(*) as target_rows, true as skipped from md_events",
     "load_table": "select id, name, parent_company, cast(null as string) as slug from md_manufacturers",
     "write_table": "select * from md_events",

@@ -13,6 +13,7 @@ from incidentlens.operators.boosted_model import BoostedModel
 from incidentlens.operators.training import CalibratedModel
 from incidentlens.plans.materialize import materialize
 from incidentlens.sources.quoted_csv import read_quoted_csv
+from incidentlens.sources.versions import current, merged_rows, upsert_version
 
 
 def read_table(spark: SparkSession, path: str, name: str, columns=None, on_bad="keep", multi_line=True,
@@ -88,16 +89,7 @@ def dedupe(df: DataFrame, key: str = "id", order=("seq",)) -> DataFrame:
 
 def upsert(target: DataFrame, updates: DataFrame, key: str = "id", set_cols=("name",)) -> DataFrame:
     """New version of ``target``: new keys are added, known keys get ``set_cols`` only."""
-    new = updates.select([F.col(c).alias(f"_new_{c}") for c in target.columns] + [F.lit(True).alias("_in")])
-    old = target.withColumn("_had", F.lit(True))
-    joined = old.join(new, F.col(key) == F.col(f"_new_{key}"), "full_outer")
-
-    def pick(c):
-        if c in set_cols:
-            return F.when(F.col("_in"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
-        return F.when(F.col("_had"), F.col(c)).otherwise(F.col(f"_new_{c}")).alias(c)
-
-    return joined.select([pick(c) for c in target.columns])
+    return merged_rows(target, updates, key, set_cols)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=()) -> None:
@@ -107,7 +99,7 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=
     writer.parquet(path)
 
 
-def _table_exists(spark, path):
+def path_exists(spark, path):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
@@ -115,22 +107,16 @@ def _table_exists(spark, path):
 def load(spark: SparkSession, csv_path: str, table_path: str, name: str, if_stale: bool = True, **read_options) -> int:
     """CSV -> typed, deduplicated table. Returns the rows written, 0 when the target was current.
 
-    The new version goes to its own sibling folder first, because the target it
-    is merged with cannot be overwritten while it is read.
+    The table is kept in versions (see ``versions``; read it with ``read_version``): only buckets with new or known keys
+    are replaced, and a load that fails leaves the version before.
     """
     rows = read_table(spark, csv_path, name, with_seq=True, **read_options)
     # Written once, so that counting and loading do not parse the text twice.
-    rows = materialize(dedupe(normalize(rows, name)).drop("seq"))
-    exists = _table_exists(spark, table_path)
-    if exists:
-        old = spark.read.parquet(table_path)
-        if if_stale and old.count() >= rows.count():
-            return 0
-        staged = f"{table_path.rstrip('/')}__next"
-        write_table(upsert(old, rows, "id", schemas.UPSERT_COLUMNS[name]), staged)
-        rows = spark.read.parquet(staged)
-    write_table(rows, table_path)
-    return spark.read.parquet(table_path).count()
+    rows, seen = materialize(dedupe(normalize(rows, name)).drop("seq"), rows=F.count(F.lit(1)))
+    have = current(spark, table_path)
+    if have and if_stale and sum(have["rows"].values()) >= seen["rows"]:
+        return 0
+    return sum(upsert_version(spark, table_path, rows, "id", schemas.UPSERT_COLUMNS[name])["rows"].values())
 
 
 def load_if_stale(target: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -151,9 +137,10 @@ def dataset_counts(m: DataFrame, d: DataFrame, e: DataFrame) -> DataFrame:
     )
 
 
-def audit_rows(scored: DataFrame) -> DataFrame:
-    """One creation record per scored row."""
+def audit_rows(scored: DataFrame, extra=()) -> DataFrame:
+    """One creation record per scored row, with the columns ``extra``."""
     return scored.select(
+        *extra,
         "user_id",
         F.lit(fv.AUDIT_ACTION).alias("action"),
         F.format_string(fv.AUDIT_TEXT, "name_manufacturer", "classification", "risk_level",
@@ -168,14 +155,15 @@ PREDICTION_COLUMNS = [
 ]
 
 
-def prediction_rows(scored: DataFrame) -> DataFrame:
-    """The stored form of scored requests: nested columns as JSON text."""
-    keep = [c for c in ("id", "request_id") if c in scored.columns]
+def prediction_rows(scored: DataFrame, extra=()) -> DataFrame:
+    """The stored form of scored requests, with the columns ``extra``: nested columns as JSON text."""
+    keep = [c for c in ("id", "request_id") if c in scored.columns] + list(extra)
     return nested_json(scored.select(*keep, *PREDICTION_COLUMNS), encode=True).withColumn(
         "created_at", F.current_timestamp())
 
 
 def write_predictions(scored: DataFrame, path: str) -> None:
+    """Append scored requests; ``ledger.write_batches`` stores each batch once, with its audit rows."""
     prediction_rows(scored).write.mode("append").parquet(path)
 
 
@@ -187,7 +175,7 @@ def save_model(model, path: str) -> None:
 def load_model(path: str):
     """Reload a fitted model and check that it can predict."""
     spark = SparkSession.getActiveSession()
-    if not _table_exists(spark, f"{path}/about"):
+    if not path_exists(spark, f"{path}/about"):
         raise ValueError(f"{path} holds no predicting model")
     kind = json.loads(spark.read.text(f"{path}/about").first()[0])["class"]
     model = {"BoostedModel": BoostedModel, "CalibratedModel": CalibratedModel}[kind].load(spark, path)
