@@ -68,16 +68,18 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_copies:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights=WEIGHTS, slopes=SLOPES, max_copies: int = MAX_COPIES, seed: int = 42, keep_text: bool = True) -> DataFrame:
-    """All columns of ``docs`` and ``size, source_size, target, taken, copies, position``, sorted by position.
+    """All columns of ``docs`` and ``size, source_size, target, taken, copies, position, positions``, sorted by position.
 
-    ``taken`` is ``size * copies``; a source's taken words come within half a document of its target. ``position`` is
-    the training time of the first copy in [0, 1), null for documents that are not taken. Nulls: a text has size 0, a null source is a source of its own, a null id is an id.
-    Rows with equal ids are told apart by text, equal rows are interchangeable. Documents of size 0 take part with
+    ``taken`` is ``size * copies``; a source's taken words come within half a document of its target. A source is laid out
+    in whole passes and a last one that ends with its target; ``positions`` are the training times in [0, 1) at which
+    the copies of a document begin, one in each pass that reaches it, and ``position`` is the first of them (none, and null,
+    for documents that are not taken). Nulls: a text has size 0, a null source is a source of its own, a null id is an id.
+    Rows with equal ids are told apart, and dealt to buckets, by text too; equal rows are interchangeable. Documents of size 0 take part with
     0 words. A column that has one of the new names keeps it and the new one gets a leading ``_``; an empty table
     gives an empty result.
     """
-    named = fresh(docs, "size", "source_size", "target", "taken", "copies", "position")
-    size, source_size, target, taken, copies, position = named
+    named = fresh(docs, "size", "source_size", "target", "taken", "copies", "position", "positions")
+    size, source_size, target, taken, copies, position, positions = named
     bucket, order, tie, start, slope, key, weight, ahead, whole, of_source, of_bucket = fresh(
         docs, "mix_bucket", "mix_order", "mix_tie", "mix_start", "mix_slope", "mix_source", "mix_weight", "mix_ahead",
         "mix_whole", "mix_of_source", "mix_of_bucket")
@@ -88,7 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     count = docs.count()  # the footers of a table tell it
     buckets = 1 << max(0, math.ceil(math.log2(max(1, count / BUCKET_ROWS))))
     buckets = min(max(buckets, LEAST_BUCKETS), MOST_BUCKETS)
-    rows = (rows.withColumn(order, F.xxhash64(F.lit(seed), column(id_col)))
+    rows = (rows.withColumn(order, F.xxhash64(F.lit(seed), column(id_col), F.col(tie)))
             .withColumn(bucket, F.pmod(F.shiftrightunsigned(order, 20), F.lit(buckets)))
             .withColumn(key, column(source_col).cast("string")))
     parts = materialize(rows.groupBy(F.col(key).alias("source"), F.col(bucket).alias("bucket"))
@@ -110,7 +112,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
              & (F.col(whole) < max_copies)).cast("int")
     rows = rows.withColumn(start, begin).withColumn(whole, full.cast("int")).withColumn(copies, F.col(whole) + extra)
     rows = rows.withColumn(taken, F.col(size) * F.col(copies))
-    rows = rows.withColumn(position, F.when(F.col(copies) > 0, _time(F.col(start), F.col(target), F.col(slope))))
+    # A document comes once in every pass over its source, so its next copy begins a pass of words later.
+    passes = F.when(F.col(copies) > 0, F.sequence(F.lit(0), F.col(copies) - 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn(positions, F.transform(passes, lambda c: _time(
+        F.col(start) + c * F.col(source_size), F.col(target), F.col(slope))))
+    rows = rows.withColumn(position, F.try_element_at(F.col(positions), F.lit(1)))
     return rows.select(*[column(c) for c in docs.columns if keep_text or c != text_col], *named).orderBy(
         F.asc_nulls_last(position), column(id_col))
 
@@ -128,6 +134,10 @@ def _time(words, target, slope):
 
 
 def expand_copies(mixed: DataFrame) -> DataFrame:
-    """One row for each copy of a document that ``mix`` takes, with its ``copy`` number from 0."""
-    (name,) = fresh(mixed, "copy")
-    return mixed.withColumn(name, F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).where(F.col("copies") > 0)
+    """One row for each copy of a document that ``mix`` takes, in the order of training.
+
+    ``copy`` numbers a document's copies from 0, ``copy_position`` is where the copy begins; rows are range-sorted by it.
+    """
+    copy, begins = fresh(mixed, "copy", "copy_position")
+    out = mixed.select("*", F.posexplode("positions").alias(copy, begins))
+    return out.orderBy(begins, *(["doc_id"] if "doc_id" in mixed.columns else []))

@@ -73,10 +73,64 @@ def test_schedule(spark):
         assert sum(early) / len(early) == pytest.approx(share, abs=0.01)
 
 
-def test_copies(spark, documents):
-    mixed = C.mix(documents.select("doc_id", "text", "source"))
-    copies = C.expand_copies(mixed)
-    assert copies.count() == mixed.agg({"copies": "sum"}).first()[0]
+def laid_out(rows, slope):
+    """A source's copies one after another, pass by pass, until its target: (doc_id, copy, words before it)."""
+    target, size = rows[0]["target"], rows[0]["source_size"]
+    order = sorted(rows, key=lambda r: r["position"] if r["position"] is not None else 2.0)
+    out, before = [], 0
+    for turn in range(3):
+        for r in order:
+            if turn < r["copies"]:
+                out.append((r["doc_id"], turn, before))
+            before += r["size"]
+        assert before == (turn + 1) * size
+    return [(i, c, w) for i, c, w in out if w < target]
+
+
+def when(words, target, slope):
+    """The time of a demand, by bisection on the integrated schedule."""
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        t = (lo + hi) / 2
+        if target * ((1 - slope) * t + slope * t * t) < words:
+            lo = t
+        else:
+            hi = t
+    return lo
+
+
+def test_positions_of_copies(spark, documents):
+    """Every copy is where a plain layout puts it, and each tenth of the time has the words of its source's schedule."""
+    df = documents.select("doc_id", "text", "source")
+    mixed = C.mix(df)
+    rows = defaultdict(list)
+    for r in mixed.collect():
+        rows[r["source"]].append(r)
+    copies = C.expand_copies(mixed).collect()
+    assert [r["copy_position"] for r in copies] == sorted(r["copy_position"] for r in copies)
+    got = {(r["doc_id"], r["copy"]): r["copy_position"] for r in copies}
+    assert len(got) == len(copies) == sum(r["copies"] for part in rows.values() for r in part)
+    most = 0
+    for n, source in enumerate(sorted(rows, key=lambda s: (s is None, (s or "").encode()))):
+        part, slope = rows[source], C.SLOPES[n % 3]
+        target, largest = part[0]["target"], max(r["size"] for r in part)
+        most = max(most, target / max(1, part[0]["source_size"]))
+        size = {r["doc_id"]: r["size"] for r in part}
+        for i, c, before in laid_out(part, slope):
+            assert got[i, c] == pytest.approx(when(before, target, slope), abs=1e-9)
+        for k in range(1, 11):
+            demand = target * ((1 - slope) * k / 10 + slope * k * k / 100)
+            words_by = sum(size[i] for (i, c), t in got.items() if i in size and t < k / 10)
+            assert abs(words_by - demand) <= largest + 1
+    assert most > 2
+
+
+def test_hot_ids_are_spread(spark):
+    """Documents that share an id, or have none, are dealt to buckets by their texts."""
+    rows = [(None if i % 2 else 7, f"text {i} " + "w " * (i % 9), "s") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = C.mix(df, weights=(1,), slopes=(0.0,)).collect()
+    assert len({r["position"] for r in got}) == 3000
 
 
 def test_odd_rows(odd, nothing):
