@@ -1,6 +1,10 @@
+import uuid
+
 from pyspark.sql import functions as F
 
 from incidentlens.operators import history as ops
+from incidentlens.plans import maintained
+from incidentlens.plans.materialize import materialize, shared_dir
 
 YEARLY = """
     select device_id, event_year as year, count(*) as event_count from md_events
@@ -42,6 +46,22 @@ FILLED = """
 EXTRA = {"yearly": YEARLY, "trend_numbers": TREND, "trend_labels": LABELS, "trend_texts": TEXTS, "filled": FILLED}
 
 
+def _maintained(t):
+    """The cube after four batches: most events, some of them a year late; corrections; the rest and some that are no
+    events; and those taken back. One batch is sent twice."""
+    path = f"{shared_dir(t.spark)}/incidentlens-cube-{uuid.uuid4().hex}"
+    events = materialize(t.events.select("id", *maintained.CUBE))
+    part = F.pmod(F.xxhash64("id"), F.lit(10))
+    late = lambda df: df.withColumn("event_year", F.col("event_year") + 1)
+    wrong, rest = events.filter(part < 2), events.filter(part >= 8)
+    maintained.apply_batch(t.spark, path, "first", late(wrong).unionByName(events.filter((part >= 2) & (part < 8))))
+    for _ in range(2):
+        maintained.apply_batch(t.spark, path, "corrections", now=wrong, before=late(wrong))
+    maintained.apply_batch(t.spark, path, "rest", now=rest.unionByName(late(rest)))
+    maintained.apply_batch(t.spark, path, "taken back", before=late(rest))
+    return maintained.cube_rows(t.spark, path)
+
+
 def report_points(t):
     """The report as flat rows: one per history point, one with NULL year for a device without any."""
     r = ops.device_history_report(t.devices, t.events)
@@ -54,6 +74,9 @@ def report_points(t):
 
 
 QUERIES = {
+    "maintained_yearly_history": lambda t: maintained.yearly_history_of(_maintained(t)),
+    "maintained_manufacturer_counts": lambda t: maintained.manufacturer_counts_of(_maintained(t), t.devices),
+    "maintained_totals": lambda t: maintained.totals_of(_maintained(t)),
     "device_yearly_history": lambda t: ops.device_yearly_history(t.events),
     "zero_fill_years": lambda t: ops.zero_fill_years(ops.device_yearly_history(t.events)),
     "device_trend": lambda t: ops.device_trend(ops.device_yearly_history(t.events)).drop("history"),
@@ -62,6 +85,13 @@ QUERIES = {
 }
 
 ORACLE = {
+    "maintained_yearly_history": YEARLY,
+    "maintained_manufacturer_counts": """select manufacturer_id, count(*) as manufacturer_event_count
+        from md_events e join md_devices d on d.id = e.device_id where manufacturer_id is not null group by manufacturer_id""",
+    "maintained_totals": """select count(*) as total_events, count(*) filter (type = 'Recall') as recalls,
+        count(*) filter (type = 'Safety alert') as safety_alerts, count(*) filter (type = 'Field Safety Notice') as safety_notices,
+        count(distinct device_id) as devices,
+        coalesce(max(case when event_year between 1980 and 2035 then event_year end), 2025) as latest_year from md_events""",
     "device_yearly_history": "select * from yearly",
     "zero_fill_years": "select * from filled",
     "device_trend": "select * from trend_texts",

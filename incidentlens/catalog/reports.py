@@ -1,12 +1,14 @@
+import uuid
+
 from pyspark.sql import functions as F
 
 from incidentlens import fixed_values as fv
 from incidentlens.catalog.cleaning import EXTRA as TRAINING
 from incidentlens.operators import aggregates as agg
-from incidentlens.operators import joins, search
+from incidentlens.operators import joins, paging, search
 from incidentlens.functions.frames import risk_bands
 from incidentlens.operators.training import labelled
-from incidentlens.plans.materialize import materialize
+from incidentlens.plans.materialize import materialize, shared_dir
 from incidentlens.plans.training_frame import merged_events
 
 EXTRA = {"merged": TRAINING["merged"], "tokens": TRAINING["tokens"]}
@@ -53,7 +55,32 @@ EXTRA["banded"] = """
     select *, cast(round(cast(risk_score * 100 as decimal(38,8)), 2) as double) as risk_percentage,
       case when risk_level = 'HIGH' then 'High Risk' else 'Low Risk' end as prediction_label from md_predictions"""
 
+def _index(t, df, order):
+    path = f"{shared_dir(t.spark)}/incidentlens-index-{uuid.uuid4().hex}"
+    # Small ranges, so that the test tables have many.
+    paging.build_order_index(df, order, path, range_rows=max(50, df.count() // 40))
+    return path
+
+
+def _deep_logs(t):
+    """A hundred log entries from the middle of the newest-first order, with their users."""
+    path = _index(t, t.audit_logs, ["-created_at", "-id"])
+    page = paging.indexed_page(t.spark, path, 100, t.raw("events").count() // 2, with_total=True)
+    total = page.select("id", "total")
+    return joins.logs_with_users(page.drop("total"), t.users).join(total, "id")
+
+
+def _deep_devices(t):
+    """Forty devices from the middle of those whose names contain a term, in the order of their names."""
+    path = _index(t, t.devices.filter("name is not null").select("id", "name", "classification"), ["name", "id"])
+    found = F.col("name").ilike("%a%")
+    half = t.devices.filter(found).count() // 2
+    return paging.indexed_page(t.spark, path, 40, half, where=found, with_total=True)
+
+
 QUERIES = {
+    "deep_page_logs": _deep_logs,
+    "deep_page_devices": _deep_devices,
     "enrich_event_counts": lambda t: joins.enrich_event_counts(materialize(merged_events(t.events, t.devices))).select(
         "id", "device_id", "manufacturer_id", "event_count", "manufacturer_event_count"),
     "semi_join_events": lambda t: joins.semi_join_events(t.events, t.devices, _makers(t)),
@@ -96,6 +123,15 @@ QUERIES = {
 }
 
 ORACLE = {
+    "deep_page_logs": """select l.id, l.user_id, case when u.id is not null then u.full_name
+        when l.user_id is not null then 'User #' || l.user_id end as user_name, u.email as user_email,
+        u.role as user_role, l.action, l.description, l.ip_address, l.created_at, l.total
+        from (select *, row_number() over (order by created_at desc, id desc) as rn, count(*) over () as total
+          from md_audit_logs) l left join md_users u on l.user_id = u.id
+        where rn > total // 2 and rn <= total // 2 + 100""",
+    "deep_page_devices": """select id, name, classification, total from (select id, name, classification,
+          row_number() over (order by name, id) as rn, count(*) over () as total from md_devices where name ilike '%a%') d
+        where rn > total // 2 and rn <= total // 2 + 40""",
     "enrich_event_counts": """select g.id, g.device_id, g.manufacturer_id, dc.n as event_count,
         mc.n as manufacturer_event_count from merged g
         left join (select device_id, count(*) as n from merged group by device_id) dc on dc.device_id = g.device_id

@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from incidentlens.plans.materialize import materialize
 
@@ -74,12 +74,13 @@ def merged_rows(target: DataFrame, updates: DataFrame, key: str, set_cols) -> Da
 
 
 def upsert_version(spark: SparkSession, path: str, updates: DataFrame, key: str = "id", set_cols=("name",),
-                   buckets: int | None = None) -> dict:
+                   buckets: int | None = None, merge=None, notes: dict | None = None) -> dict:
     """Merge ``updates`` (one row for each key) into the table at ``path`` and commit a version; returns it.
 
     New keys are added, known keys get ``set_cols`` only. Without a table the updates are its first version, in ``buckets``
     buckets (by the number of rows unless given). Only buckets that updates fall into are read and written again; the
-    folders of the others are named as before.
+    folders of the others are named as before. ``merge(target, updates)`` replaces the rule for touched buckets; ``notes`` are
+    kept in the version.
     """
     path, old = path.rstrip("/"), current(spark, path.rstrip("/"))
     updates, seen = materialize(updates, rows=F.count(F.lit(1)))
@@ -93,17 +94,20 @@ def upsert_version(spark: SparkSession, path: str, updates: DataFrame, key: str
     updates = updates.select([F.col(f.name).cast(f.dataType) for f in schema] + [bucket.alias(BUCKET)])
     # At most as many values as the table has buckets.
     touched = {r[0] for r in updates.select(BUCKET).distinct().collect()}
-    if not touched:
+    if not touched and not notes:
         return old
     rows = updates.drop(BUCKET)
     if touched & {int(b) for b in old["folders"]}:
-        rows = merged_rows(read_version(spark, path, old["number"], touched), rows, key, set_cols)
+        target = read_version(spark, path, old["number"], touched)
+        rows = merge(target, rows) if merge else merged_rows(target, rows, key, set_cols)
     folder = f"data/{old['number'] + 1}-{uuid.uuid4().hex}"
     rows.withColumn(BUCKET, bucket).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{path}/{folder}")
-    counts = {r[0]: r[1] for r in spark.read.parquet(f"{path}/{folder}").groupBy(BUCKET).count().collect()}
-    version = dict(old, number=old["number"] + 1,
-                   folders=old["folders"] | {str(b): f"{folder}/{BUCKET}={b}" for b in counts},
-                   rows=old["rows"] | {str(b): n for b, n in counts.items()})
+    written = spark.read.schema(StructType(schema.fields + [StructField(BUCKET, IntegerType())])).parquet(f"{path}/{folder}")
+    counts = {r[0]: r[1] for r in written.groupBy(BUCKET).count().collect()}
+    keep = [b for b in old["folders"] if int(b) not in touched]  # a touched bucket may have lost all its rows
+    version = dict(old, number=old["number"] + 1, notes=notes if notes is not None else old.get("notes"),
+                   folders={b: old["folders"][b] for b in keep} | {str(b): f"{folder}/{BUCKET}={b}" for b in counts},
+                   rows={b: old["rows"][b] for b in keep} | {str(b): n for b, n in counts.items()})
     _commit(spark, path, version)
     return version
 
