@@ -1,14 +1,13 @@
 """Format-preserving pseudonyms: validated values are permuted within their format by a keyed Feistel network.
 
-The same value gets the same pseudonym in every document, whatever its separators, so values stay linked. Numbers with
-check digits keep valid ones, dates stay dates, addresses stay addresses. What does not validate is left alone.
+The same value gets the same pseudonym in every document, however it is written, so values stay linked: what is permuted is
+the day of a date and the national digits of a phone number, and the result is written in the shape that the value had.
+Numbers with check digits keep valid ones, dates stay dates, addresses stay addresses. What does not validate is left alone.
 Where a value ends follows from the shape of the text alone, never from its digits, so that a pseudonym ends where its value did.
 """
 
 from __future__ import annotations
 
-import bisect
-import functools
 import hashlib
 import math
 import re
@@ -96,12 +95,18 @@ def iban_check(country: str, rest: str) -> str:
     return f"{98 - int(number) % 97:02d}"
 
 
-@functools.cache
-def days_of(short_month: bool, short_day: bool, late: bool, no_may: bool) -> list[int]:
-    """The days from 1900 to 2099 with a month and a day of one digit, a day after the 12th, a month other than May."""
-    days = ((at, date.fromordinal(at)) for at in range(FIRST_DAY, LAST_DAY + 1))
-    return [at for at, x in days if not (short_month and x.month > 9 or short_day and x.day > 9 or late and x.day < 13
-                                         or no_may and x.month == 5)]
+# The country codes of one and two digits in the international numbering plan; all others have three.
+COUNTRY_CODES = {
+    "1", "7",
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49",
+    "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66",
+    "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+}
+
+
+def country_code(digits: str) -> int:
+    """The number of digits of the country code that an international number begins with."""
+    return next((n for n in (1, 2) if digits[:n] in COUNTRY_CODES), 3)
 
 
 class Pseudonyms:
@@ -119,7 +124,7 @@ class Pseudonyms:
         if len(text) > PIECE:
             pieces = [text[i:i + PIECE] for i in range(0, len(text), PIECE)]
             return "".join(self.characters(f"{kind}/{i}", p) for i, p in enumerate(pieces))
-        sets = [LETTERS if c.lower() in LETTERS else DIGITS if c in DIGITS else "" for c in text]
+        sets = ["" if not c.isascii() else LETTERS if c.lower() in LETTERS else DIGITS if c in DIGITS else "" for c in text]
         n = math.prod(len(s) for s in sets if s)
         if n <= 1:
             return text
@@ -166,22 +171,15 @@ class Pseudonyms:
         x = self.permute.apply("ip", 1 << 32, int.from_bytes(bytes(map(int, parts)), "big"), self.back)
         return ".".join(map(str, x.to_bytes(4, "big")))
 
-    def day(self, y: str, m: str, d: str, late: bool = False, no_may: bool = False) -> date | None:
-        """Permute a date among those whose month and day have as many digits; ``late``: among those after the 12th."""
+    def day(self, y: str, m: str, d: str) -> date | None:
+        """Permute a date among all days from 1900 to 2099, however it was written."""
         try:
             at = date(int(y), int(m), int(d)).toordinal()
         except ValueError:
             return None
         if not FIRST_DAY <= at <= LAST_DAY:
             return None
-        shape = len(m) == 1, len(d) == 1, late, no_may
-        if not any(shape):
-            return date.fromordinal(FIRST_DAY + self.permute.apply("date", LAST_DAY - FIRST_DAY + 1, at - FIRST_DAY, self.back))
-        days = days_of(*shape)
-        place = bisect.bisect_left(days, at)
-        if place == len(days) or days[place] != at:
-            return None
-        return date.fromordinal(days[self.permute.apply(f"date{shape}", len(days), place, self.back)])
+        return date.fromordinal(FIRST_DAY + self.permute.apply("date", LAST_DAY - FIRST_DAY + 1, at - FIRST_DAY, self.back))
 
     def iso(self, v: str) -> str | None:
         y, m, d = re.split("[-/]", v)
@@ -189,28 +187,29 @@ class Pseudonyms:
         return new and f"{new.year:04d}{v[4]}{new.month:0{len(m)}d}{v[4]}{new.day:0{len(d)}d}"
 
     def dotted(self, v: str) -> str | None:
-        """Day first; month first if that is no date, which then holds for the pseudonym too."""
+        """Day first; month first if that is no date. A day that month first could not be told by is written year first."""
         (a, b, y), (sign, other) = re.split("[./]", v), re.findall("[./]", v)
         if sign != other:
             return None
         late = int(b) > 12
-        new = self.day(y, a, b, late=True) if late else self.day(y, b, a)
+        new = self.day(y, a, b) if late else self.day(y, b, a)
         if new is None:
             return None
+        if late and new.day <= 12:
+            return new.isoformat()
         first, second = (new.month, new.day) if late else (new.day, new.month)
         return f"{first:0{len(a)}d}{sign}{second:0{len(b)}d}{sign}{new.year:04d}"
 
     def named(self, v: str) -> str | None:
         name, (d, y) = re.search("[A-Za-z]+", v)[0], re.findall("[0-9]+", v)
         case = next((c for c in (str.lower, str.upper, str.capitalize) if c(name) == name), None)
-        short = name.lower() not in MONTHS
         if case is None:
             return None
         month = 1 + [m[:3] for m in MONTHS].index(name[:3].lower())
-        # "May" counts as a full name, so that a short name never turns into it.
-        new = self.day(y, f"{month:02d}", d, no_may=short)
+        new = self.day(y, f"{month:02d}", d)
         if new is None:
             return None
+        short = name.lower() not in MONTHS
         other = case(MONTHS[new.month - 1][:3] if short else MONTHS[new.month - 1])
         parts = iter([f"{new.day:0{len(d)}d}", f"{new.year:04d}"])
         return re.sub("[A-Za-z]+|[0-9]+", lambda m: other if m[0] == name else next(parts), v)
@@ -231,13 +230,11 @@ class Pseudonyms:
         digits = "".join(c for c in v if c in DIGITS)
         if not 7 <= len(digits) <= 15:
             return None
-        code = 0
-        if v[0] == "+":
-            head = re.match(r"\+([0-9]{1,3})(?=[ .(-])", v)
-            code = len(head[1]) if head else 1
-        elif re.match(r"0[0-9]{2} [0-9]{4}|0[0-9]{3} ", v):
-            code = 1  # the zero is part of the shape
-        return refill(v, digits[:code] + self.digits(f"phone{digits[:code]}", digits[code:]))
+        # The country code and a zero that stands for it, or for calls within the country, belong to the shape.
+        head = country_code(digits) if v[0] == "+" else 0
+        if re.match(r"\+[0-9]+[ .-]?\(0\)|0[0-9]{2} [0-9]{4}|0[0-9]{3} ", v):
+            head += digits[head] == "0"
+        return refill(v, digits[:head] + self.digits("phone", digits[head:]))
 
     def card(self, v: str) -> str | None:
         digits = "".join(c for c in v if c in DIGITS)
@@ -302,9 +299,14 @@ def pseudonymize(docs: DataFrame, key: str | bytes, text_col: str = "text", coun
     Covered are e-mail addresses, card numbers (Luhn), IBANs (mod 97), social security numbers, IPv4 addresses, phone
     numbers, dates from 1900 to 2099, and secrets: access keys and values assigned to names like password (quoted or
     part of a longer name too). Dates are year first, day first, month first where the day is after the 12th, or with an
-    English month name. Not covered: years of two digits, ordinals (3rd), months in other languages, phone numbers
-    without + other than 3-3-4 digits in groups or 0 and groups of 2-3, 3-4 and 4 digits, values of secrets without any
-    digit, and what follows a sign other than ``_-./+~@!#$%^*`` in them, or stands before their first letter or digit.
+    English month name. One date has one pseudonym in all of these, and one phone number with and without its country code
+    (or the zero in its place). A day or month of one digit gets two where its pseudonym needs them, and a date with its
+    month first is written year first where the new day is before the 13th; the date, not that way of writing it,
+    then comes back.
+    Not covered: years of two digits, ordinals (3rd), months in other languages, phone numbers without + other than 3-3-4
+    digits in groups or 0 and groups of 2-3, 3-4 and 4 digits (so no ten digits in a row), IPv6 addresses, IBANs in lower case,
+    tokens that no such name is assigned to (``ghp_...``, ``Bearer ...``), values of secrets without any digit, and what
+    follows a sign other than ``_-./+~@!#$%^*`` in them, or stands before their first letter or digit.
     Null and empty texts stay as they are with 0 replacements; repeated rows get equal results; if a column has
     the name of ``count_col``, the count's name gets a leading ``_``; an empty table gives an empty result.
     ``back`` turns pseudonyms into the values they stand for.

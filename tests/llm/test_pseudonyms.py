@@ -94,9 +94,9 @@ def test_round_trip_of_a_table(documents):
 
 
 @pytest.mark.parametrize("value", [
-    "03/25/1984", "3/7/2021", "2021/03/07", "2021-3-7", "12 March 2020", "3 Mar 2020", "May 5, 1999", "DEC. 31 2001", "(555) 123 4567",
+    "2021/03/07", "12 March 2020", "(555) 123 4567",
     "555 123 4567", "020 7946 0958", "0113 496 0999", "token=eyJhbGci0.eyJzdWIi1.sflKx_w-9", "password: P@ssw0rd!9", '"token": "abc123def"',
-    "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCY1"])
+    "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCY1", "\u212aelvin.1@mail2.example.com", "+44 (0)20 7946 0958"])
 def test_more_formats_change_and_come_back(value):
     for key in (b"k", b"l", b"m", b"n", b"o"):
         text = f"before {value}, after"
@@ -105,3 +105,58 @@ def test_more_formats_change_and_come_back(value):
         assert P.Pseudonyms(key, back=True).text(new) == (text, 1)
     for part in re.split(r"[./]", value.split("=")[-1].strip()) if "=" in value else []:
         assert part not in new
+
+
+def day_of(text):
+    """The date of a text in any covered way of writing it."""
+    y = re.search(r"[0-9]{4}", text)[0]
+    rest = [int(x) for x in re.findall(r"[0-9]+", text.replace(y, "", 1))]
+    name = re.search(r"[A-Za-z]+", text)
+    if name:
+        return int(y), 1 + [m[:3] for m in P.MONTHS].index(name[0][:3].lower()), rest[0]
+    if text.index(y) == 0:
+        return int(y), *rest
+    return (int(y), rest[1], rest[0]) if rest[1] <= 12 else (int(y), rest[0], rest[1])
+
+
+SPELLINGS = ["{y}-{m:02d}-{d:02d}", "{y}-{m}-{d}", "{y}/{m:02d}/{d:02d}", "{d:02d}.{m:02d}.{y}", "{d}/{m}/{y}", "{d} {name} {y}",
+             "{d:02d} {name} {y}", "{d} {short} {y}", "{short}. {d}, {y}", "{name} {d:02d} {y}"]
+
+
+@pytest.mark.parametrize("y, m, d", [(1984, 3, 25), (2021, 3, 7), (2000, 2, 29), (1999, 12, 31), (1900, 1, 1), (2099, 12, 31),
+                                     (1977, 5, 4), (2010, 10, 10), (1950, 6, 15), (2024, 11, 3)])
+def test_one_date_has_one_pseudonym(y, m, d):
+    name = P.MONTHS[m - 1].capitalize()
+    ways = [s.format(y=y, m=m, d=d, name=name, short=name[:3]) for s in SPELLINGS] + [f"{m:02d}/{d:02d}/{y}", f"{m}/{d}/{y}"] * (d > 12)
+    for key in (b"k", b"l", b"m"):
+        seen = set()
+        for way in ways:
+            new, n = P.Pseudonyms(key).text(f"on {way}; x")
+            assert n == 1, way
+            seen.add(day_of(new[3:-3]))
+            back, n = P.Pseudonyms(key, back=True).text(new)
+            assert n == 1 and day_of(back[3:-3]) == (y, m, d)
+        assert len(seen) == 1 and seen != {(y, m, d)}
+
+
+@pytest.mark.parametrize("code, zone, mid, last", [
+    ("1", "555", "123", "4567"), ("1", "017", "555", "7713"), ("1", "212", "736", "5000"), ("1", "800", "001", "0000"),
+    ("44", "207", "946", "0958"), ("49", "301", "234", "5678"), ("33", "612", "345", "678"), ("7", "495", "123", "4567"),
+    ("353", "861", "234", "567"), ("91", "987", "654", "3210")])
+def test_one_phone_number_has_one_pseudonym(code, zone, mid, last):
+    """With and without blanks, signs, brackets, the country code or the zero in its place."""
+    ways = [f"+{code}{zone}{mid}{last}", f"+{code} {zone} {mid} {last}", f"+{code}-{zone}-{mid}-{last}", f"+{code} {zone}{mid}{last}"]
+    if len(last) == 4:
+        ways += [f"+{code} ({zone}) {mid}-{last}", f"({zone}) {mid} {last}", f"{zone} {mid} {last}" if zone[0] != "0" else f"({zone}) {mid}-{last}",
+                 f"{zone}-{mid}-{last}", f"0{zone} {mid} {last}", f"+{code} (0){zone} {mid} {last}"]
+    size = len(zone + mid + last)
+    for key in (b"k", b"l", b"m"):
+        seen = set()
+        for way in ways:
+            new, n = P.Pseudonyms(key).text(f"call {way}, x")
+            assert n == 1, way
+            assert P.Pseudonyms(key, back=True).text(new) == (f"call {way}, x", 1)
+            digits = re.sub("[^0-9]", "", new)
+            seen.add(digits[-size:])
+            assert digits[:-size] == re.sub("[^0-9]", "", way)[:-size]  # the country stays
+        assert len(seen) == 1 and seen != {zone + mid + last}
