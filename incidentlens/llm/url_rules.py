@@ -5,6 +5,7 @@ A page that a stated list rule fits gets that rule's verdict; the others are blo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -63,28 +64,65 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(all_, lambda x: ~F.endswith(x, F.lit("=")) | (x == F.lit("fragment="))))
 
 
+def _rarest(rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rule_id, token``: the token of each rule that ``counts`` (``token, n``) has least often."""
+    order = Window.partitionBy("rule_id").orderBy(F.coalesce("n", F.lit(0)), "token")
+    posted = rules.select("rule_id", F.explode("tokens").alias("token")).join(counts, "token", "left")
+    return posted.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("rule_id", "token")
+
+
+def token_classes(baskets: DataFrame, least: int) -> DataFrame:
+    """``token, stands, pages, hits``: tokens of at least ``least`` blocked pages (``hits``), each with the token that stands for it.
+
+    Tokens that the same pages have (told by their number and two sums of page hashes) are one class, for which its
+    first token by text stands: rules with one or another of them, or with several, would say the same.
+    """
+    posted = baskets.select("page", "blocked", F.explode("items").alias("token"))
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), "page").cast("decimal(38,0)"))
+    seen = posted.groupBy("token").agg(F.count(F.lit(1)).alias("pages"), F.count_if("blocked").alias("hits"),
+                                       wide(1).alias("_a"), wide(2).alias("_b")).where(F.col("hits") >= least)
+    same = seen.groupBy("pages", "hits", "_a", "_b").agg(F.min("token").alias("stands"))
+    return seen.join(same, ["pages", "hits", "_a", "_b"]).select("token", "stands", "pages", "hits")
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules from ``url, blocked`` rows: ``rule_id, tokens, confidence, support``.
 
+    One token stands for all tokens that the same labelled pages have, and a token whose pages are all blocked is a rule by
+    itself and takes part in no larger one, so what many urls share as a whole (a directory tree, a template) is
+    mined as one token. Of the others FP-growth finds all combinations; their number still doubles with each further
+    token of a chain of directories in which every level has pages of both kinds of its own.
     A rule is kept if no rule with fewer of its tokens has at least its confidence. Without rows, or without
     blocked ones, there are no rules.
     """
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "rule_id bigint, tokens array<string>, confidence double, support double")
-    baskets = materialize(labelled.select(
-        F.concat(url_tokens(F.col("url")), F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(
-            F.array().cast("array<string>"))).alias("items")))
-    n, blocked = baskets.agg(F.count(F.lit(1)), F.count_if(F.array_contains("items", BLOCK))).first()
+    baskets = materialize(labelled.select(F.monotonically_increasing_id().alias("page"), F.coalesce("blocked", F.lit(False)).alias("blocked"),
+                                          url_tokens(F.col("url")).alias("items")))
+    n, blocked = baskets.agg(F.count(F.lit(1)), F.count_if("blocked")).first()
     if not blocked:
         return empty
-    least = min(1.0, max(min_support, LEAST_PAGES / n))
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
+    share = min(1.0, max(min_support, LEAST_PAGES / n))
+    least = math.ceil(share * n - 1e-9)
+    classes = materialize(token_classes(baskets, least))
+    sure = F.col("hits") == F.col("pages")
+    single = classes.where((F.col("token") == F.col("stands")) & sure).select(
+        F.array("token").alias("tokens"), F.lit(1.0).alias("confidence"), (F.col("hits") / n).alias("support"))
+    # Baskets of the standing tokens, with the mark of blocked pages; pages with none of them still count.
+    standing = classes.where((F.col("token") == F.col("stands")) & ~sure).select("token")
+    kept = baskets.select("page", F.explode("items").alias("token")).join(standing, "token").groupBy("page").agg(
+        F.collect_list("token").alias("items"))
+    mark = F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))
+    marked = materialize(baskets.select("page", "blocked").join(kept, "page", "left").select(
+        F.concat(F.coalesce("items", F.array().cast("array<string>")), mark).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(marked)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BLOCK))
-    rules = materialize(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-                        .withColumn("rule_id", F.xxhash64("tokens")))
-    # A smaller rule shares the larger one's token, so both meet on the tokens, not on all pairs.
+    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").unionByName(single)
+    rules = materialize(rules.where(F.col("confidence") >= min_confidence).withColumn("rule_id", F.xxhash64("tokens")))
+    # A smaller rule meets larger ones at the one of its tokens that the fewest rules have, not in all pairs.
     one = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token"))
-    small = rules.select(F.col("tokens").alias("fewer"), F.col("confidence").alias("c"), F.element_at("tokens", 1).alias("token"))
+    counts = one.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    small = _rarest(rules, counts).join(rules, "rule_id").select(F.col("tokens").alias("fewer"), F.col("confidence").alias("c"), "token")
     worse = one.join(small, "token").where(
         (F.size("fewer") < F.size("tokens")) & (F.col("c") >= F.col("confidence"))
         & (F.size(F.array_except("fewer", "tokens")) == 0)).select("rule_id").distinct()
@@ -94,17 +132,15 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """For each distinct ``url`` that a mined rule matches: the rule with the highest confidence, then support.
 
-    The index maps a rule's rarest token to the rule; a url meets the rules of its tokens there, and the rest of a
-    rule's tokens are then looked for among the url's.
+    The index maps the token of a rule that the fewest urls have to the rule; a url meets the rules of its tokens there,
+    and the rest of a rule's tokens are then looked for among the url's.
     """
     tokens = urls.select("url").distinct().withColumn("items", url_tokens(F.col("url")))
-    posted = rules.select("rule_id", F.explode("tokens").alias("token"))
-    share = posted.groupBy("token").count()
-    rare = Window.partitionBy("rule_id").orderBy("count", "token")
-    index = (posted.join(share, "token").withColumn("n", F.row_number().over(rare)).where("n = 1")
-             .select("rule_id", "token").join(rules, "rule_id"))
-    met = tokens.select("url", "items", F.explode("items").alias("token")).join(index, "token")
-    met = met.where(F.size(F.array_except("tokens", "items")) == 0)
+    posted = tokens.select("url", "items", F.explode("items").alias("token"))
+    used = rules.select(F.explode("tokens").alias("token")).distinct()
+    counts = posted.select("token").join(used, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    index = _rarest(rules, counts).join(rules, "rule_id")
+    met = posted.join(index, "token").where(F.size(F.array_except("tokens", "items")) == 0)
     best = F.max(F.struct("confidence", "support", "rule_id"))
     return met.groupBy("url").agg(best.alias("best")).select("url", F.col("best.rule_id").alias("mined_rule"),
                                                            F.col("best.confidence").alias("confidence"))
