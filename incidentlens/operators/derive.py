@@ -6,6 +6,7 @@ rungs come from aggregates keyed by the distinct terms of the requests
 (manufacturer term, device term, class term), never from per-request lookups.
 """
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, Observation, Window
@@ -99,6 +100,11 @@ class History:
         self.devices = devices.select(*sorted(wanted))
         self.events = events
 
+    def prepare(self, *names: str) -> None:
+        """Build parts that don't need each other side by side: each is a few small jobs."""
+        with ThreadPoolExecutor(len(names)) as pool:
+            list(pool.map(lambda name: getattr(self, name), names))
+
     # --- events, reduced once -------------------------------------------------------
 
     @cached_property
@@ -580,6 +586,8 @@ def feature_provenance(df: DataFrame) -> DataFrame:
 def derive_features(requests: DataFrame, m: DataFrame, d: DataFrame, e: DataFrame) -> DataFrame:
     """Every request with its 13 features, their provenance and its validation errors."""
     h = history_for(requests, m, d, e)
+    h.prepare("_events_once", "maker_hits", "class_hits", "risk_class_tops", "_first_known")
+    h.prepare("maker_profile", "device_profile", "class_profile", "_global_tops", "country_by_type")
     r = (
         h.with_classification(h.asks, h.maker_profile)
         .join(h.device_profile, ["mterm", "dterm"], "left")
@@ -612,6 +620,7 @@ def derive_features(requests: DataFrame, m: DataFrame, d: DataFrame, e: DataFram
 def historical_counts(queries: DataFrame, m: DataFrame, d: DataFrame, e: DataFrame) -> DataFrame:
     """Per lookup: event counts, mean quantity, matched devices and name, and a note."""
     h = History(lookup_asks(queries), m, d, e)
+    h.prepare("_events_once", "maker_hits", "class_hits", "risk_class_tops", "_first_known")
     r = (
         h.with_classification(h.asks, h.maker_tops("classification"))
         .join(h.maker_stock, "mterm", "left")

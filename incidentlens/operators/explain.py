@@ -95,22 +95,27 @@ def factor_badge(c: Column) -> Column:
 def top_risk_factors(df: DataFrame, n: int = 5) -> DataFrame:
     """``risk_factors``: the ``n`` largest contributions by size; ties keep the order of ``contributions``.
 
-    All candidates are built as plain expressions and ordered as structs that start with their
-    size and place, so no per-element comparison function is needed.
+    Only sizes and places are ordered; values and texts are made for the places that are kept.
     """
     order = df.schema["contributions"].dataType.fieldNames()
-    candidates = []
-    for i, f in enumerate(order):
-        impact = F.col(f"contributions.{f}")
-        value, band = F.col(f).cast("string"), impact_band(impact)
-        candidates.append(F.struct(
-            (-F.abs(impact)).alias("size"), F.lit(i).alias("place"), F.lit(f).alias("feature"),
-            F.lit(fv.EXPLANATION_LABELS[f]).alias("feature_name"), value.alias("value"),
-            round_half(impact, 4).alias("importance"), band.alias("impact"),
-            _described(f, value, band).alias("description")))
-    kept = ("feature", "feature_name", "value", "importance", "impact", "description")
-    top = F.slice(F.array_sort(F.array(*candidates)), 1, n)
-    return df.withColumn("risk_factors", F.transform(top, lambda c: F.struct(*[c[k].alias(k) for k in kept])))
+    sized = F.array(*[F.struct((-F.abs(F.col(f"contributions.{f}"))).alias("size"), F.lit(i).alias("place"))
+                      for i, f in enumerate(order)])
+
+    def factor(f):
+        impact, value = F.col(f"contributions.{f}"), F.col(f).cast("string")
+        band = impact_band(impact)
+        return F.struct(
+            F.lit(f).alias("feature"), F.lit(fv.EXPLANATION_LABELS[f]).alias("feature_name"), value.alias("value"),
+            round_half(impact, 4).alias("importance"), band.alias("impact"), _described(f, value, band).alias("description"))
+
+    def at(place):
+        out = None
+        for i, f in enumerate(order):
+            out = F.when(place == i, factor(f)) if out is None else out.when(place == i, factor(f))
+        return out
+
+    top = F.slice(F.array_sort(sized), 1, n)
+    return df.withColumn("risk_factors", F.transform(top, lambda c: at(c["place"])))
 
 
 def is_high(df_prediction="prediction", probability="probability") -> Column:

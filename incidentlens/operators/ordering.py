@@ -9,6 +9,8 @@ number of rows) are accumulated globally.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from incidentlens.plans.materialize import materialize
+
 RANGES = 256
 HASH_PREFIX = 4  # hex digits: 65536 hash ranges
 
@@ -21,12 +23,17 @@ def running_totals(df: DataFrame, key: str, sums: dict, group: str | None = None
     known (column names), because their cut lists are broadcast.
     """
     groups = [group] if group else []
-    distinct = df.groupBy(*groups, key).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    # Written, as it is read for the cuts and again to be placed in them.
+    distinct = materialize(df.groupBy(*groups, key).agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
+    return _totals(distinct, key, sums, groups, ranges)
+
+
+def _totals(distinct, key, sums, groups, ranges):
     cuts = distinct.groupBy(*groups).agg(
         F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts"))
-    if group:
+    if groups:
         # One row per group; joined any other way, all keys of a group would share a task.
-        placed = distinct.join(F.broadcast(cuts), group)
+        placed = distinct.join(F.broadcast(cuts), groups)
     else:
         placed = distinct.withColumn("_cuts", cuts.scalar())
     placed = placed.withColumn("_range", _position("_cuts", F.col(key), ranges)).drop("_cuts")
@@ -56,8 +63,9 @@ def exact_quantiles(df: DataFrame, key: str, qs, group: str | None = None, range
     """Linear-interpolated quantiles: one row per (group and) ``q`` with ``value``."""
     groups = [group] if group else []
     known = df.filter(F.col(key).isNotNull())
-    totals = running_totals(known, key, {"n": F.lit(1).cast("bigint")}, group, ranges)
-    sizes = known.groupBy(*groups).agg(F.count("*").alias("_size"))
+    distinct = materialize(known.groupBy(*groups, key).agg(F.count("*").alias("n")))
+    totals = _totals(distinct, key, ["n"], groups, ranges)
+    sizes = distinct.groupBy(*groups).agg(F.sum("n").alias("_size"))
     points = sizes.select(*groups, F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"), "_size").select(
         *groups, "q", ((F.col("_size") - 1) * F.col("q")).alias("_pos"))
     wanted = points.select(
