@@ -2,9 +2,11 @@
 
 The reference of a document is all documents with smaller ids. It is indexed by content-defined blocks: anchors are the
 sequences of ``GRAM`` words with the smallest hash in some window of ``WINDOW`` words, and a block runs from an
-anchor to the end of the first anchor that makes it ``WINDOW`` words long. The index holds a block's fingerprint and the
-smallest document that has it. A document is parsed from left to right into factors, the longest chains of its
-blocks that an earlier document has; factors have ``WINDOW`` words at least, since blocks have.
+anchor to the end of the first anchor that makes it ``WINDOW`` words long. The index holds a block's fingerprint, the
+smallest document that has it and its place there. A document is parsed greedily from left to right into factors (first
+word, end, source document, place in the source): from the first indexed block that reaches beyond what is parsed, a factor
+goes on through every block that touches it and stands at the same distance in the same source. Factors have ``WINDOW``
+words at least, since blocks have.
 
 Passages begin and end inside blocks, so the boundaries of factors are checked word by word: every window that no
 factor covers, but whose smallest sequence another document has, is looked up by its own fingerprint. Equal windows have
@@ -87,6 +89,17 @@ def held(lists, i: int) -> np.ndarray:
     return np.sort(row.values.to_numpy(zero_copy_only=False).view(np.uint64)) if row.is_valid else EMPTY
 
 
+def indexed(lists, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row's indexed blocks (null: none): sorted fingerprints, source documents, places there."""
+    row = lists[i]
+    if not row.is_valid:
+        return EMPTY, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    block, source, place = (x.to_numpy(zero_copy_only=False) for x in row.values.flatten())
+    block = block.view(np.uint64)
+    order = np.argsort(block)
+    return block[order], source[order], place[order]
+
+
 def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(values), bool)
@@ -102,8 +115,28 @@ def covered(size: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def factorize(begin: np.ndarray, end: np.ndarray, source: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """The greedy parse: factors as (first, end, source, place in the source) from indexed blocks, sorted by where they begin.
+
+    ``source`` and ``place`` tell the document, and the word of it, at which a block is indexed.
+    """
+    out, i, n = [], 0, len(begin)
+    while i < n:
+        first, stop, doc, ahead = int(begin[i]), int(end[i]), int(source[i]), int(place[i] - begin[i])
+        j = i + 1
+        while j < n and begin[j] <= stop:
+            if source[j] == doc and place[j] - begin[j] == ahead and end[j] > stop:
+                stop = int(end[j])
+            j += 1
+        out.append((first, stop, doc, first + ahead))
+        i += 1
+        while i < n and end[i] <= stop:
+            i += 1
+    return out
+
+
 def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """``gram, block, id, mark``: the distinct anchors and blocks of each document."""
+    """``gram, block, id, mark, place``: the distinct anchors and blocks of each document, and the word at which they begin."""
 
     def run(batches):
         for rows in batches:
@@ -116,9 +149,10 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
                 at = pa.array(doc[pick] + part.lo)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(T.signed(p.grams[a][pick])), pa.array(T.signed(block[pick])),
-                     rows.column(0).take(at), rows.column(1).take(at)], names=["gram", "block", "id", "mark"])
+                     rows.column(0).take(at), rows.column(1).take(at), pa.array(a[pick] - p.w.first[doc[pick]], pa.int64())],
+                    names=["gram", "block", "id", "mark", "place"])
 
-    return map_arrow(docs, run, "gram bigint, block bigint, id bigint, mark int")
+    return map_arrow(docs, run, "gram bigint, block bigint, id bigint, mark int, place bigint")
 
 
 def boundary_windows(docs: DataFrame, window: int) -> DataFrame:
@@ -160,16 +194,17 @@ def boundary_windows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def parse_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` and ``n_words, n_removed, spans, kept_text``: the text without its duplicate words.
+    """All columns of ``docs`` and ``n_words, n_removed, spans, kept_text, factors``: the text without its duplicate words.
 
     A word is duplicate if a window of ``window`` consecutive words of its document covers it that a document with a
     smaller id has too. ``spans`` are the maximal ranges of duplicate words (first, end); ``kept_text`` has the
-    others, joined by one space. Null texts have no words; documents of fewer than ``window`` words keep all. A
+    others, joined by one space. ``factors`` are the pieces of the parse (first, end, source, source_first), of which
+    the spans consist but for what windows at their boundaries add. Null texts have no words; documents of fewer than ``window`` words keep all. A
     null id is after all others. Rows with one id are not each other's reference, and each is parsed by its
     own text. A column that has one of the new names keeps it and the new one gets a leading ``_``; an
     empty table gives an empty result.
     """
-    named = fresh(docs, "n_words", "n_removed", "spans", "kept_text")
+    named = fresh(docs, "n_words", "n_removed", "spans", "kept_text", "factors")
     key, mark, grams, blocks, wins = fresh(docs, "lz_id", "lz_mark", "lz_grams", "lz_blocks", "lz_wins")
     body = column(text_col).cast("string")
     id_ = F.coalesce(column(id_col).cast("long"), F.lit(LAST_ID))
@@ -180,15 +215,18 @@ def parse_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = materialize(seen.where("first < last").select("gram"))
     rows = materialize(rows.join(shared, "gram"))
     index = materialize(rows.where("block <> 0").groupBy("block").agg(
-        F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("block", "first"))
-    earlier = rows.join(index, "block").where(F.col("id") > F.col("first")).select("id", "mark", "block")
-    hits = materialize(rows.select("id", "mark", "gram", F.lit(None).cast("long").alias("block")).unionByName(
-        earlier.withColumn("gram", F.lit(None).cast("long"))).groupBy("id", "mark").agg(
-        F.collect_set("gram").alias("grams"), F.collect_set("block").alias("blocks")))
+        F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("last")).where("first.id < last").select(
+        "block", F.col("first.id").alias("source"), F.col("first.place").alias("source_place")))
+    entry = F.struct("block", "source", F.col("source_place").alias("place"))
+    earlier = rows.select("id", "mark", "block").join(index, "block").where(F.col("id") > F.col("source"))
+    earlier = earlier.select("id", "mark", F.lit(None).cast("long").alias("gram"), entry.alias("entry"))
+    none = F.lit(None).cast(earlier.schema["entry"].dataType)
+    hits = materialize(rows.select("id", "mark", "gram", none.alias("entry")).unionByName(earlier).groupBy("id", "mark").agg(
+        F.collect_set("gram").alias("grams"), F.collect_set("entry").alias("blocks")))
 
     whole = docs.withColumn(key, id_).withColumn(mark, F.hash(body))
     on = lambda right: [whole[key] == right["id"], whole[mark] == right["mark"]]
-    left = narrow.join(hits, ["id", "mark"], "left").select("id", "mark", "text", "grams", "blocks")
+    left = narrow.join(hits, ["id", "mark"], "left").select("id", "mark", "text", "grams", F.col("blocks.block").alias("blocks"))
     windows = materialize(boundary_windows(left, window))
     firsts = materialize(windows.groupBy("win").agg(F.min("id").alias("first"), F.max("id").alias("last"))
                          .where("first < last").select("win", "first"))
@@ -199,19 +237,21 @@ def parse_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = whole.join(factors, on(factors), "left").select(*[whole[f"`{c}`"] for c in docs.columns], blocks, wins)
     return map_arrow(out, cutter(docs.columns, named, docs.columns.index(text_col), window), StructType(
         [*docs.schema, *StructType.fromDDL(f"{named[0]} bigint, {named[1]} bigint, "
-                                          f"{named[2]} array<struct<first:bigint,end:bigint>>, {named[3]} string")]))
+                                          f"{named[2]} array<struct<first:bigint,end:bigint>>, {named[3]} string, "
+                                          f"{named[4]} array<struct<first:bigint,end:bigint,source:bigint,source_first:bigint>>")]))
 
 
 def cutter(names, named, text_at, window):
-    """Parse each document with the fingerprints that earlier documents have, and cut its duplicate words."""
+    """Parse each document into factors by its indexed blocks, and cut those and the duplicate windows at their boundaries."""
     n = len(names)
     pair = pa.struct([("first", pa.int64()), ("end", pa.int64())])
+    factor = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("source", pa.int64()), ("source_first", pa.int64())])
 
     def run(batches):
         for rows in batches:
             for part in T.slices(rows.column(text_at)):
                 mine = rows.slice(part.lo, part.docs)
-                n_words, removed, spans, kept = [], [], [], []
+                n_words, removed, spans, kept, factors = [], [], [], [], []
                 touched = [mine.column(n)[d].is_valid or mine.column(n + 1)[d].is_valid for d in range(part.docs)]
                 p = Parse(part, window) if any(touched) else None
                 if p:
@@ -219,22 +259,28 @@ def cutter(names, named, text_at, window):
                     bound_a, bound_w = p.per_doc(a), p.per_doc(p.begins)
                 for d in range(part.docs):
                     words = part.data[part.offsets[d]:part.offsets[d + 1]].tobytes().split()
-                    gone = np.zeros(len(words), bool)
+                    gone, parsed = np.zeros(len(words), bool), []
                     if touched[d]:
                         ra, rw, first = slice(bound_a[d], bound_a[d + 1]), slice(bound_w[d], bound_w[d + 1]), p.w.first[d]
-                        hit = among(block[ra], held(mine.column(n), d)) & (end[ra] > a[ra])
+                        known, source, place = indexed(mine.column(n), d)
+                        hit = np.flatnonzero(among(block[ra], known) & (end[ra] > a[ra]))
+                        at = np.searchsorted(known, block[ra][hit])
+                        parsed = factorize(a[ra][hit] - first, end[ra][hit] - first, source[at], place[at])
                         begins = p.begins[rw]
                         wins = held(mine.column(n + 1), d)
                         begins = begins[among(p.window_hashes(begins), wins)] if len(wins) else begins[:0]
-                        gone = covered(len(words), np.r_[a[ra][hit], begins] - first, np.r_[end[ra][hit], begins + window] - first)
+                        cut = np.array([f[:2] for f in parsed], np.int64).reshape(-1, 2)
+                        gone = covered(len(words), np.r_[cut[:, 0], begins - first], np.r_[cut[:, 1], begins + window - first])
                     edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
+                    factors.append([dict(zip(("first", "end", "source", "source_first"), f)) for f in parsed])
                     n_words.append(len(words))
                     removed.append(int(gone.sum()))
                     spans.append([{"first": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])])
                     kept.append(b" ".join([w for w, g in zip(words, gone) if not g] if gone.any() else words).decode())
                 yield pa.RecordBatch.from_arrays(
                     list(mine.columns)[:n] + [pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()),
-                                              pa.array(spans, pa.list_(pair)), pa.array(kept, pa.string())],
+                                              pa.array(spans, pa.list_(pair)), pa.array(kept, pa.string()),
+                                              pa.array(factors, pa.list_(factor))],
                     names=[*names, *named])
 
     return run
