@@ -71,6 +71,32 @@ RULE_ORDER = [
     "event_month",
 ]
 
+# Rule weights: what a feature counts if its test holds, and if not; features without a test count the same always.
+RULE_WEIGHTS = {
+    "risk_class": (0.35, 0.1),
+    "event_count": (0.30, 0.05),
+    "manufacturer_event_count": (0.25, 0.05),
+    "implanted": (0.20, -0.05),
+    "classification": (0.15, 0.02),
+    "type": (0.15, 0.01),
+    "quantity_in_commerce": (0.05, 0.01),
+    "status": (0.05, 0.05),
+    "country_event": (0.02, 0.02),
+    "country_device": (0.02, 0.02),
+    "name_manufacturer": (0.05, 0.05),
+    "event_year": (0.01, 0.01),
+    "event_month": (0.01, 0.01),
+}
+
+# The tests' values.
+RULE_RISK_CLASSES = ["3", "III", "Class 3"]
+RULE_EVENTS = 5
+RULE_MANUFACTURER_EVENTS = 50
+RULE_IMPLANTED = "YES"
+RULE_CLASSIFICATIONS = ["Cardiovascular", "Anesthesiology"]
+RULE_TYPE = "Recall"
+RULE_QUANTITY = 10000
+
 # Class tokens of the two training targets.
 TARGET_V1_LOW = ["CLASSI", "CLASS1", "I", "1"]
 TARGET_V1_HIGH = ["CLASSII", "CLASS2", "II", "2", "CLASSIII", "CLASS3", "III", "3"]

@@ -9,28 +9,24 @@ from incidentlens.functions.cleaning import round_half
 
 def rule_attributions(df: DataFrame) -> DataFrame:
     """``contributions``: a struct with a fixed weight per feature by simple thresholds, in rule order."""
-    def pick(test, yes, no):
-        return F.when(F.coalesce(test, F.lit(False)), F.lit(yes)).otherwise(F.lit(no))
-
-    weights = {
-        "risk_class": pick(F.col("risk_class").isin("3", "III", "Class 3"), 0.35, 0.1),
-        "event_count": pick(F.col("event_count") > 5, 0.30, 0.05),
-        "manufacturer_event_count": pick(F.col("manufacturer_event_count") > 50, 0.25, 0.05),
-        "implanted": pick(F.upper("implanted") == "YES", 0.20, -0.05),
-        "classification": pick(
-            F.col("classification").contains("Cardiovascular") | F.col("classification").contains("Anesthesiology"),
-            0.15, 0.02),
-        "type": pick(F.col("type").contains("Recall"), 0.15, 0.01),
-        "quantity_in_commerce": pick(F.col("quantity_in_commerce") > 10000, 0.05, 0.01),
-        "status": F.lit(0.05),
-        "country_event": F.lit(0.02),
-        "country_device": F.lit(0.02),
-        "name_manufacturer": F.lit(0.05),
-        "event_year": F.lit(0.01),
-        "event_month": F.lit(0.01),
+    named = F.col("classification").contains(fv.RULE_CLASSIFICATIONS[0])
+    for text in fv.RULE_CLASSIFICATIONS[1:]:
+        named = named | F.col("classification").contains(text)
+    tests = {
+        "risk_class": F.col("risk_class").isin(fv.RULE_RISK_CLASSES),
+        "event_count": F.col("event_count") > fv.RULE_EVENTS,
+        "manufacturer_event_count": F.col("manufacturer_event_count") > fv.RULE_MANUFACTURER_EVENTS,
+        "implanted": F.upper("implanted") == fv.RULE_IMPLANTED,
+        "classification": named,
+        "type": F.col("type").contains(fv.RULE_TYPE),
+        "quantity_in_commerce": F.col("quantity_in_commerce") > fv.RULE_QUANTITY,
     }
-    return df.withColumn("contributions", F.struct(*[
-        weights[f].cast("double").alias(f) for f in fv.RULE_ORDER]))
+
+    def weight(f):
+        yes, no = fv.RULE_WEIGHTS[f]
+        return F.when(F.coalesce(tests.get(f, F.lit(False)), F.lit(False)), F.lit(yes)).otherwise(F.lit(no)).cast("double")
+
+    return df.withColumn("contributions", F.struct(*[weight(f).alias(f) for f in fv.RULE_ORDER]))
 
 
 def contribution_rows(df: DataFrame, *keep) -> DataFrame:

@@ -6,6 +6,7 @@ so that the joins after it are planned on facts.
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,28 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 _local_dir = None
+_scratch = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside go to a folder of their own, which is removed at the end.
+
+    For a job whose result has been written elsewhere by then, with ``materialize(..., folder=...)``.
+    """
+    folder = f"{shared_dir(spark)}/incidentlens-run-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.remove(folder)
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that was written for intermediate tables, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,14 +53,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def materialize(df: DataFrame, **metrics):
-    """Write ``df`` and return the written table.
+def materialize(df: DataFrame, folder: str | None = None, **metrics):
+    """Write ``df`` and return the written table, in ``folder`` or else that of the innermost ``scratch`` or the shared one.
 
     With ``metrics`` (bounded aggregates over its rows) also their values, taken during the
     write itself: ``(table, values)``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/incidentlens-{uuid.uuid4().hex}"
+    path = f"{folder or (_scratch[-1] if _scratch else shared_dir(spark))}/incidentlens-{uuid.uuid4().hex}"
     seen = Observation() if metrics else None
     out = df.observe(seen, *[c.alias(n) for n, c in metrics.items()]) if metrics else df
     out.write.parquet(path)

@@ -13,7 +13,11 @@ import compare  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ["dedupe_keep_first", "device_history_report", "training_frame", "derive_features", "feature_provenance",
-          "historical_counts", "admin_dashboard", "metadata_options", "kfold_stratified", "roc_auc", "top_risk_factors"]
+          "historical_counts", "admin_dashboard", "metadata_options", "kfold_stratified", "roc_auc", "top_risk_factors",
+          "scan_csv", "load_table", "upsert_version", "write_batches", "deep_page_logs", "deep_page_devices", "stored_profile",
+          "maintained_yearly_history", "maintained_manufacturer_counts", "maintained_totals", "onehot_ignore_unknown",
+          "pattern_join", "impute_median", "probability_stats", "rule_attributions", "factor_description", "risk_narrative",
+          "prediction_history", "admin_users", "audit_trail", "zero_fill_years", "profile_distinct"]
 
 
 @pytest.fixture(scope="module")

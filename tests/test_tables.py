@@ -70,3 +70,14 @@ def test_reload_needs_a_predicting_model(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "m"))
     with pytest.raises(ValueError):
         src.load_model(str(tmp_path / "m"))
+
+
+def test_scratch_tables_are_removed(spark, tmp_path):
+    from incidentlens.plans import materialize as M
+
+    with M.scratch(spark) as folder:
+        inner = M.materialize(spark.range(5))
+        kept = M.materialize(inner.selectExpr("id * 2 as id"), folder=str(tmp_path))
+        assert folder in inner.inputFiles()[0] and str(tmp_path) in kept.inputFiles()[0]
+    assert not src.path_exists(spark, folder) and sorted(r[0] for r in kept.collect()) == [0, 2, 4, 6, 8]
+    assert folder not in M.materialize(spark.range(2)).inputFiles()[0]
