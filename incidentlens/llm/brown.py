@@ -1,11 +1,12 @@
 """Scores by Brown class-based n-grams: exchange clustering, class transitions and word emissions.
 
 log10 P(w | v) = log10 P(class(w) | class(v)) + log10 P(w | class(w)), with transitions smoothed towards class frequencies.
-All training texts are counted. The ``EXCHANGED`` most frequent words are moved between ``CLASSES`` classes: in each
-round one pass over the training texts counts every such word's neighbours by class, and a half of the words moves to
-the class that gives the class bigrams the highest mutual information. The other words have one of ``ENDINGS``
-classes by their last two bytes, so the class of any word, an unseen one too, needs no lookup. A class of endings
-keeps the share of its words that were met once for unseen words.
+All training texts are counted. All words that tasks hold (the ``FREQUENT`` most frequent ones) and that were met at
+least ``LEAST`` times are moved between ``CLASSES`` classes: in each round one pass over the training texts counts every
+such word's neighbours by class, and a half of the words moves to the class that gives the class bigrams the highest
+mutual information. The rounds end when both halves together have raised it by less than ``LEAST_GAIN`` of itself, or after
+``ROUNDS``. The other words have one of ``ENDINGS`` classes by their last two bytes, so the class of any word, an unseen
+one too, needs no lookup. A class of endings keeps the share of its words that were met once for unseen words.
 
 Bounded by these parameters are the class matrices and the table of the ``FREQUENT`` most frequent words that tasks hold.
 Counts of all other words stay in a table that is joined with the words of the documents.
@@ -23,8 +24,8 @@ from incidentlens.llm.frames import column, map_arrow
 from incidentlens.plans.materialize import materialize
 
 CLASSES, ENDINGS = 64, 16
-EXCHANGED, FREQUENT = 16_384, 131_072
-ROUNDS = 4
+FREQUENT, LEAST = 131_072, 3
+ROUNDS, LEAST_GAIN = 6, 0.005
 FOLDS, HELD_OUT = 7, 2
 BOUNDARY = CLASSES + ENDINGS  # the class of a text's end, which is also before its first word
 ALL = BOUNDARY + 1
@@ -187,14 +188,28 @@ def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, matrix:
     return out
 
 
-def exchange(texts: DataFrame, words: np.ndarray, classes: np.ndarray, rounds: int) -> np.ndarray:
-    """Move words between classes: in each round, the half of the words whose hash has the round's parity."""
+def mutual_information(matrix: np.ndarray) -> float:
+    """Of neighbouring classes, in nats a token."""
+    total = max(matrix.sum(), 1.0)
+    terms = entropy_term(matrix).sum() - entropy_term(matrix.sum(0)).sum() - entropy_term(matrix.sum(1)).sum()
+    return float((terms + entropy_term(np.array([total])).sum()) / total)
+
+
+def exchange(texts: DataFrame, words: np.ndarray, classes: np.ndarray, rounds: int, gains: list | None = None) -> np.ndarray:
+    """Move words between classes: in each round, the half of the words whose place has the round's parity.
+
+    ``gains`` takes the mutual information that each round begins with.
+    """
+    gains = [] if gains is None else gains
     size = ALL * ALL + (len(words) + 1) // 2 * 2 * ALL
     for turn in range(rounds):
         if not len(words):
             break
         cells = materialize(count_cells(texts, neighbour_cells(words, classes, turn), size))
         matrix = square(cells.where(F.col("cell") < ALL * ALL))
+        gains.append(mutual_information(matrix))
+        if turn >= 3 and gains[-1] - gains[-3] < LEAST_GAIN * gains[-1]:
+            break
         cell = F.col("cell") - ALL * ALL
         moving = cells.where(F.col("cell") >= ALL * ALL).select(
             (F.floor(cell / (2 * ALL)) * 2 + turn % 2).cast("int").alias("at"),
@@ -235,14 +250,16 @@ def fit(texts: DataFrame, rounds: int = ROUNDS):
     inner = counts.where(F.col("word") != signed_end)
     top = inner.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
     word = top.column("word").to_numpy().view(np.uint64)
-    rank = np.arange(len(word))
     order = np.argsort(word)
     model = {"N": int(sums["tokens"]), "V": int(sums["words"]), "word": word[order], "kind": top.column("kind").to_numpy()[order].astype(np.int64),
              "n": top.column("n").to_numpy()[order].astype(np.int64), "ends": int(sums["tokens"]) and (
                  counts.where(F.col("word") == signed_end).agg(F.sum("n")).first()[0] or 0)}
-    head = order[rank[order] < EXCHANGED]
-    words, classes = word[head], (head % CLASSES).astype(np.int64)
-    classes = exchange(texts, words, classes, rounds)
+    head = order[top.column("n").to_numpy()[order] >= LEAST]
+    # Words of one ending start in the same few classes.
+    words, per = word[head], CLASSES // ENDINGS
+    classes = (top.column("kind").to_numpy()[head].astype(np.int64) - CLASSES) * per + head % per
+    model["information"] = []
+    classes = exchange(texts, words, classes, rounds, model["information"])
     at = Index(words).find(model["word"])
     exchanged = at >= 0
     model["class"] = np.where(exchanged, classes[at] if len(words) else 0, model["kind"])

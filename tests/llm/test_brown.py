@@ -32,7 +32,8 @@ def test_documents(spark, documents):
 
 def test_rare_words_are_joined(spark, documents, monkeypatch):
     """With hardly any word held in the tasks, the scores are those of the full tables."""
-    monkeypatch.setattr(B, "EXCHANGED", 40)
+    often = Counter(w for r in documents.collect() for w in folded(r["text"]))
+    monkeypatch.setattr(B, "LEAST", sorted(often.values())[-40])  # of all documents, so fewer words are exchanged
     full = {r["doc_id"]: r for r in B.score_documents(documents, rounds=1).collect()}
     monkeypatch.setattr(B, "FREQUENT", 60)
     got = B.score_documents(documents, rounds=1).collect()

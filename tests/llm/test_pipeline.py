@@ -19,7 +19,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
     assert set(queries.ORACLE) <= set(entry.oracle_sql())
 
 
