@@ -4,13 +4,15 @@ Stages take ``(spark, docs, sf_dir)``; all but the last return the columns of ``
 returns as Parquet into the shared folder and gives the next one the table that it reads back.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidentlens.llm import circulant, curriculum, edit_decontam, kn_quality, pseudonyms
 from incidentlens.llm.frames import read
 from incidentlens.llm.queries import PSEUDONYM_KEY
-from incidentlens.plans.materialize import materialize
+from incidentlens.plans.materialize import materialize, remove, scratch, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,14 @@ ORACLE_SQL = None  # the perplexity model, pseudonyms and hash orders have no SQ
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+    """The last stage's table. What a stage writes on its way is removed once its result is written, and that result
+    once the next stage's is."""
+    docs, before = read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        folder = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), folder=folder)
+        if before:
+            remove(spark, before)
+        before = folder
     return docs
