@@ -25,6 +25,7 @@ BANDS, ROWS = 32, 5
 UNIVERSE = 1 << 20
 PART = 1 << 13  # shingles whose coordinates are held at once
 BLOCK_DOCS, BLOCK_BYTES = 100, 8 << 20  # about half of what a task verifies at once
+COPY_BLOCKS = 32  # blocks of a group that one copy of a text serves
 COLUMNS = 1 << 13
 
 _tables: dict[int, np.ndarray] = {}
@@ -207,8 +208,15 @@ def block_links(sets: list[np.ndarray], ids: np.ndarray, percent: int) -> list[t
 def verify(dealt: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``a, b, apart``: a forest of the verified links of each block; from blocks of centres that have many of them also
     the members ``a`` that are not linked with the centre ``apart``, without a ``b``."""
+    # A centre is in every block of its group: its text is copied, and each copy serves some of the blocks.
+    copies = F.ceil(F.count(F.lit(1)) / COPY_BLOCKS).cast("int").alias("copies")
+    often = materialize(dealt.groupBy("id").agg(copies).where("copies > 1"))
+    spread = dealt.join(often, "id", "left").withColumn(
+        "copy", F.pmod(F.xxhash64("centre", "lo", "hi"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    copied = materialize(docs.join(often, "id").select("id", "text", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")))
+    held = docs.join(often, "id", "left_anti").select("id", "text", F.lit(0).alias("copy")).unionByName(copied)
     # Merged at every size: the side that could be broadcast grows with the documents.
-    texts = docs.hint("merge").join(dealt, "id").select("centre", "lo", "hi", "many", "id", "text")
+    texts = held.hint("merge").join(spread, ["id", "copy"]).select("centre", "lo", "hi", "many", "id", "text")
     texts = texts.repartition("centre", "lo", "hi").sortWithinPartitions("centre", "lo", "hi")
 
     def links(key, many, ids, rows):

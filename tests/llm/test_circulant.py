@@ -42,6 +42,7 @@ def test_groups_of_copies(spark):
 
 def test_group_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(C, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(C, "COPY_BLOCKS", 2)  # the centre's text is copied
     dealt, deal_rest = [], C.deal_rest
     monkeypatch.setattr(C, "deal_rest", lambda *x: dealt.append(deal_rest(*x)) or dealt[-1])
     df = spark.createDataFrame(copies(2, 3, 60), "doc_id bigint, text string")
@@ -51,6 +52,7 @@ def test_group_over_many_blocks(spark, monkeypatch):
 
 def test_group_linked_with_its_centre(spark, monkeypatch):
     monkeypatch.setattr(C, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(C, "COPY_BLOCKS", 2)  # the centre's text is copied
     monkeypatch.setattr(C, "deal_rest", None)  # is not needed
     base = [f"w{i}" for i in range(300)]
     rows = [(9 + i, " ".join(base[:i] + [f"n{i}"] + base[i + 1:])) for i in range(60)]
