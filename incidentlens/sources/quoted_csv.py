@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -50,12 +51,16 @@ def _lines(spark: SparkSession, path) -> DataFrame:
 
 def _runs(batch: pa.RecordBatch):
     """Stretches of one (file, block) within a batch: ``(file, block, first, end)``."""
-    keys = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist())) if batch.num_rows else []
-    lo = 0
-    for i in range(1, len(keys) + 1):
-        if i == len(keys) or keys[i] != keys[lo]:
-            yield *keys[lo], lo, i
-            lo = i
+    n = batch.num_rows
+    if not n:
+        return
+    cut = np.zeros(n, bool)
+    for name in ("file", "block"):
+        values = batch.column(name)
+        cut[1:] |= pc.not_equal(values.slice(1), values.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    begins = [0, *np.flatnonzero(cut).tolist()]
+    for lo, hi in zip(begins, [*begins[1:], n]):
+        yield batch.column("file")[lo].as_py(), batch.column("block")[lo].as_py(), lo, hi
 
 
 def range_ends(lines: DataFrame, sep: str = ",") -> DataFrame:

@@ -16,13 +16,17 @@ from incidentlens.sources.quoted_csv import read_quoted_csv
 from incidentlens.sources.versions import current, merged_rows, upsert_version
 
 
+# Larger files with quoted line breaks are read in ranges, which takes more work than one pass but many tasks.
+RANGED_BYTES = 16 << 20
+
+
 def read_table(spark: SparkSession, path: str, name: str, columns=None, on_bad="keep", multi_line=True,
                with_seq=False) -> DataFrame:
     """Read one of the three CSV tables, all columns as text.
 
     Columns are matched by header, so a file may hold fewer or more columns or another
-    order. ``on_bad="skip"`` drops malformed lines. With ``multi_line`` fields may hold quoted line breaks; files
-    are read in ranges all the same (see ``quoted_csv``), in two passes.
+    order. ``on_bad="skip"`` drops malformed lines. With ``multi_line`` fields may hold quoted line breaks; if a
+    file has more than ``RANGED_BYTES``, files are read in ranges all the same (see ``quoted_csv``), else each in one task.
     ``with_seq`` adds ``seq``, the file order of the rows.
     """
     reader = (
@@ -33,7 +37,7 @@ def read_table(spark: SparkSession, path: str, name: str, columns=None, on_bad="
     wanted = columns or schemas.raw_columns(name)
     present = {c: F.col(f"`{c}`") for c in found}
     picked = [present.get(c, F.lit(None).cast("string")).alias(c) for c in wanted]
-    if multi_line:
+    if multi_line and largest_file(spark, path) > RANGED_BYTES:
         return read_quoted_csv(spark, path, found, on_bad).select(*picked, *(["seq"] if with_seq else []))
     mode = "DROPMALFORMED" if on_bad == "skip" else "PERMISSIVE"
     schema = ", ".join(f"`{c}` string" for c in found)
@@ -99,6 +103,18 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=
     writer.parquet(path)
 
 
+def largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file that a path or pattern names, folders included."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    most = 0
+    for found in fs.globStatus(where) or []:
+        files = fs.listFiles(found.getPath(), True)
+        while files.hasNext():
+            most = max(most, files.next().getLen())
+    return most
+
+
 def path_exists(spark, path):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)

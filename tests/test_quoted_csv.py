@@ -79,12 +79,15 @@ def test_other_header_fails(spark, tmp_path):
         Q.read_quoted_csv(spark, str(tmp_path), ["id", "name"]).collect()
 
 
-def test_table_read_keeps_file_order(spark, tmp_path, small_ranges):
+@pytest.mark.parametrize("ranged", [True, False])
+def test_table_read_keeps_file_order(spark, tmp_path, small_ranges, monkeypatch, ranged):
+    monkeypatch.setattr(src, "RANGED_BYTES", 1000 if ranged else 1 << 30)
     text = "slug,id,name\n" + "".join(f's,{i % 500},"n{i}\nx"\n' for i in range(2000))
     (tmp_path / "m.csv").write_text(text)
     rows = src.read_table(spark, str(tmp_path / "m.csv"), "manufacturers", with_seq=True)
     got = src.dedupe(src.normalize(rows, "manufacturers")).select("id", "name").collect()
     assert {r["id"]: r["name"] for r in got} == {str(i): f"n{i}\nx" for i in range(500)}
+    assert src.largest_file(spark, str(tmp_path)) == src.largest_file(spark, str(tmp_path / "*.csv")) == len(text)
     assert src.read_table(spark, str(tmp_path / "m.csv"), "manufacturers", columns=["id"]).agg(F.count("*")).first()[0] == 2000
 
 
