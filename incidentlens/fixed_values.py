@@ -210,8 +210,9 @@ REDUCED_TEXT = {
 REDUCED_OTHER = "Associated with reduced predicted risk in the historical training distribution."
 NEUTRAL_TEXT = "{} has a baseline neutral contribution in the model."
 
+NARRATIVE_MODEL = "XGBoost"
 NARRATIVE_HIGH = (
-    "The trained XGBoost machine learning model estimated an elevated failure/risk score of {pct}% "
+    "The trained {model} machine learning model estimated an elevated failure/risk score of {pct}% "
     "(High Risk) based on historical medical-device event patterns. "
 )
 NARRATIVE_HIGH_FACTORS = "Key contributing risk factors include {names}. "
@@ -220,7 +221,7 @@ NARRATIVE_HIGH_END = (
     "exhibit characteristics aligned with elevated maintenance attention."
 )
 NARRATIVE_LOW = (
-    "The trained XGBoost machine learning model estimated a low failure/risk score of {pct}% "
+    "The trained {model} machine learning model estimated a low failure/risk score of {pct}% "
     "(Low Risk) based on historical medical-device event patterns. "
 )
 NARRATIVE_LOW_FACTORS = "Mitigating factors such as {names} correlate with lower adverse event rates. "

@@ -3,8 +3,8 @@
 Rows are packed once into blocks of category places, numeric bins, labels and weights, written as a table and
 kept by the executors. A tree level is one pass: each task routes its rows down the tree so far, sums gradients and hessians by
 (node, column, bin), the sums are added up by (node, column, slice) across tasks, and each slice returns its best
-split. The driver sees one candidate for each of them, never rows or histograms. Wide category columns are cut
-into slices, so no task holds a whole one.
+split. The driver sees one candidate for each of them, never rows; it adds up the sums itself only where they are
+small, whatever the rows. Wide category columns are cut into slices, so no task holds a whole one.
 
 A category column stands for its one-hot inputs: a split sends one category right and all other rows left. Gradients
 are whole numbers of a fixed scale, so sums, splits and leaves don't depend on how rows are dealt to tasks.
@@ -20,6 +20,7 @@ from pyspark import StorageLevel
 
 ROW_BLOCK = 16_384
 SLICE = 4_096  # categories whose sums travel together
+GATHERED_BYTES = 4 << 20  # sums of a level that are no larger are added up by the driver, which saves a shuffle
 REFRESH = 10  # trees after which the margins are kept anew
 BINS = 256  # of a numeric column, at approximate quantiles
 
@@ -288,6 +289,10 @@ def _level(blocks, since, tree, places, widths, n_categorical, inputs, round_, s
         split = best_split(values, column < n_categorical, column, part, inputs[column], round_, settings, scale)
         return (place, column, part), split
 
-    if blocks.getNumPartitions() == 1:
-        return blocks.mapPartitions(lambda some: map(best, partial(some))).collect()
-    return blocks.mapPartitions(partial).reduceByKey(added, tasks).map(best).collect()
+    sums = blocks.mapPartitions(partial)
+    if blocks.getNumPartitions() * nodes * sum(widths) * 16 <= GATHERED_BYTES:
+        into = {}
+        for key, values in sums.collect():
+            into[key] = added(into[key], values) if key in into else values
+        return list(map(best, into.items()))
+    return sums.reduceByKey(added, tasks).map(best).collect()

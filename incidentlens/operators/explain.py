@@ -125,7 +125,8 @@ def _fill(template: str, **parts: Column) -> Column:
     return out
 
 
-def risk_narrative(df: DataFrame) -> DataFrame:
+def risk_narrative(df: DataFrame, model_name: str = fv.NARRATIVE_MODEL) -> DataFrame:
+    """``explanation``: the score, what raised or lowered it, and what it means, as text. ``model_name`` stands in it for the model."""
     pct = F.round((F.col("probability") * 100).cast("decimal(38,8)"), 1).cast("decimal(20,1)")
 
     def names(band, n):
@@ -135,11 +136,11 @@ def risk_narrative(df: DataFrame) -> DataFrame:
     up, down = names(fv.ELEVATED, 3), names(fv.REDUCED, 2)
     maker, cls = F.col("name_manufacturer"), F.col("classification")
     high = F.concat(
-        _fill(fv.NARRATIVE_HIGH, pct=pct),
+        _fill(fv.NARRATIVE_HIGH, pct=pct, model=F.lit(model_name)),
         F.when(up != "", _fill(fv.NARRATIVE_HIGH_FACTORS, names=up)).otherwise(""),
         _fill(fv.NARRATIVE_HIGH_END, manufacturer=maker, classification=cls))
     low = F.concat(
-        _fill(fv.NARRATIVE_LOW, pct=pct),
+        _fill(fv.NARRATIVE_LOW, pct=pct, model=F.lit(model_name)),
         F.when(down != "", _fill(fv.NARRATIVE_LOW_FACTORS, names=down)).otherwise(""),
         _fill(fv.NARRATIVE_LOW_END, manufacturer=maker))
     return df.withColumn("explanation", F.when(is_high(), high).otherwise(low))
