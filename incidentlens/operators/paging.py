@@ -5,8 +5,11 @@ many come before it. A page finds the one or two ranges that it lies in and read
 page 1 costs, where a plain offset sorts all rows ahead of it.
 """
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 RANGE_ROWS = 200_000
 RANGE = "_range"
@@ -26,15 +29,17 @@ def build_order_index(df: DataFrame, order, path: str, range_rows: int = RANGE_R
     n = max(1, -(-df.count() // range_rows))
     ranged = df.repartitionByRange(n, *_order(order)).withColumn(RANGE, F.spark_partition_id())
     ranged.sortWithinPartitions(*_order(order)).write.partitionBy(RANGE).parquet(f"{path}/rows")
-    sizes = _ranges(spark, path).groupBy(RANGE).agg(F.count("*").alias("n"))
+    sizes = _ranges(spark, path, df.schema).groupBy(RANGE).agg(F.count("*").alias("n"))
     # One row for each range.
     before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn(
-        "sort_order", F.lit(",".join(order))).coalesce(1).write.parquet(f"{path}/ranges")
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    sizes.coalesce(1).write.parquet(f"{path}/ranges")
+    about = {"order": order, "schema": df.schema.jsonValue()}
+    spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.text(f"{path}/about")
 
 
-def _ranges(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/rows")
+def _ranges(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(StructType(schema.fields + [StructField(RANGE, IntegerType())])).parquet(f"{path}/rows")
 
 
 def indexed_page(spark: SparkSession, path: str, limit: int, offset: int = 0, where=None, with_total: bool = False) -> DataFrame:
@@ -43,9 +48,9 @@ def indexed_page(spark: SparkSession, path: str, limit: int, offset: int = 0, wh
     ``where`` keeps the rows that satisfy a condition: they are counted by range first (one scan of the condition's
     columns, no sort), and then, too, only the page's ranges are read in full.
     """
-    ranges = spark.read.parquet(f"{path}/ranges")
-    order = _order((ranges.select("sort_order").first() or [""])[0].split(","))
-    rows = _ranges(spark, path)
+    ranges = spark.read.schema(f"{RANGE} int, n bigint, before bigint").parquet(f"{path}/ranges")
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    order, rows = _order(about["order"]), _ranges(spark, path, StructType.fromJson(about["schema"]))
     if where is not None:
         rows = rows.filter(where)
         met = rows.groupBy(RANGE).agg(F.count("*").alias("n"))

@@ -41,6 +41,8 @@ def _version(spark: SparkSession, path: str, number: int) -> dict:
 def read_version(spark: SparkSession, path: str, number: int | None = None, buckets=None) -> DataFrame:
     """The rows of a version (the current one unless given), or of some of its buckets."""
     version = current(spark, path) if number is None else _version(spark, path, number)
+    if version is None:
+        raise FileNotFoundError(f"no version of a table at {path}")
     schema = StructType.fromJson(version["schema"])
     chosen = version["folders"] if buckets is None else {b: f for b, f in version["folders"].items() if int(b) in buckets}
     if not chosen:

@@ -93,6 +93,12 @@ def test_filtered_pages(spark, indexed):
     assert paging.indexed_page(spark, path, 20, 0, where="kind = 9").count() == 0
 
 
+def test_pages_of_an_empty_index(spark, tmp_path):
+    paging.build_order_index(spark.createDataFrame([], "id bigint, name string"), ["name", "id"], str(tmp_path / "ix"))
+    page = paging.indexed_page(spark, str(tmp_path / "ix"), 20, 0, with_total=True)
+    assert page.columns == ["id", "name", "total"] and page.collect() == []
+
+
 def test_new_files_alone_are_profiled(spark, tmp_path):
     data, store = str(tmp_path / "data"), str(tmp_path / "store")
     part = lambda lo, hi: spark.range(lo, hi).selectExpr(
