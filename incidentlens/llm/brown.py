@@ -32,6 +32,7 @@ ALL = BOUNDARY + 1
 END = np.uint64(0x1D8AF066C4A2F1B3)
 PRIOR = 5.0  # weight of the class frequencies in a transition
 HELD = 1 << 21
+BUCKET = 1024  # moving words whose neighbours are summed together
 
 
 def sequence(part: T.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,39 +196,79 @@ def mutual_information(matrix: np.ndarray) -> float:
     return float((terms + entropy_term(np.array([total])).sum()) / total)
 
 
+def count_neighbours(texts: DataFrame, cells_of, words: int) -> DataFrame:
+    """``bucket, place, n``: what ``neighbour_cells`` gives, summed by each task and packed: arrays of cells and their counts.
+
+    Bucket -1 holds the class bigrams, the others ``BUCKET`` moving words each, with cells counted from the bucket's first.
+    """
+    width = BUCKET * 2 * ALL
+    buckets = -(-words // BUCKET)
+
+    def run(batches):
+        total, held, n = np.zeros(ALL * ALL + buckets * width, np.int64), [], 0
+        for rows in batches:
+            for part in T.slices(rows.column(0)):
+                held.append(cells_of(part))
+                n += len(held[-1])
+                if n > HELD:
+                    total += np.bincount(np.concatenate(held), minlength=len(total))
+                    held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
+        for bucket in range(-1, buckets):
+            own = total[:ALL * ALL] if bucket < 0 else total[ALL * ALL + bucket * width:][:width]
+            at = np.flatnonzero(own)
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()),
+                     pa.array([own[at].tobytes()], pa.binary())], names=["bucket", "place", "n"])
+
+    return map_arrow(texts.select("text"), run, "bucket int, place binary, n binary")
+
+
+def unpacked(batches):
+    for rows in batches:
+        for place, n in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(place, np.int32).astype(np.int64)),
+                                              pa.array(np.frombuffer(n, np.int64))], names=["cell", "n"])
+
+
 def exchange(texts: DataFrame, words: np.ndarray, classes: np.ndarray, rounds: int, gains: list | None = None) -> np.ndarray:
     """Move words between classes: in each round, the half of the words whose place has the round's parity.
 
     ``gains`` takes the mutual information that each round begins with.
     """
     gains = [] if gains is None else gains
-    size = ALL * ALL + (len(words) + 1) // 2 * 2 * ALL
     for turn in range(rounds):
         if not len(words):
             break
-        cells = materialize(count_cells(texts, neighbour_cells(words, classes, turn), size))
-        matrix = square(cells.where(F.col("cell") < ALL * ALL))
+        counted = materialize(count_neighbours(texts, neighbour_cells(words, classes, turn), (len(words) + 1) // 2))
+        cells = map_arrow(counted.where("bucket < 0").select("place", "n"), unpacked, "cell bigint, n bigint")
+        matrix = square(cells.groupBy("cell").agg(F.sum("n").alias("n")))
         gains.append(mutual_information(matrix))
         if turn >= 3 and gains[-1] - gains[-3] < LEAST_GAIN * gains[-1]:
             break
-        cell = F.col("cell") - ALL * ALL
-        moving = cells.where(F.col("cell") >= ALL * ALL).select(
-            (F.floor(cell / (2 * ALL)) * 2 + turn % 2).cast("int").alias("at"),
-            F.pmod(cell, F.lit(2 * ALL)).cast("int").alias("place"), "n")
-        moving = moving.groupBy("at").agg(F.collect_list(F.struct("place", "n")).alias("cells"))
-
-        def run(batches, matrix=matrix, classes=classes):
+        moving = counted.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
+
+        def moved_words(bucket, sums, matrix, classes, turn):
+            """A bucket's words that were met, and their new classes."""
+            sums = sums.reshape(BUCKET, 2, ALL)
+            met = np.flatnonzero(sums.any((1, 2)))
+            at = (bucket * BUCKET + met) * 2 + turn % 2
+            new = best_classes(sums[met, 0].astype(float), sums[met, 1].astype(float), classes[at], matrix)
+            return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(new.astype(np.int32))], names=["at", "class"])
+
+        def run(batches, matrix=matrix, classes=classes, turn=turn):
+            now, sums = None, None
             for rows in batches:
-                at = rows.column(0).to_numpy()
-                after, before = np.zeros((len(at), ALL)), np.zeros((len(at), ALL))
-                for i, cells_ in enumerate(rows.column(1)):
-                    place = cells_.values.field("place").to_numpy()
-                    n = cells_.values.field("n").to_numpy()
-                    right = place < ALL
-                    after[i, place[right]] = n[right]
-                    before[i, place[~right] - ALL] = n[~right]
-                new = best_classes(after, before, classes[at], matrix)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(new, pa.int32())], names=["at", "class"])
+                for bucket, place, n in zip(*(rows.column(i).to_pylist() for i in range(3))):
+                    if bucket != now:
+                        if now is not None:
+                            yield moved_words(now, sums, matrix, classes, turn)
+                        now, sums = bucket, np.zeros(BUCKET * 2 * ALL, np.int64)
+                    sums[np.frombuffer(place, np.int32)] += np.frombuffer(n, np.int64)
+            if now is not None:
+                yield moved_words(now, sums, matrix, classes, turn)
 
         moved = map_arrow(moving, run, "at int, class int").toArrow()
         classes = classes.copy()
