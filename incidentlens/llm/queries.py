@@ -166,6 +166,33 @@ select page_id, cast(size as bigint) as payload_bytes, digest as payload_digest,
   case when size >= 1000 and page_id <> keeper then 'revisit' else 'response' end as record_type,
   case when size >= 1000 and page_id <> keeper then keeper end as refers_to
 from k
+""",
+    "op11_periodic_runs": f"""
+-- Bytes' checksums, for the crc32 of an id's digits.
+with bits as (select range as b, list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), range) as v from range(256)),
+crc as (select list(v order by b) as t from bits),
+docs as (select doc_id, {WORDS} as w,
+  xor(list_reduce(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ord(c) as bigint)),
+    lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1]), cast(4294967295 as bigint)), 4294967295) as h from documents, crc),
+cut as (select doc_id, w, len(w) as n, h, (h // 10) % greatest(len(w), 1) as a from docs),
+own as (select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n),
+    lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) end]) else w end as w from cut),
+places as (select doc_id, n, unnest(w) as word, unnest(range(n)) as i from own),
+-- Equal words p apart; words that follow each other in that make a stretch of period p.
+pairs as (select x.doc_id, y.i - x.i as p, x.i from places x join places y
+  on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i and 2 * (y.i - x.i) <= x.n),
+islands as (select doc_id, p, i, i - row_number() over (partition by doc_id, p order by i) as g from pairs),
+stretches as (select doc_id, p, min(i) as start, count(*) + p as length from islands group by doc_id, p, g
+  having count(*) >= p and count(*) + p >= 12),
+runs as (select doc_id, start, length, min(p) as period from stretches group by doc_id, start, length),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from runs),
+kept as (select doc_id, string_agg(word, ' ' order by i) as t from places anti join gone using (doc_id, i) group by doc_id),
+best as (select * from runs qualify row_number() over (partition by doc_id order by length desc, start, period) = 1),
+texts as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as t
+  from runs group by doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, b.start, b.length, b.period, 1000 * b.length // b.period as exponent_milli,
+  sha256(coalesce(r.t, '')) as runs_sha256, sha256(coalesce(k.t, '')) as collapsed_sha256
+from docs d left join best b on d.doc_id = b.doc_id left join texts r on d.doc_id = r.doc_id left join kept k on d.doc_id = k.doc_id
 """,
     "op12_hard_negatives": """
 with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
