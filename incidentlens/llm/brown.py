@@ -205,16 +205,10 @@ def count_neighbours(texts: DataFrame, cells_of, words: int) -> DataFrame:
     buckets = -(-words // BUCKET)
 
     def run(batches):
-        total, held, n = np.zeros(ALL * ALL + buckets * width, np.int64), [], 0
+        total = np.zeros(ALL * ALL + buckets * width, np.int64)
         for rows in batches:
             for part in T.slices(rows.column(0)):
-                held.append(cells_of(part))
-                n += len(held[-1])
-                if n > HELD:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held, n = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
+                np.add.at(total, cells_of(part), 1)
         for bucket in range(-1, buckets):
             own = total[:ALL * ALL] if bucket < 0 else total[ALL * ALL + bucket * width:][:width]
             at = np.flatnonzero(own)
