@@ -20,7 +20,8 @@ from pyspark import StorageLevel
 
 ROW_BLOCK = 16_384
 SLICE = 4_096  # categories whose sums travel together
-GATHERED_BYTES = 4 << 20  # sums of a level that are no larger are added up by the driver, which saves a shuffle
+GATHERED_BYTES = 32 << 20  # sums of a level that are no larger are added up by the driver, which saves a shuffle
+MERGED_ROWS = 65_536  # blocks of a partition are joined up to so many rows, as each costs the same few steps for a node and column
 REFRESH = 10  # trees after which the margins are kept anew
 BINS = 256  # of a numeric column, at approximate quantiles
 
@@ -94,12 +95,15 @@ class Block:
     margin: np.ndarray
 
     def route(self, tree: Tree, values: np.ndarray, n_categorical: int) -> np.ndarray:
-        """The value, one for each node, of the leaf that each row reaches."""
-        out = {}
+        """The value, one for each node, of the leaf that each row reaches.
+
+        Rows carry the leaf's number in as few bytes as it takes until they have come to the root; the values are looked up then.
+        """
+        out, kind = {}, np.min_scalar_type(len(tree.column))
         for node in range(len(tree.column) - 1, -1, -1):  # children have larger numbers
             c = tree.column[node]
             if c < 0:
-                out[node] = values[node]
+                out[node] = kind.type(node)
                 continue
             code, split = self.codes[:, c], tree.code[node]
             if c < n_categorical:
@@ -108,8 +112,30 @@ class Block:
                 goes_right = code > split
                 if not tree.gap_left[node]:
                     goes_right |= code == 0
-            out[node] = np.where(goes_right, out.pop(tree.right[node]), out.pop(tree.left[node]))
-        return np.broadcast_to(out[0], len(self.y))
+            left, right = out.pop(tree.left[node]), out.pop(tree.right[node])
+            out[node] = left ^ ((left ^ right) & -goes_right.astype(kind))  # all bits are set where the row goes right
+        return np.broadcast_to(values[out[0]], len(self.y))
+
+
+def merged_blocks(blocks, rows: int = MERGED_ROWS):
+    """The same rows in order in fewer blocks of at most ``rows`` rows, where a single block isn't larger."""
+    held, n = [], 0
+    for block in blocks:
+        if held and n + len(block.y) > rows:
+            yield _joined(held)
+            held, n = [], 0
+        held.append(block)
+        n += len(block.y)
+    if held:
+        yield _joined(held)
+
+
+def _joined(blocks: list[Block]) -> Block:
+    if len(blocks) == 1:
+        return blocks[0]
+    codes = np.empty((sum(len(b.y) for b in blocks), blocks[0].codes.shape[1]), blocks[0].codes.dtype, order="F")
+    np.concatenate([b.codes for b in blocks], out=codes)
+    return Block(codes, *[np.concatenate([getattr(b, c) for b in blocks]) for c in ("y", "w", "key", "margin")])
 
 
 def gradients(block: Block, margin: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -124,18 +150,24 @@ def level_sums(block: Block, place: np.ndarray, nodes: int, g: np.ndarray, h: np
     A column's ``width`` counts its codes, for a category column without the unseen one. Each slice ends with the sums of the
     rows that have none of its codes, so its total is that of the node; it is that row alone where no row has any.
     """
-    rows = np.flatnonzero(place >= 0)
-    place, g, h = place[rows], g[rows], h[rows]
+    part_of = place >= 0
+    n = np.count_nonzero(part_of)
+    if 2 * n < len(place):
+        rows = np.flatnonzero(part_of)
+        place, g, h, codes = place[rows], g[rows], h[rows], lambda c: block.codes[:, c][rows]
+        there = np.bincount(place, minlength=nodes) > 0
+    else:  # the others add nothing, which takes less than leaving them out of every column
+        there = np.bincount(place + 1, minlength=nodes + 1)[1:] > 0
+        place, g, h, codes = np.where(part_of, place, 0), g * part_of, h * part_of, lambda c: block.codes[:, c]
     whole = np.stack([np.bincount(place, x, nodes) for x in (g, h)], 1).astype(np.int64)
-    there = np.bincount(place, minlength=nodes) > 0
     for c, width in enumerate(widths):
-        code = block.codes[:, c][rows].astype(np.int64)
+        code = codes(c)
         known = code >= 0
         step, parts = min(SLICE, max(width, 1)), max(1, -(-width // SLICE))
         at = place * (parts * step) + code
         at, weights = (at, (g, h)) if known.all() else (at[known], (g[known], h[known]))
         touched = range(nodes * parts)
-        if nodes * parts * step > max(1 << 18, 4 * len(rows)):  # a wide column: only the slices that have rows
+        if nodes * parts * step > max(1 << 18, 4 * len(place)):  # a wide column: only the slices that have rows
             touched, where = np.unique(at // step, return_inverse=True)
             at = where * step + at % step
         sums = np.stack([np.bincount(at, x, len(touched) * step) for x in weights], 1).astype(np.int64)
@@ -162,35 +194,45 @@ def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best_split(values: np.ndarray, categorical: bool, column: int, part: int, first_input: int, round_: int,
-               settings: Settings, scale: float):
-    """The best split of one slice: ``(gain, column, code, gap_left, left sums, right sums)`` or None."""
+               settings: Settings, scale: float, allowed: np.ndarray | None = None):
+    """The best split of one slice: ``(gain, column, code, gap_left, left sums, right sums)`` or None.
+
+    ``allowed`` may bring the slice's draw of inputs where several nodes share it.
+    """
     whole = values.sum(0)
     if categorical:
         right = values[:-1]  # empty where no row has a category of the slice
-        inputs = first_input + part * SLICE + np.arange(len(right))
-        sides = [(right, np.arange(len(right)), True)]
+        sides = [(right, 0, True)]
     else:
-        inputs = np.array([first_input])
         upto = np.cumsum(values[1:-1], 0)[:-1]  # code 0 is the gap; the last bin has nothing to its right
         # Gaps go with the left part or, where that is better, with the right one.
-        sides = [(whole - upto - values[0], np.arange(1, len(upto) + 1), True), (whole - upto, np.arange(1, len(upto) + 1), False)]
-    allowed = drawn(inputs, settings.column_share, settings.seed, 2, round_)
+        sides = [(whole - upto - values[0], 1, True), (whole - upto, 1, False)]
+    if allowed is None:
+        allowed = drawn_inputs(len(right) if categorical else 1, categorical, part, first_input, round_, settings)
+    if not allowed.any():
+        return None
     best = None
-    for right, code, gap_left in sides:
+    for right, first, gap_left in sides:
         if not len(right):
             continue
         (rg, rh), (lg, lh) = right.T / scale, (whole - right).T / scale
         score = lambda g, h: g * g / (h + settings.ridge)
         gain = score(lg, lh) + score(rg, rh) - score(*(whole / scale))
-        gain[~((lh >= settings.min_child) & (rh >= settings.min_child) & allowed)] = -np.inf
+        gain[~((lh >= settings.min_child) & (rh >= settings.min_child) & allowed[:len(right)])] = -np.inf
         at = int(np.argmax(gain))
         if gain[at] > settings.least_gain and (best is None or gain[at] > best[0]):
             r = right[at]
-            best = (float(gain[at]), column, int(code[at]) + (part * SLICE if categorical else 0), gap_left,
+            best = (float(gain[at]), column, first + at + (part * SLICE if categorical else 0), gap_left,
                     tuple((whole - r).tolist()), tuple(r.tolist()))
     return best
 
 
+def drawn_inputs(n: int, categorical: bool, part: int, first_input: int, round_: int, settings: Settings) -> np.ndarray:
+    """Whether each of a slice's ``n`` inputs is in the draw of a tree; a numeric column has one."""
+    inputs = first_input + part * SLICE + np.arange(n) if categorical else np.array([first_input])
+    return drawn(inputs, settings.column_share, settings.seed, 2, round_)
+
+
 def fit_trees(blocks, widths: list[int], n_categorical: int, rows: int, heaviest: float, settings: Settings) -> tuple[list[Tree], float]:
     """Boost over an RDD of ``Block``; returns the trees and the scale of their sums.
 
@@ -284,9 +326,9 @@ def _level(blocks, since, tree, places, widths, n_categorical, inputs, round_, s
             level_sums(block, place, nodes, g, h, widths, into)
         return into.items()
 
-    def best(item):
+    def best(item, allowed=None):
         (place, column, part), values = item
-        split = best_split(values, column < n_categorical, column, part, inputs[column], round_, settings, scale)
+        split = best_split(values, column < n_categorical, column, part, inputs[column], round_, settings, scale, allowed)
         return (place, column, part), split
 
     sums = blocks.mapPartitions(partial)
@@ -294,5 +336,10 @@ def _level(blocks, since, tree, places, widths, n_categorical, inputs, round_, s
         into = {}
         for key, values in sums.collect():
             into[key] = added(into[key], values) if key in into else values
-        return list(map(best, into.items()))
+        draws = {}
+        for (_, column, part), values in into.items():
+            n = len(values) - 1 if column < n_categorical else 1
+            if len(draws.get((column, part), ())) < n:
+                draws[column, part] = drawn_inputs(n, column < n_categorical, part, inputs[column], round_, settings)
+        return [best(item, draws[item[0][1:]]) for item in into.items()]
     return sums.reduceByKey(added, tasks).map(best).collect()

@@ -14,7 +14,7 @@ from incidentlens import fixed_values as fv
 from incidentlens.functions.cleaning import risk_target_v1, risk_target_v2
 from incidentlens.operators.aggregates import top_value_by_group
 from incidentlens.operators.boosted_model import BoostedModel
-from incidentlens.operators.boosting import BINS, ROW_BLOCK, Block, Settings, fit_trees
+from incidentlens.operators.boosting import BINS, ROW_BLOCK, Block, Settings, fit_trees, merged_blocks
 from incidentlens.operators.encoding import category_dictionary, encoded
 from incidentlens.operators.ordering import exact_quantiles, hash_cut, hash_key
 from incidentlens.plans.materialize import materialize
@@ -114,7 +114,12 @@ def numeric_cuts(df: DataFrame, cols=tuple(fv.NUMERICAL), bins: int = BINS) -> l
     return [np.unique(np.array(row[c] or [], float)) for c in cols]
 
 
-def packed_blocks(rows: DataFrame, cuts: list[np.ndarray], label: str) -> DataFrame:
+def code_type(widths: list[int]) -> np.dtype:
+    """The smallest type that holds the codes of all columns, and -1."""
+    return next((np.dtype(t) for t in (np.int8, np.int16) if max(widths) <= np.iinfo(t).max), np.dtype(np.int32))
+
+
+def packed_blocks(rows: DataFrame, cuts: list[np.ndarray], label: str, kind: np.dtype) -> DataFrame:
     """Rows with ``slots`` (places of categories) packed into the blocks that ``fit_trees`` takes, as a written table."""
     ship(rows.sparkSession)
     n_numeric = len(cuts)
@@ -125,13 +130,13 @@ def packed_blocks(rows: DataFrame, cuts: list[np.ndarray], label: str) -> DataFr
                 part = batch.slice(lo, ROW_BLOCK)
                 n = part.num_rows
                 places = part.column(0).flatten().fill_null(-1).to_numpy(zero_copy_only=False).reshape(n, -1)
-                codes = np.empty((n, places.shape[1] + n_numeric), np.int32)
+                codes = np.empty((n, places.shape[1] + n_numeric), kind)
                 codes[:, :places.shape[1]] = places
                 for i, cut in enumerate(cuts):
                     value = part.column(4 + i).to_numpy(zero_copy_only=False).astype(float)
                     codes[:, places.shape[1] + i] = np.where(np.isnan(value), 0, 1 + np.searchsorted(cut, value, "right"))
-                cells = [codes, *[part.column(k).to_numpy(zero_copy_only=False).astype(kind)
-                                  for k, kind in ((1, np.float64), (2, np.float64), (3, np.int64))]]
+                cells = [codes, *[part.column(k).to_numpy(zero_copy_only=False).astype(t)
+                                  for k, t in ((1, np.uint8), (2, np.float64), (3, np.int64))]]
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in cells]],
                                                  names=["n", "codes", "y", "w", "row_key"])
 
@@ -140,10 +145,10 @@ def packed_blocks(rows: DataFrame, cuts: list[np.ndarray], label: str) -> DataFr
     return materialize(source.mapInArrow(pack, "n int, codes binary, y binary, w binary, row_key binary"))
 
 
-def _block(row) -> Block:
+def _block(row, kind: np.dtype) -> Block:
     n = row["n"]
-    y, w = (np.frombuffer(row[c], np.float64) for c in ("y", "w"))
-    return Block(np.asfortranarray(np.frombuffer(row["codes"], np.int32).reshape(n, -1)), y, w, np.frombuffer(row["row_key"], np.int64), np.zeros(n))
+    y, w, key = (np.frombuffer(row[c], t) for c, t in (("y", np.uint8), ("w", np.float64), ("row_key", np.int64)))
+    return Block(np.asfortranarray(np.frombuffer(row["codes"], kind).reshape(n, -1)), y, w, key, np.zeros(n))
 
 
 def train_gbt(df: DataFrame, rounds: int = 300, label: str = "target", seed: int = 42, fill: bool = True,
@@ -164,8 +169,12 @@ def train_gbt(df: DataFrame, rounds: int = 300, label: str = "target", seed: int
     cuts = numeric_cuts(train)
     sizes = {r["column_no"]: r["n"] for r in dictionary.groupBy("column_no").agg(F.count("*").alias("n")).collect()}
     widths = [sizes.get(i, 0) for i in range(len(fv.CATEGORICAL))] + [len(cut) + 2 for cut in cuts]
-    table = packed_blocks(encoded(train, dictionary, fv.CATEGORICAL, "place"), cuts, label)
-    blocks = table.rdd.map(_block)
+    kind = code_type(widths)
+    table = packed_blocks(encoded(train, dictionary, fv.CATEGORICAL, "place"), cuts, label, kind)
+    parallelism = spark.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() < parallelism:  # small files share a task; every core is to have rows in all passes
+        table = table.repartition(parallelism)
+    blocks = table.rdd.mapPartitions(lambda rows: merged_blocks(_block(row, kind) for row in rows))
     trees, scale = fit_trees(blocks, widths, len(fv.CATEGORICAL), seen["rows"], seen["heaviest"], settings)
     return BoostedModel(_named_nodes(spark, trees, scale, settings, dictionary, cuts), fills)
 

@@ -179,6 +179,33 @@ def test_dictionary_of_many_categories(spark):
         assert slots == [slot[0, a], *([slot[1, f"w{i % 5}"]] if i % 7 else [])]
 
 
+@pytest.mark.parametrize("bounds, shuffles", [((500_000, 32 << 20), False), ((10, 32 << 20), True), ((0, 0), True)])
+def test_columns_of_few_values_meet_their_dictionary_without_a_shuffle(spark, monkeypatch, bounds, shuffles):
+    """The same slots for columns within the broadcast bounds, for one beyond them and for none within; a repeated and a null id."""
+    from incidentlens.plans import materialize as written
+
+    rows = [(i % 50, f"w{i % 40}" if i % 9 else None, "x" if i % 2 else "y", None) for i in range(400)] + [(None, "new", "x", "z")]
+    df = spark.createDataFrame(rows, "id int, a string, b string, c string")
+    table = encoding.category_dictionary(df.where("id is not null"), ["a", "b", "c"])
+    monkeypatch.setattr(written, "BROADCAST_ROWS", bounds[0])
+    monkeypatch.setattr(written, "BROADCAST_BYTES", bounds[1])
+    out = encoding.encoded(df, table, ["a", "b", "c"])
+    slot = {(r["column_no"], r["value"]): r["slot"] for r in table.collect()}
+    want = sorted(((*r, [slot.get((k, v)) for k, v in enumerate(r[1:])]) for r in rows), key=str)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == want
+    assert ("Exchange hashpartitioning" in out._jdf.queryExecution().executedPlan().toString()) == shuffles
+
+
+def test_joined_blocks_hold_the_same_rows():
+    pick = np.random.default_rng(2)
+    blocks = [B.Block(pick.integers(-1, 9, (n, 3)).astype(np.int16), pick.random(n), pick.random(n), pick.integers(0, 99, n), pick.random(n))
+              for n in (40, 30, 50, 200, 1, 2)]
+    joined = list(B.merged_blocks(iter(blocks), 100))
+    assert [len(b.y) for b in joined] == [70, 50, 200, 3]
+    for c in ("codes", "y", "w", "key", "margin"):
+        assert (np.concatenate([getattr(b, c) for b in joined]) == np.concatenate([getattr(b, c) for b in blocks])).all()
+
+
 def shapley(met, shares, value):
     """Contributions by all orders of the inputs."""
     d = len(shares)
