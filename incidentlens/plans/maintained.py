@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidentlens import fixed_values as fv
-from incidentlens.sources.versions import current, read_version, upsert_version
+from incidentlens.sources.versions import BUCKET, current, read_version, upsert_version
 
 CUBE = ["device_id", "type", "status", "country", "event_year", "event_month"]
-_KEY = "cube_key"
+_KEY = "cube_key"  # all columns as one text, by which cubes stored earlier are bucketed
 
 
 def signed_counts(now: DataFrame | None, before: DataFrame | None, cube=tuple(CUBE)) -> DataFrame:
@@ -24,9 +24,10 @@ def signed_counts(now: DataFrame | None, before: DataFrame | None, cube=tuple(CU
 
 
 def _added(target: DataFrame, updates: DataFrame) -> DataFrame:
-    names = [c for c in target.columns if c not in (_KEY, "n")]
-    return target.unionByName(updates).groupBy(_KEY).agg(
-        *[F.first(c).alias(c) for c in names], F.sum("n").alias("n")).filter("n <> 0").select(target.columns)
+    """Both come with their rows' buckets, in which equal rows meet, so they are shuffled once, for the sums and the write."""
+    both = target.unionByName(updates).repartition(BUCKET)
+    return both.groupBy(BUCKET, *[c for c in target.columns if c not in (BUCKET, "n")]).agg(
+        F.sum("n").alias("n")).filter("n <> 0").select(target.columns)
 
 
 def apply_batch(spark: SparkSession, path: str, batch_id: str, now: DataFrame | None = None, before: DataFrame | None = None,
@@ -34,15 +35,17 @@ def apply_batch(spark: SparkSession, path: str, batch_id: str, now: DataFrame |
     """Add a batch to the cube at ``path``; False if the cube has it already.
 
     ``now`` are the new events and the changed ones as they are, ``before`` the removed ones and the changed ones as they
-    were; at least one of both is given.
+    were; at least one of both is given. The first column of ``cube`` deals the rows to buckets.
     """
     version = current(spark, path)
     done = (version or {}).get("notes") or []
     if batch_id in done:
         return False
     delta = signed_counts(now, before, cube)
-    keyed = delta.withColumn(_KEY, F.to_json(F.struct(*cube), {"ignoreNullFields": "false"}))
-    upsert_version(spark, path, keyed, _KEY, buckets=buckets, merge=_added, notes=[*done, batch_id])
+    key = version["key"] if version else cube[0]
+    if key == _KEY:
+        delta = delta.withColumn(_KEY, F.to_json(F.struct(*cube), {"ignoreNullFields": "false"}))
+    upsert_version(spark, path, delta, key, buckets=buckets, merge=_added, notes=[*done, batch_id])
     return True
 
 

@@ -81,8 +81,8 @@ def upsert_version(spark: SparkSession, path: str, updates: DataFrame, key: str
 
     New keys are added, known keys get ``set_cols`` only. Without a table the updates are its first version, in ``buckets``
     buckets (by the number of rows unless given). Only buckets that updates fall into are read and written again; the
-    folders of the others are named as before. ``merge(target, updates)`` replaces the rule for touched buckets; ``notes`` are
-    kept in the version.
+    folders of the others are named as before. ``merge(target, updates)`` replaces the rule for touched buckets; it gets both with
+    the column ``BUCKET`` and returns the rows with it, those of a bucket together; ``notes`` are kept in the version.
     """
     path, old = path.rstrip("/"), current(spark, path.rstrip("/"))
     updates, seen = materialize(updates, rows=F.count(F.lit(1)))
@@ -98,12 +98,16 @@ def upsert_version(spark: SparkSession, path: str, updates: DataFrame, key: str
     touched = {r[0] for r in updates.select(BUCKET).distinct().collect()}
     if not touched and not notes:
         return old
-    rows = updates.drop(BUCKET)
-    if touched & {int(b) for b in old["folders"]}:
-        target = read_version(spark, path, old["number"], touched)
-        rows = merge(target, rows) if merge else merged_rows(target, rows, key, set_cols)
+    known = touched & {int(b) for b in old["folders"]}
+    if known and merge:
+        rows = merge(read_version(spark, path, old["number"], touched).withColumn(BUCKET, bucket), updates)
+    else:
+        rows = updates.drop(BUCKET)
+        if known:
+            rows = merged_rows(read_version(spark, path, old["number"], touched), rows, key, set_cols)
+        rows = rows.withColumn(BUCKET, bucket).repartition(BUCKET)
     folder = f"data/{old['number'] + 1}-{uuid.uuid4().hex}"
-    rows.withColumn(BUCKET, bucket).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{path}/{folder}")
+    rows.write.partitionBy(BUCKET).parquet(f"{path}/{folder}")
     written = spark.read.schema(StructType(schema.fields + [StructField(BUCKET, IntegerType())])).parquet(f"{path}/{folder}")
     counts = {r[0]: r[1] for r in written.groupBy(BUCKET).count().collect()}
     keep = [b for b in old["folders"] if int(b) not in touched]  # a touched bucket may have lost all its rows

@@ -56,6 +56,36 @@ def test_small_batch_touches_few_buckets(spark, tmp_path):
     assert sum(before[b] != after[b] for b in before) == 1
 
 
+def test_a_batch_is_merged_in_one_shuffle(spark, tmp_path, monkeypatch):
+    """The cube holds its columns and counts alone, and its rows and a batch's move once, to their buckets."""
+    path, plans = str(tmp_path / "cube"), []
+    added = maintained._added
+
+    def seen(target, updates):
+        plans.append(added(target, updates))
+        return plans[-1]
+
+    monkeypatch.setattr(maintained, "_added", seen)
+    rows = list(events(random.Random(2), range(300)).values())
+    for batch in ("a", "b"):
+        maintained.apply_batch(spark, path, batch, spark.createDataFrame(rows, EVENTS), buckets=8)
+    assert versions.read_version(spark, path).columns == [*maintained.CUBE, "n"]
+    assert plans[0]._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert maintained.cube_rows(spark, path).agg(F.sum("n")).first()[0] == 600
+
+
+def test_a_cube_with_keys_takes_batches(spark, tmp_path):
+    """One stored when cubes were bucketed by all their columns as a text."""
+    path = str(tmp_path / "cube")
+    rows = spark.createDataFrame(list(events(random.Random(4), range(200)).values()), EVENTS)
+    counts = maintained.signed_counts(rows, None)
+    keyed = counts.withColumn("cube_key", F.to_json(F.struct(*maintained.CUBE), {"ignoreNullFields": "false"}))
+    versions.upsert_version(spark, path, keyed, "cube_key", buckets=8, notes=["a"])
+    assert maintained.apply_batch(spark, path, "b", rows) and not maintained.apply_batch(spark, path, "b", rows)
+    want = {tuple(r)[:-1]: 2 * r["n"] for r in counts.collect()}
+    assert {tuple(r)[:-1]: r["n"] for r in maintained.cube_rows(spark, path).collect()} == want
+
+
 @pytest.fixture
 def indexed(spark, tmp_path):
     df = spark.range(10_000).selectExpr("id", "concat('n', (id * 7919) % 311) as name", "id % 3 as kind")
