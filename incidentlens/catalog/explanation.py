@@ -7,7 +7,7 @@ from incidentlens.catalog.cleaning import EXTRA as TRAINING
 from incidentlens.functions.frames import risk_bands
 from incidentlens.operators import explain as ops
 from incidentlens.plans.assess import banded, explained
-from incidentlens.plans.materialize import shared_dir
+from incidentlens.plans.materialize import materialize, shared_dir
 from incidentlens.plans.training_frame import training_frame
 from incidentlens.sources import ledger, tables
 
@@ -103,14 +103,15 @@ def _folded(t):
         F.col("impact").cast("decimal(38,8)"), 6).cast("double").alias("impact"))
 
 
-def _assessed(t):
-    return banded(explained(scored_features(t))).withColumn("features_used", F.array().cast(
+def _assessed(scored):
+    return banded(explained(scored)).withColumn("features_used", F.array().cast(
         "array<struct<feature:string,feature_name:string,value:string,source:string>>"))
 
 
 def _batched(t):
     """Two of three batches stored, then all three, one of them twice: each counts once, in both tables."""
-    rows = _assessed(t).withColumn("batch_id", (F.col("user_id") % 3).cast("string"))
+    # Scores are written once for the three calls; texts are made of the rows that a call stores.
+    rows = _assessed(materialize(scored_features(t))).withColumn("batch_id", (F.col("user_id") % 3).cast("string"))
     root = f"{shared_dir(t.spark)}/incidentlens-batches-{uuid.uuid4().hex}"
     for part in (rows.filter("batch_id < 2"), rows, rows.filter("batch_id = 1")):
         ledger.write_batches(part, root)
@@ -121,7 +122,7 @@ def _batched(t):
 
 def _written(t):
     """Store assessed rows and read them back."""
-    rows = _assessed(t)
+    rows = _assessed(scored_features(t))
     path = f"{shared_dir(t.spark)}/incidentlens-predictions-{uuid.uuid4().hex}"
     tables.write_predictions(rows, path)
     return t.spark.read.parquet(path).select(

@@ -10,6 +10,7 @@ from incidentlens.functions.frames import (
 from incidentlens.operators.aggregates import count_by_device, count_by_manufacturer
 from incidentlens.operators.joins import join_events_devices, join_manufacturers
 from incidentlens.operators.training import labelled
+from incidentlens.plans.materialize import materialize
 
 
 def merged_events(e: DataFrame, d: DataFrame, m: DataFrame | None = None) -> DataFrame:
@@ -36,8 +37,10 @@ def training_frame(e: DataFrame, d: DataFrame, m: DataFrame, version: str = "v2"
 
     The counts cover all events, the labelled row itself and later ones included, as the
     reference figures do; that leaks the future into the features. Events are
-    labelled and filtered before they meet the devices, so only the kept ones are joined.
+    labelled and filtered before they meet the devices, so only the kept ones are joined. The events are written once.
     """
+    used = ["id", "device_id", "type", "status", "country", "date", "action_classification"]
+    e = materialize(e.select(*used))  # read for the counts and for the rows; made anew, its joins would run twice
     devices = counted_devices(e, d, m).select(
         "device_id", "classification", "implanted", F.col("country").alias("country_device"),
         "quantity_in_commerce", "risk_class", "name_manufacturer", "event_count", "manufacturer_event_count")
