@@ -22,8 +22,8 @@ def _frame(t):
 
 
 def _parts(t):
-    """(train, test) of the written training frame."""
-    split = ops.stratified_split(_frame(t))
+    """(train, test) of the written training frame; the split is written too, as training reads its part several times."""
+    split = materialize(ops.stratified_split(_frame(t)))
     return split.filter("not is_test").drop("is_test"), split.filter("is_test").drop("is_test")
 
 

@@ -4,7 +4,7 @@ Rows are packed once into blocks of category places, numeric bins, labels and we
 kept by the executors. A tree level is one pass: each task routes its rows down the tree so far, sums gradients and hessians by
 (node, column, bin), the sums are added up by (node, column, slice) across tasks, and each slice returns its best
 split. The driver sees one candidate for each of them, never rows; it adds up the sums itself only where they are
-small, whatever the rows. Wide category columns are cut into slices, so no task holds a whole one.
+small, whatever the rows, and then has one of two children from the sums of the parent and the other. Wide category columns are cut into slices, so no task holds a whole one.
 
 A category column stands for its one-hot inputs: a split sends one category right and all other rows left. Gradients
 are whole numbers of a fixed scale, so sums, splits and leaves don't depend on how rows are dealt to tasks.
@@ -22,6 +22,7 @@ ROW_BLOCK = 16_384
 SLICE = 4_096  # categories whose sums travel together
 GATHERED_BYTES = 32 << 20  # sums of a level that are no larger are added up by the driver, which saves a shuffle
 MERGED_ROWS = 65_536  # blocks of a partition are joined up to so many rows, as each costs the same few steps for a node and column
+PART_ROWS = 4_000_000  # of a task, where there are more rows than cores take at once
 REFRESH = 10  # trees after which the margins are kept anew
 BINS = 256  # of a numeric column, at approximate quantiles
 
@@ -116,6 +117,15 @@ class Block:
             out[node] = left ^ ((left ^ right) & -goes_right.astype(kind))  # all bits are set where the row goes right
         return np.broadcast_to(values[out[0]], len(self.y))
 
+    def taken(self, rows: np.ndarray) -> Block:
+        """The block of some of its rows."""
+        if len(rows) == len(self.y):
+            return self
+        codes = np.empty((len(rows), self.codes.shape[1]), self.codes.dtype, order="F")
+        for c in range(codes.shape[1]):
+            np.take(self.codes[:, c], rows, out=codes[:, c])
+        return Block(codes, self.y[rows], self.w[rows], self.key[rows], self.margin[rows])
+
 
 def merged_blocks(blocks, rows: int = MERGED_ROWS):
     """The same rows in order in fewer blocks of at most ``rows`` rows, where a single block isn't larger."""
@@ -243,30 +253,22 @@ def fit_trees(blocks, widths: list[int], n_categorical: int, rows: int, heaviest
     bits = math.ceil(math.log2(max(2, rows) * max(1.0, heaviest)))
     scale = 2.0 ** min(30, 62 - bits)
     inputs = np.cumsum([0] + [w if c < n_categorical else 1 for c, w in enumerate(widths)]).tolist()
-    tasks = max(1, min(blocks.getNumPartitions(), blocks.context.defaultParallelism * 4))
-    kept, trees, since = blocks.persist(StorageLevel.MEMORY_AND_DISK), [], []
+    parts = blocks.getNumPartitions()
+    tasks = max(1, min(parts, blocks.context.defaultParallelism * 4))
+    gathered = parts * 2 ** (settings.depth - 1) * sum(widths) * 16 <= GATHERED_BYTES
+    kept, trees, since = blocks.persist(StorageLevel.MEMORY_AND_DISK_DESER), [], []
     older = None
     try:
         for round_ in range(settings.rounds):
             tree, places = Tree(), {0: 0}
+            level = _GatheredLevels(widths, n_categorical, inputs, round_, settings, scale) if gathered else None
             for _ in range(settings.depth):
-                found = _level(kept, since, tree, places, widths, n_categorical, inputs, round_, settings, scale, tasks)
-                best = {}
-                for (place, *_), split in found:
-                    if split is not None:
-                        order = (-split[0], split[1], split[2])
-                        if place not in best or order < best[place][0]:
-                            best[place] = (order, split)
-                if not best:
+                found = level.found(kept, since, tree, places) if gathered else _level(
+                    kept, since, tree, places, widths, n_categorical, inputs, round_, settings, scale, tasks)
+                new = _add_splits(tree, places, found)
+                if not new:
                     break
-                node_of, new = {p: n for n, p in places.items()}, []
-                for place in sorted(best):
-                    _, column, code, gap_left, left, right = best[place][1]
-                    node = node_of[place]
-                    if node == 0:
-                        tree.g[0], tree.h[0] = left[0] + right[0], left[1] + right[1]
-                    new += tree.split(node, column, code, gap_left, (left, right))
-                places = {n: i for i, n in enumerate(new)}
+                places = {n: i for i, n in enumerate(n for _, *children in new for n in children)}
             if tree.column == [-1]:
                 tree.g[0], tree.h[0] = _totals(kept, since, round_, n_categorical, settings, scale)
             since.append((tree, tree.leaf_values(settings, scale)))
@@ -274,7 +276,7 @@ def fit_trees(blocks, widths: list[int], n_categorical: int, rows: int, heaviest
             if len(since) == REFRESH and round_ + 1 < settings.rounds:
                 if older is not None:
                     older.unpersist()
-                older, kept = kept, _advanced(kept, since, n_categorical).persist(StorageLevel.MEMORY_AND_DISK)
+                older, kept = kept, _advanced(kept, since, n_categorical).persist(StorageLevel.MEMORY_AND_DISK_DESER)
                 since = []
         return trees, scale
     finally:
@@ -283,6 +285,126 @@ def fit_trees(blocks, widths: list[int], n_categorical: int, rows: int, heaviest
                 held.unpersist()
 
 
+def widest(widths: list[int]) -> int:
+    """The column by whose codes rows are dealt to tasks."""
+    return int(np.argmax(widths))
+
+
+def _add_splits(tree: Tree, places: dict, found) -> list[tuple[int, int, int]]:
+    """Split the open nodes (``places`` by node) where a slice has a split; ``(node, left, right)`` of each.
+
+    ``found`` are ``((place, column, slice), split)``; the largest gain counts, then the first column and code.
+    """
+    best = {}
+    for (place, *_), split in found:
+        if split is not None:
+            order = (-split[0], split[1], split[2])
+            if place not in best or order < best[place][0]:
+                best[place] = (order, split)
+    node_of, new = {p: n for n, p in places.items()}, []
+    for place in sorted(best):
+        _, column, code, gap_left, left, right = best[place][1]
+        node = node_of[place]
+        if node == 0:
+            tree.g[0], tree.h[0] = left[0] + right[0], left[1] + right[1]
+        new.append((node, *tree.split(node, column, code, gap_left, (left, right))))
+    return new
+
+
+class CodeSums:
+    """Sums of a node's rows as one array of all columns: for each a place for the unseen code, then one for each of its codes.
+
+    The widest column is the last; of that one a task tells only the range of codes that its rows have.
+    """
+
+    def __init__(self, widths: list[int]):
+        self.widths, wide = widths, widest(widths)
+        self.order = [c for c in range(len(widths)) if c != wide] + [wide]
+        self.start = dict(zip(self.order, np.cumsum([0] + [widths[c] + 1 for c in self.order]).tolist()))
+        self.narrow, self.size = self.start[wide], self.start[wide] + widths[wide] + 1
+
+    def add(self, block: Block, place: np.ndarray, g: np.ndarray, h: np.ndarray, into: np.ndarray) -> None:
+        """Add the rows' sums to ``into``, by (place, code)."""
+        for c in self.order:
+            width, start = self.widths[c] + 1, self.start[c]
+            code = place * width + block.codes[:, c] + 1
+            for i, x in enumerate((g, h)):
+                into[:, start:start + width, i] += np.bincount(code, x, len(into) * width).astype(np.int64).reshape(-1, width)
+
+    def told(self, sums: np.ndarray) -> tuple[int, bytes, bytes]:
+        met = np.flatnonzero(sums[:, self.narrow:].any((0, 2)))
+        low, high = (self.narrow + int(met[0]), self.narrow + int(met[-1]) + 1) if len(met) else (self.narrow, self.narrow)
+        return low, sums[:, :self.narrow].tobytes(), sums[:, low:high].tobytes()
+
+    def added(self, told, nodes: int) -> np.ndarray:
+        total = np.zeros((nodes, self.size, 2), np.int64)
+        for low, narrow, wide in told:
+            total[:, :self.narrow] += np.frombuffer(narrow, np.int64).reshape(nodes, -1, 2)
+            wide = np.frombuffer(wide, np.int64).reshape(nodes, -1, 2)
+            total[:, low:low + wide.shape[1]] += wide
+        return total
+
+    def slices(self, sums: np.ndarray, n_categorical: int):
+        """``(column, slice)`` of one node with the values that ``best_split`` takes; numeric columns are one slice."""
+        whole = sums[self.start[0]:self.start[0] + self.widths[0] + 1].sum(0)
+        for c, width in enumerate(self.widths):
+            known = sums[self.start[c] + 1:self.start[c] + 1 + width]
+            step = SLICE if c < n_categorical else max(1, width)
+            for part in range(max(1, -(-width // step))):
+                mine = known[part * step:(part + 1) * step]
+                yield (c, part), np.concatenate([mine, (whole - mine.sum(0))[None]])
+
+
+class _GatheredLevels:
+    """The levels of one tree where the driver adds up the sums.
+
+    Of two children the rows of one are summed, of the other the sums are what that one leaves of the parent's; whole numbers
+    make that exact.
+    """
+
+    def __init__(self, widths, n_categorical, inputs, round_, settings, scale):
+        self.sums, self.by_code, self.draws = {}, CodeSums(widths), {}
+        self.n_categorical, self.inputs, self.round_, self.settings, self.scale = n_categorical, inputs, round_, settings, scale
+
+    def found(self, blocks, since, tree: Tree, places: dict):
+        if not self.sums:
+            self.sums = dict(zip(places, self._summed(blocks, since, tree, list(places))))
+        else:
+            parents = [n for n in self.sums if tree.column[n] >= 0]
+            pairs = [sorted((tree.left[n], tree.right[n]), key=lambda child: tree.h[child]) for n in parents]
+            fewer = self._summed(blocks, since, tree, [less for less, _ in pairs])
+            self.sums = {child: sums for n, (less, more), mine in zip(parents, pairs, fewer)
+                         for child, sums in ((less, mine), (more, self.sums[n] - mine))}
+        for node, place in places.items():
+            for (column, part), values in self.by_code.slices(self.sums[node], self.n_categorical):
+                yield (place, column, part), self._best(values, column, part)
+
+    def _best(self, values, column, part):
+        categorical = column < self.n_categorical
+        if (column, part) not in self.draws:
+            n = len(values) - 1 if categorical else 1
+            self.draws[column, part] = drawn_inputs(n, categorical, part, self.inputs[column], self.round_, self.settings)
+        return best_split(values, categorical, column, part, self.inputs[column], self.round_, self.settings, self.scale,
+                          self.draws[column, part])
+
+    def _summed(self, blocks, since, tree, nodes: list[int]) -> np.ndarray:
+        """The sums of all tasks' rows of ``nodes``, by (node, code)."""
+        by_code, n_categorical, round_, settings, scale = self.by_code, self.n_categorical, self.round_, self.settings, self.scale
+        since, lookup = list(since), np.full(len(tree.column), -1, np.int64)
+        lookup[nodes] = range(len(nodes))
+
+        def partial(some):
+            into = np.zeros((len(nodes), by_code.size, 2), np.int64)
+            for block in some:
+                place = block.route(tree, lookup, n_categorical)
+                rows = np.flatnonzero((place >= 0) & drawn(block.key, settings.row_share, settings.seed, 1, round_))
+                block, place = block.taken(rows), place[rows]
+                by_code.add(block, place, *gradients(block, _margin(block, since, n_categorical), scale), into)
+            return [by_code.told(into)]
+
+        return by_code.added(blocks.mapPartitions(partial).collect(), len(nodes))
+
+
 def _margin(block: Block, since, n_categorical: int) -> np.ndarray:
     margin = block.margin
     for tree, values in since:
@@ -326,20 +448,9 @@ def _level(blocks, since, tree, places, widths, n_categorical, inputs, round_, s
             level_sums(block, place, nodes, g, h, widths, into)
         return into.items()
 
-    def best(item, allowed=None):
+    def best(item):
         (place, column, part), values = item
-        split = best_split(values, column < n_categorical, column, part, inputs[column], round_, settings, scale, allowed)
+        split = best_split(values, column < n_categorical, column, part, inputs[column], round_, settings, scale)
         return (place, column, part), split
 
-    sums = blocks.mapPartitions(partial)
-    if blocks.getNumPartitions() * nodes * sum(widths) * 16 <= GATHERED_BYTES:
-        into = {}
-        for key, values in sums.collect():
-            into[key] = added(into[key], values) if key in into else values
-        draws = {}
-        for (_, column, part), values in into.items():
-            n = len(values) - 1 if column < n_categorical else 1
-            if len(draws.get((column, part), ())) < n:
-                draws[column, part] = drawn_inputs(n, column < n_categorical, part, inputs[column], round_, settings)
-        return [best(item, draws[item[0][1:]]) for item in into.items()]
-    return sums.reduceByKey(added, tasks).map(best).collect()
+    return blocks.mapPartitions(partial).reduceByKey(added, tasks).map(best).collect()

@@ -5,6 +5,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from incidentlens import fixed_values as fv
 from incidentlens.functions.cleaning import risk_target_v1, risk_target_v2
 from incidentlens.operators.aggregates import top_value_by_group
 from incidentlens.operators.boosted_model import BoostedModel
-from incidentlens.operators.boosting import BINS, ROW_BLOCK, Block, Settings, fit_trees, merged_blocks
+from incidentlens.operators.boosting import (
+    BINS, MERGED_ROWS, PART_ROWS, ROW_BLOCK, Block, Settings, fit_trees, merged_blocks, widest)
 from incidentlens.operators.encoding import category_dictionary, encoded
 from incidentlens.operators.ordering import exact_quantiles, hash_cut, hash_key
 from incidentlens.plans.materialize import materialize
@@ -119,12 +121,16 @@ def code_type(widths: list[int]) -> np.dtype:
     return next((np.dtype(t) for t in (np.int8, np.int16) if max(widths) <= np.iinfo(t).max), np.dtype(np.int32))
 
 
-def packed_blocks(rows: DataFrame, cuts: list[np.ndarray], label: str, kind: np.dtype) -> DataFrame:
-    """Rows with ``slots`` (places of categories) packed into the blocks that ``fit_trees`` takes, as a written table."""
+def packed_blocks(rows: DataFrame, cuts: list[np.ndarray], label: str, kind: np.dtype, wide: int, tasks: int) -> DataFrame:
+    """Rows with ``slots`` (places of categories) packed into the blocks that ``fit_trees`` takes, as a written table.
+
+    Rows are dealt to ``tasks`` parts of like size by ranges of column ``wide``, so that each part has few of its codes.
+    """
     ship(rows.sparkSession)
     n_numeric = len(cuts)
 
     def pack(batches):
+        dealt = TaskContext.get().partitionId()
         for batch in batches:
             for lo in range(0, batch.num_rows, ROW_BLOCK):
                 part = batch.slice(lo, ROW_BLOCK)
@@ -137,12 +143,15 @@ def packed_blocks(rows: DataFrame, cuts: list[np.ndarray], label: str, kind: np.
                     codes[:, places.shape[1] + i] = np.where(np.isnan(value), 0, 1 + np.searchsorted(cut, value, "right"))
                 cells = [codes, *[part.column(k).to_numpy(zero_copy_only=False).astype(t)
                                   for k, t in ((1, np.uint8), (2, np.float64), (3, np.int64))]]
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in cells]],
-                                                 names=["n", "codes", "y", "w", "row_key"])
+                yield pa.RecordBatch.from_arrays([pa.array([dealt], pa.int32()), pa.array([n], pa.int32()),
+                                                  *[pa.array([c.tobytes()], pa.binary()) for c in cells]],
+                                                 names=["part", "n", "codes", "y", "w", "row_key"])
 
-    source = rows.select("slots", F.col(label).cast("double"), F.col("weight").cast("double"), F.xxhash64("id"),
+    source = rows.select("slots", F.col(label).cast("double"), F.col("weight").cast("double"), F.xxhash64("id").alias("_key"),
                          *[F.col(c).cast("double") for c in fv.NUMERICAL])
-    return materialize(source.mapInArrow(pack, "n int, codes binary, y binary, w binary, row_key binary"))
+    code = F.col("slots")[wide] if wide < len(fv.CATEGORICAL) else F.col(fv.NUMERICAL[wide - len(fv.CATEGORICAL)])
+    source = source.repartitionByRange(tasks, code, "_key")
+    return materialize(source.mapInArrow(pack, "part int, n int, codes binary, y binary, w binary, row_key binary"))
 
 
 def _block(row, kind: np.dtype) -> Block:
@@ -170,11 +179,12 @@ def train_gbt(df: DataFrame, rounds: int = 300, label: str = "target", seed: int
     sizes = {r["column_no"]: r["n"] for r in dictionary.groupBy("column_no").agg(F.count("*").alias("n")).collect()}
     widths = [sizes.get(i, 0) for i in range(len(fv.CATEGORICAL))] + [len(cut) + 2 for cut in cuts]
     kind = code_type(widths)
-    table = packed_blocks(encoded(train, dictionary, fv.CATEGORICAL, "place"), cuts, label, kind)
     parallelism = spark.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() < parallelism:  # small files share a task; every core is to have rows in all passes
-        table = table.repartition(parallelism)
-    blocks = table.rdd.mapPartitions(lambda rows: merged_blocks(_block(row, kind) for row in rows))
+    # A pass over few rows is bound by the tasks' latency; else every core is to have rows, the same number each.
+    tasks = max(1, min(parallelism, -(-seen["rows"] // MERGED_ROWS))) * max(1, -(-seen["rows"] // (parallelism * PART_ROWS)))
+    table = packed_blocks(encoded(train, dictionary, fv.CATEGORICAL, "place"), cuts, label, kind, widest(widths), tasks)
+    blocks = table.repartitionById(tasks, F.col("part")).rdd.mapPartitions(
+        lambda rows: merged_blocks(_block(row, kind) for row in rows))
     trees, scale = fit_trees(blocks, widths, len(fv.CATEGORICAL), seen["rows"], seen["heaviest"], settings)
     return BoostedModel(_named_nodes(spark, trees, scale, settings, dictionary, cuts), fills)
 

@@ -128,6 +128,57 @@ def test_rows_dealt_otherwise_give_the_same_model(spark, monkeypatch):
     assert all(m == models[0] for m in models)
 
 
+def test_only_the_smaller_child_is_summed(spark, monkeypatch):
+    """A pass sums the rows of one child of each split; all passes of the shuffled way give the same trees."""
+    asked, summed = [], B._GatheredLevels._summed
+
+    def seen(self, blocks, since, tree, nodes):
+        asked.append([(n, tree.h[n], [tree.h[s] for a, b in zip(tree.left, tree.right) if n in (a, b) for s in (a, b)]) for n in nodes])
+        return summed(self, blocks, since, tree, nodes)
+
+    monkeypatch.setattr(B._GatheredLevels, "_summed", seen)
+    df = spark.createDataFrame(some_rows(700, gaps=True), SCHEMA)
+    nodes = ops.train_gbt(df, rounds=5, fill=False).nodes
+    assert len(asked) <= 20
+    later = [entry for a in asked for entry in a if entry[0]]
+    assert later and all(h == min(both) for _, h, both in later)
+    assert max(len(a) for a in asked) <= 4  # of at most eight open nodes
+    monkeypatch.setattr(B, "GATHERED_BYTES", 0)
+    assert ops.train_gbt(df, rounds=5, fill=False).nodes == nodes
+
+
+def test_sums_of_parts_add_up():
+    """What parts tell, each of its own range of the widest column, gives the sums of all rows; unseen codes and empty parts too."""
+    pick = np.random.default_rng(5)
+    widths, n = [3, 40, 7], 900
+    codes = np.stack([pick.integers(-1, w, n) for w in widths], 1).astype(np.int8)
+    codes = np.asfortranarray(codes[np.argsort(codes[:, 1])])
+    place, g, h = pick.integers(0, 2, n), pick.integers(-9, 9, n).astype(float), pick.integers(0, 9, n).astype(float)
+    by_code, told = B.CodeSums(widths), []
+    for lo, hi in ((0, 300), (300, 700), (700, 900), (900, 900)):
+        into, part = np.zeros((2, by_code.size, 2), np.int64), slice(lo, hi)
+        by_code.add(B.Block(codes[part], g[part], g[part], g[part], g[part]), place[part], g[part], h[part], into)
+        told.append(by_code.told(into))
+    assert sum(len(wide) for *_, wide in told) < 2 * 2 * (41 + 3) * 16
+    total = by_code.added(told, 2)
+    for node in (0, 1):
+        for (c, part), values in by_code.slices(total[node], 3):
+            for code in range(-1, widths[c]):
+                rows = (place == node) & (codes[:, c] == code)
+                assert values[code].tolist() == [g[rows].sum(), h[rows].sum()]
+
+
+def test_rows_are_dealt_by_ranges_of_the_widest_column(spark):
+    rows = spark.range(4000).selectExpr("cast(id as string) as id", "array(id % 3, id % 500) as slots", "id % 2 as target", "1.0 as weight",
+                                        *[f"cast(id % 9 as double) as {c}" for c in fv.NUMERICAL])
+    table = ops.packed_blocks(rows, [np.array([1.0, 5.0])] * 5, "target", np.dtype(np.int16), 1, 4).collect()
+    held = {}
+    for r in table:
+        held.setdefault(r["part"], []).extend(np.frombuffer(r["codes"], np.int16).reshape(r["n"], -1)[:, 1].tolist())
+    assert sum(map(len, held.values())) == 4000 and len(held) == 4
+    assert sum(len(set(codes)) for codes in held.values()) <= 500 + 3  # parts share no more than the values at their ends
+
+
 def test_wide_columns_are_cut_into_slices():
     """Sums of a column with far more codes than rows, from several blocks, give the split that all rows together give."""
     pick = np.random.default_rng(1)

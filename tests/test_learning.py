@@ -32,6 +32,19 @@ def model(frame):
     return ops.train_gbt(frame, rounds=4)
 
 
+def test_training_reads_a_written_split(frame, monkeypatch):
+    """Neither part makes the frame or the split anew."""
+    from incidentlens.catalog import learning
+
+    monkeypatch.setattr(learning, "_frame", lambda t: frame.repartition(3))
+    train, test = learning._parts(None)
+    for part in (train, test):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" not in plan and "Join" not in plan
+    ids = [{r["id"] for r in part.select("id").collect()} for part in (train, test)]
+    assert not ids[0] & ids[1] and len(ids[0] | ids[1]) == 900
+
+
 def test_split_is_exact_and_stable(frame):
     split = ops.stratified_split(frame)
     sizes = {(r["target"], r["is_test"]): r["count"] for r in split.groupBy("target", "is_test").count().collect()}
