@@ -12,12 +12,15 @@ from incidentlens.plans.training_frame import training_frame
 from incidentlens.sources import ledger, tables
 
 
+TEXT_ROWS = 25_000  # rows of a file that texts are made from
+
+
 def scored_features(t):
     """Training rows with the score and user of the order they came from."""
     rows = training_frame(t.events, t.devices, t.manufacturers, "v2")
     scores = t.predictions.select(
         F.col("id").cast("string").alias("order_id"), "user_id", "prediction", F.col("risk_score").alias("probability"))
-    return rows.withColumn("order_id", F.split("id", "-")[0]).join(scores, "order_id").drop("order_id", "target")
+    return rows.withColumn("order_id", F.substring_index("id", "-", 1)).join(scores, "order_id").drop("order_id", "target")
 
 
 RULES = {
@@ -110,8 +113,8 @@ def _assessed(scored):
 
 def _batched(t):
     """Two of three batches stored, then all three, one of them twice: each counts once, in both tables."""
-    # Scores are written once for the three calls; texts are made of the rows that a call stores.
-    rows = _assessed(materialize(scored_features(t))).withColumn("batch_id", (F.col("user_id") % 3).cast("string"))
+    # Scores are written once for the three calls; texts, some 2 KB a row, are made of the rows that a call stores.
+    rows = _assessed(materialize(scored_features(t), file_rows=TEXT_ROWS)).withColumn("batch_id", (F.col("user_id") % 3).cast("string"))
     root = f"{shared_dir(t.spark)}/incidentlens-batches-{uuid.uuid4().hex}"
     for part in (rows.filter("batch_id < 2"), rows, rows.filter("batch_id = 1")):
         ledger.write_batches(part, root)

@@ -91,11 +91,11 @@ def factor_badge(c: Column) -> Column:
 def top_risk_factors(df: DataFrame, n: int = 5) -> DataFrame:
     """``risk_factors``: the ``n`` largest contributions by size; ties keep the order of ``contributions``.
 
-    Only sizes and places are ordered; values and texts are made for the places that are kept.
+    Values and texts are made only for the features that are kept; the whole step stays in generated code.
     """
     order = df.schema["contributions"].dataType.fieldNames()
-    sized = F.array(*[F.struct((-F.abs(F.col(f"contributions.{f}"))).alias("size"), F.lit(i).alias("place"))
-                      for i, f in enumerate(order)])
+    sizes = {f: (-F.abs(F.col(f"contributions.{f}"))).alias("size") for f in order}
+    sized = F.array(*[F.struct(sizes[f], F.lit(i).alias("place")) for i, f in enumerate(order)])
 
     def factor(f):
         impact, value = F.col(f"contributions.{f}"), F.col(f).cast("string")
@@ -104,14 +104,13 @@ def top_risk_factors(df: DataFrame, n: int = 5) -> DataFrame:
             F.lit(f).alias("feature"), F.lit(fv.EXPLANATION_LABELS[f]).alias("feature_name"), value.alias("value"),
             round_half(impact, 4).alias("importance"), band.alias("impact"), _described(f, value, band).alias("description"))
 
-    def at(place):
-        out = None
-        for i, f in enumerate(order):
-            out = F.when(place == i, factor(f)) if out is None else out.when(place == i, factor(f))
-        return out
-
-    top = F.slice(F.array_sort(sized), 1, n)
-    return df.withColumn("risk_factors", F.transform(top, lambda c: at(c["place"])))
+    top = df.withColumn("_top", F.slice(F.sort_array(sized), 1, n)["place"])
+    # The kept ones alone are sorted with their texts; the others stay null and come last.
+    kept = F.array(*[
+        F.when(F.array_contains("_top", i), F.struct(sizes[f], F.lit(i).alias("place"), factor(f).alias("factor")))
+        for i, f in enumerate(order)])
+    return top.withColumn("_kept", F.sort_array(F.array_compact(kept))).withColumn("risk_factors", F.col("_kept")["factor"]).drop(
+        "_top", "_kept")
 
 
 def is_high(df_prediction="prediction", probability="probability") -> Column:
@@ -131,7 +130,7 @@ def risk_narrative(df: DataFrame, model_name: str = fv.NARRATIVE_MODEL) -> DataF
 
     def names(band, n):
         chosen = F.filter("risk_factors", lambda x: x["impact"] == band)
-        return F.array_join(F.slice(F.transform(chosen, lambda x: x["feature_name"]), 1, n), ", ")
+        return F.array_join(F.slice(chosen["feature_name"], 1, n), ", ")
 
     up, down = names(fv.ELEVATED, 3), names(fv.REDUCED, 2)
     maker, cls = F.col("name_manufacturer"), F.col("classification")

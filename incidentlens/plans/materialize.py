@@ -53,17 +53,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def materialize(df: DataFrame, folder: str | None = None, **metrics):
+def materialize(df: DataFrame, folder: str | None = None, file_rows: int = 0, **metrics):
     """Write ``df`` and return the written table, in ``folder`` or else that of the innermost ``scratch`` or the shared one.
 
     With ``metrics`` (bounded aggregates over its rows) also their values, taken during the
-    write itself: ``(table, values)``.
+    write itself: ``(table, values)``. ``file_rows`` limits the rows of a file, for tables whose rows become much larger
+    when they are read: what compresses well is one row group of millions of rows, which one task reads alone.
     """
     spark = df.sparkSession
     path = f"{folder or (_scratch[-1] if _scratch else shared_dir(spark))}/incidentlens-{uuid.uuid4().hex}"
     seen = Observation() if metrics else None
     out = df.observe(seen, *[c.alias(n) for n, c in metrics.items()]) if metrics else df
-    out.write.parquet(path)
+    out.write.option("maxRecordsPerFile", file_rows).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     return (table, seen.get) if metrics else table
 

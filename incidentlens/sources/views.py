@@ -67,7 +67,7 @@ class IncidentTables:
         copies = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
             "l_suppkey", "l_quantity", "l_extendedprice", "l_partkey")
         first = (
-            self.raw("lineitem")
+            self.raw("lineitem").repartition("l_orderkey")  # serves the join with the orders, too
             .select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_partkey",
                     "l_returnflag", "l_shipdate")
             .withColumn("rn", F.row_number().over(copies))
@@ -79,10 +79,12 @@ class IncidentTables:
 
     def _events_from(self, lineitem: DataFrame) -> DataFrame:
         line = F.col("l_linenumber")
+        # Orders meet their customers first: there are fewer of them than lines.
+        orders = (
+            self.raw("orders").join(self.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .join(self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey")))
         return (
-            lineitem.join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
-            .join(self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .select(
                 F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), line.cast("string")).alias("id"),
                 F.when(line == 7, F.col("l_partkey") + 100000000).otherwise(F.col("l_partkey"))

@@ -100,3 +100,12 @@ def test_collation_groups_cases_and_accents(spark):
     df = spark.createDataFrame([("usa",), ("USA",), ("Usá",), ("deu",)], "country string")
     assert frames.with_collation(df, ["country"]).distinct().count() == 2
     assert df.distinct().count() == 4
+
+
+def test_strip_cuts_what_the_pattern_cuts(spark):
+    from incidentlens.functions.cleaning import strip
+
+    texts = [None, "", " ", " a b\t", "\u000b\f\r\nx\r\n", "a \u0085", "a\u0085 ", "a \u2028", "\u00a0a\u00a0", " \u2029"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", strip(F.col("t")).alias("got"), F.regexp_replace("t", r"^\s+|\s+$", "").alias("want")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]

@@ -126,3 +126,43 @@ def test_cut_batches_are_completed(spark, tmp_path, monkeypatch, fails_at):
     assert ledger.write_batches(two, root) == 2
     want = [("one", 1), ("two", 4), ("two", 5)]
     assert seen(spark, root) == (want, want)
+
+
+def test_known_batches_leave_before_their_texts_are_made(spark, tmp_path):
+    """Texts are made once for every stored row: not again for the audit rows, nor for rows of batches that the ledger has."""
+    root, made = str(tmp_path / "r"), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        made.add(1)
+        return f"text {i}"
+
+    spark.range(9).write.parquet(str(tmp_path / "ids"))
+    ids = spark.read.parquet(str(tmp_path / "ids")).select(F.col("id").cast("int"))
+    rows = scored(spark, [1], "x").drop("id", "user_id", "ip_address", "batch_id").crossJoin(ids).withColumns({
+        "user_id": F.col("id") * 10, "explanation": text("id"), "batch_id": (F.col("id") % 3).cast("string")})
+    assert ledger.write_batches(rows.filter("batch_id < 2"), root) == 6 and made.value == 6
+    assert ledger.write_batches(rows, root) == 3 and made.value == 9
+    assert ledger.write_batches(rows.filter("batch_id = 1"), root) == 0 and made.value == 9
+    assert {(r["id"], r["explanation"]) for r in ledger.read_batches(spark, root, "predictions").collect()} == {
+        (i, f"text {i}") for i in range(9)}
+    assert ledger.read_batches(spark, root, "audit").count() == 9
+
+
+def test_many_known_batches_are_left_to_the_join(spark, tmp_path, monkeypatch):
+    root, one = str(tmp_path / "r"), scored(spark, [1, 2, 3], "one").drop("ip_address")
+    both = one.unionByName(scored(spark, [4], "two").drop("ip_address"))
+    monkeypatch.setattr(ledger, "FILTERED", 1)
+    assert ledger.write_batches(both, root) == 4
+    assert ledger.write_batches(both.unionByName(scored(spark, [5], "").drop("ip_address")), root) == 1
+    assert ledger.write_batches(both.unionByName(scored(spark, [5], "").drop("ip_address")), root) == 0
+    with pytest.raises(Exception, match="without a batch"):
+        ledger.write_batches(one.withColumn("batch_id", F.lit(None).cast("string")), root)
+
+
+def test_files_of_rows_that_grow_are_small(spark, tmp_path):
+    from incidentlens.plans.materialize import materialize
+
+    table, seen = materialize(spark.range(95).coalesce(1), folder=str(tmp_path), file_rows=10, rows=F.count(F.lit(1)))
+    assert seen["rows"] == 95 and table.count() == 95
+    assert len(files(str(tmp_path))) == 10
