@@ -106,3 +106,83 @@ def test_tail_rates_of_labelled_documents(spark):
     least = {"en": 0.95, "de": 0.4, "fr": 0.35, "es": 0.25}
     for lang, bad in least.items():
         assert share[lang, 1] <= 0.0105 and share[lang, 0] >= bad, (lang, share)
+
+
+def _plain_prose(pick, syllables, words):
+    return " ".join("".join(pick.choice(syllables) for _ in range(3)) for _ in range(words))
+
+
+def test_noise_in_other_scripts_is_rejected(spark):
+    """Letters beyond ASCII, digits and signs tell noise from prose where the outline of both is the same."""
+    pick = random.Random(5)
+    kinds = {"ru": ["ко", "ла", "не", "ми", "то"], "el": ["κα", "λο", "νε", "μι", "τα"]}
+    rows = [(lang, _plain_prose(pick, of, 150)) for lang, of in kinds.items() for _ in range(150)]
+    letters = {"ru": [chr(c) for c in range(0x430, 0x450)], "el": [chr(c) for c in range(0x3B1, 0x3C9)]}
+    noise = [(lang, " ".join("".join(pick.choice(letters[lang]) for _ in range(6)) for _ in range(150))) for lang in kinds]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows + noise)], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in K.quality_rules(docs).collect()}
+    assert [got[len(rows) + i]["kept"] for i in range(2)] == [False, False]
+    assert all(got[i]["kept"] for i in range(len(rows)))
+
+
+def test_every_byte_has_its_own_symbol(spark):
+    assert sorted(K.BYTES.tolist()) == list(range(256))
+    texts = ["a1 Б", "a2 В", "A1 Б!", None, ""]
+    docs = spark.createDataFrame([(t, "x") for t in texts], "text string, lang string")
+    slots = K.language_slots(docs, "lang")
+    seen = {}
+    for t in texts:
+        data = (t or "").encode()
+        s = [0] * (K.ORDER - 1) + [int(K.BYTES[b]) for b in data]
+        for i in range(K.ORDER - 1, len(s)):
+            key = K.SLOTS * (zlib.crc32(data) % K.FOLDS)
+            for x in s[i - K.ORDER + 1:i + 1]:
+                key = key << 8 | x
+            seen[key] = seen.get(key, 0) + 1
+    outline, whole = K.train_views(docs, slots)
+    assert set(whole.keys[-1].tolist()) == set(seen) and len(outline.keys[-1]) < len(seen)
+    assert outline.keys[-1].tolist() == K.train(docs, slots).keys[-1].tolist()
+
+
+def test_held_counts_and_hashed_lookups(monkeypatch):
+    monkeypatch.setattr(K.HeldCounts, "LIMIT", 50)
+    pick = np.random.default_rng(2)
+    held, given, batches = K.HeldCounts(), [], []
+    for _ in range(40):
+        given.append(pick.integers(0, 300, 30) << 20)
+        held.add(given[-1])
+        batches += held.drain(100)
+    batches += held.drain()
+    assert len(batches) > 1
+    keys, counts = np.unique(np.concatenate(given), return_counts=True)
+    total = np.zeros(len(keys), np.int64)
+    for b in batches:
+        np.add.at(total, np.searchsorted(keys, b.column(0).to_numpy()), b.column(1).to_numpy())
+    assert (total == counts).all()
+
+    known = np.unique(pick.integers(0, 1 << 32, 5000, dtype=np.uint32))
+    table = K.SlotHash(known, -np.arange(len(known), dtype=np.float32))
+    assert (table.find(known) == -np.arange(len(known))).all()
+    others = np.setdiff1d(pick.integers(0, 1 << 32, 20000, dtype=np.uint32), known)
+    assert np.isnan(table.find(others)).all() and np.isnan(K.SlotHash(known[:0], np.zeros(0, np.float32)).find(others)).all()
+
+
+def test_views_are_scored_by_their_models():
+    pick = random.Random(4)
+    texts = ["".join(pick.choice("abcXY 12.é#") for _ in range(300)) for _ in range(12)]
+    slots = {"x": 0, "y": 1}
+    models = []
+    for view in K.VIEWS:
+        keys = []
+        for part in T.slices(pa.array(texts[:8])):
+            key, doc = K.gram_keys(part, view=view)
+            keys.append(key | (K.SLOTS * K.folds(part)[doc]) << (view.bits * K.ORDER))
+        models.append(K.KneserNey.fit(*np.unique(np.concatenate(keys), return_counts=True), K.ORDER, view.bits))
+    part = next(T.slices(pa.array(texts)))
+    langs = ["x", "y"] * 5 + ["x", "y"]
+    got = K.Scorer(models, slots).mean_logs(pa.array(texts), langs)
+    slot = np.array([slots[x] for x in langs]) + K.SLOTS * (1 - K.folds(part))
+    for view, model, means in zip(K.VIEWS, models, got):
+        key, doc = K.gram_keys(part, view=view)
+        logs = model.lookup(key | slot[doc] << (view.bits * K.ORDER), K.ORDER)
+        assert np.allclose(means, np.bincount(doc, logs) / np.diff(part.offsets), atol=1e-5)
