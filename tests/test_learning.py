@@ -140,3 +140,33 @@ def test_full_payload_is_explained(spark, model, tmp_path):
     src.write_predictions(out, str(tmp_path / "stored"))
     stored = spark.read.parquet(str(tmp_path / "stored")).first()
     assert stored["features_used"] == "[]" and stored["risk_factors"].startswith('[{"feature":"risk_class"')
+
+
+def test_code_is_shipped_once_by_threads(monkeypatch):
+    """Folds are fitted side by side; Spark refuses a second file of the same name from another path."""
+    import threading
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    from incidentlens.plans import workers
+
+    class Context:
+        applicationId = "app-of-this-test"
+        sent = []
+
+        def addPyFile(self, path):
+            time.sleep(0.05)
+            self.sent.append(path)
+
+    class Session:
+        sparkContext = Context()
+
+    start = threading.Barrier(3)
+
+    def ask(_):
+        start.wait()
+        workers.ship(Session)
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(ask, range(3)))
+    assert len(Context.sent) == 1
