@@ -20,10 +20,11 @@ from pyspark import StorageLevel
 
 ROW_BLOCK = 16_384
 SLICE = 4_096  # categories whose sums travel together
-GATHERED_BYTES = 32 << 20  # sums of a level that are no larger are added up by the driver, which saves a shuffle
+GATHERED_BYTES = 64 << 20  # sums of a level that take no more of the driver are added up by it, which saves a shuffle
 MERGED_ROWS = 65_536  # blocks of a partition are joined up to so many rows, as each costs the same few steps for a node and column
 PART_ROWS = 4_000_000  # of a task, where there are more rows than cores take at once
-REFRESH = 10  # trees after which the margins are kept anew
+WIDE = 1_024  # codes of a column, above which a block's sums are taken over the range of those that it has
+REFRESH = 5  # trees after which the margins are kept anew
 BINS = 256  # of a numeric column, at approximate quantiles
 
 
@@ -255,7 +256,7 @@ def fit_trees(blocks, widths: list[int], n_categorical: int, rows: int, heaviest
     inputs = np.cumsum([0] + [w if c < n_categorical else 1 for c, w in enumerate(widths)]).tolist()
     parts = blocks.getNumPartitions()
     tasks = max(1, min(parts, blocks.context.defaultParallelism * 4))
-    gathered = parts * 2 ** (settings.depth - 1) * sum(widths) * 16 <= GATHERED_BYTES
+    gathered = CodeSums(widths).gathered_bytes(parts, 2 ** (settings.depth - 1)) <= GATHERED_BYTES
     kept, trees, since = blocks.persist(StorageLevel.MEMORY_AND_DISK_DESER), [], []
     older = None
     try:
@@ -325,12 +326,25 @@ class CodeSums:
 
     def add(self, block: Block, place: np.ndarray, g: np.ndarray, h: np.ndarray, into: np.ndarray) -> None:
         """Add the rows' sums to ``into``, by (place, code)."""
+        if not len(place):
+            return
         for c in self.order:
-            width, start = self.widths[c] + 1, self.start[c]
-            code = place * width + block.codes[:, c] + 1
+            codes, width, start = block.codes[:, c], self.widths[c] + 1, self.start[c]
+            if width > WIDE:  # rows are dealt by ranges of the widest column, so a block has few of its codes
+                low, high = int(codes.min()), int(codes.max()) + 1
+                codes, width, start = codes - codes.dtype.type(low + 1), high - low, start + low + 1
+            code = place * width + codes + 1
             for i, x in enumerate((g, h)):
                 into[:, start:start + width, i] += np.bincount(code, x, len(into) * width).astype(np.int64).reshape(-1, width)
 
+    def gathered_bytes(self, parts: int, nodes: int) -> int:
+        """What a level of ``nodes`` takes of the driver: what ``parts`` tasks tell of half of the nodes, and the sums of all.
+
+        The tasks' ranges of the widest column together are that column, as rows are dealt by its codes; they may share their ends.
+        """
+        told = -(-nodes // 2) * (parts * (self.narrow + 1) + self.size - self.narrow)
+        return 16 * (told + 2 * nodes * self.size)
+
     def told(self, sums: np.ndarray) -> tuple[int, bytes, bytes]:
         met = np.flatnonzero(sums[:, self.narrow:].any((0, 2)))
         low, high = (self.narrow + int(met[0]), self.narrow + int(met[-1]) + 1) if len(met) else (self.narrow, self.narrow)

@@ -311,3 +311,29 @@ def test_numbers_of_a_model_in_hand():
     x = e.matrix([pd.Series(["3", "2", None, "2"]), pd.Series([1.0, 5.0, 4.0, None])])
     assert e.margins(x).tolist() == [2.0, 0.5, -1.0, 0.5]
     assert e.base == pytest.approx(0.4 * 2 + 0.6 * (-1 / 3 + 0.5 * 2 / 3))
+
+
+def test_sums_of_a_wide_column(monkeypatch):
+    """A block's sums over the range of its codes are those over all codes."""
+    monkeypatch.setattr(B, "WIDE", 5)
+    test_sums_of_parts_add_up()
+
+
+def test_many_categories_in_many_tasks_take_no_shuffle(spark, monkeypatch):
+    """What the driver adds up is bounded by what the tasks tell of their ranges, not by all codes for each task."""
+    pick = np.random.default_rng(6)
+    widths, parts, n = [60_000, 4], 12, 1200
+    codes = np.stack([np.sort(pick.integers(0, 40, n)) * 1500, pick.integers(0, 4, n)], 1).astype(np.int32)
+    y = (codes[:, 0] % 7 + codes[:, 1] + pick.random(n) > 4).astype(np.uint8)
+    blocks = [B.Block(np.asfortranarray(codes[a]), y[a], np.ones(len(a)), a.astype(np.int64), np.zeros(len(a)))
+              for a in np.array_split(np.arange(n), parts)]
+    settings = B.Settings(rounds=3)
+
+    def trees():
+        return [vars(t) for t in B.fit_trees(spark.sparkContext.parallelize(blocks, parts), widths, 2, n, 1.0, settings)[0]]
+
+    monkeypatch.setattr(B, "GATHERED_BYTES", 0)
+    want = trees()
+    monkeypatch.undo()
+    monkeypatch.setattr(B, "_level", lambda *a: pytest.fail("summed by a shuffle"))
+    assert trees() == want and len(want[0]["column"]) > 7
