@@ -36,10 +36,10 @@ def slot_attributions(model: BoostedModel, df: DataFrame, id_col: str = "id") ->
 
 def _by_feature(features: list):
     def run(ensemble: Ensemble, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), len(features)))
-        owner = np.array([features.index(f) for f, _ in ensemble.slots])
-        np.add.at(out.T, owner, ensemble.slot_contributions(x).T)
-        return out
+        out = np.zeros((len(features), len(x)))
+        for (feature, _), impact in zip(ensemble.slots, ensemble.slot_contributions(x).T):
+            out[features.index(feature)] += impact
+        return np.ascontiguousarray(out.T)
 
     return run
 

@@ -7,6 +7,7 @@ training dictionary), the values that fill gaps, and nothing else; scoring joins
 from __future__ import annotations
 
 import json
+from functools import cached_property, reduce
 from math import factorial
 
 import numpy as np
@@ -53,6 +54,7 @@ class Ensemble:
                                np.array([n["cover"] for n in part]), slot))
         self.slots = list(slots)
         self.leaves = [self._leaves(tree) for tree in self.trees]
+        self.upwards = [self._upwards(tree) for tree in self.trees]
 
     @staticmethod
     def _leaves(tree) -> list:
@@ -74,8 +76,8 @@ class Ensemble:
         return out
 
     def matrix(self, columns: list[pd.Series]) -> np.ndarray:
-        """Category numbers (-1: none that a split names) and numeric values (gaps: NaN) of a batch."""
-        out = np.empty((len(columns[0]), len(columns)))
+        """Category numbers (-1: none that a split names) and numeric values (gaps: NaN) of a batch; its columns lie together."""
+        out = np.empty((len(columns[0]), len(columns)), order="F")
         for i, values in enumerate(columns):
             if i < self.n_categorical:
                 out[:, i] = values.map(self.codes[i]).fillna(-1).to_numpy(np.float64)
@@ -84,19 +86,40 @@ class Ensemble:
         return out
 
     def goes_right(self, x: np.ndarray, tree) -> np.ndarray:
-        """For each row and node of a tree whether the row goes right there."""
+        """For each row and node of a tree whether the row goes right there; not at a leaf. Columns lie together."""
         column, split, gap_left = tree[:3]
-        value = x[:, np.maximum(column, 0)]
-        return np.where(column < self.n_categorical, value == split, np.where(np.isnan(value), ~gap_left, value >= split))
+        out = np.zeros((len(x), len(column)), bool, order="F")
+        for node in np.flatnonzero(column >= 0):
+            value, to = x[:, column[node]], out[:, node]
+            if column[node] < self.n_categorical:
+                np.equal(value, split[node], out=to)
+            elif gap_left[node]:
+                np.greater_equal(value, split[node], out=to)
+            else:  # true of a gap, too
+                np.logical_not(value < split[node], out=to)
+        return out
+
+    @staticmethod
+    def _upwards(tree) -> list[int]:
+        """The nodes of a tree, children before their parents."""
+        column, left, right = tree[0], tree[3], tree[4]
+        out, todo = [], [0]
+        while todo:
+            node = todo.pop()
+            out.append(node)
+            if column[node] >= 0:
+                todo += [int(left[node]), int(right[node])]
+        return out[::-1]
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        out, rows = np.zeros(len(x)), np.arange(len(x))
-        for tree in self.trees:
+        out = np.zeros(len(x))
+        for tree, upwards in zip(self.trees, self.upwards):
             column, _, _, left, right, value, *_ = tree
-            test, node = self.goes_right(x, tree), np.zeros(len(x), np.int64)
-            while (inner := column[node] >= 0).any():
-                node = np.where(inner, np.where(test[rows, node], right[node], left[node]), node)
-            out += value[node]
+            test, reached = self.goes_right(x, tree), {}
+            for node in upwards:
+                inner = column[node] >= 0
+                reached[node] = np.where(test[:, node], reached.pop(right[node]), reached.pop(left[node])) if inner else value[node]
+            out += reached[0]
         return out
 
     @property
@@ -104,23 +127,41 @@ class Ensemble:
         """The margin that is expected before any input is known."""
         return float(sum(value * np.prod(shares) for leaves in self.leaves for value, _, shares, _ in leaves))
 
+    @cached_property
+    def tables(self) -> list:
+        """For each leaf of few inputs its contributions, by input and pattern of met conditions."""
+        return [[self._table(*leaf[:3]) for leaf in leaves] for leaves in self.leaves]
+
+    @staticmethod
+    def _table(value, slots, shares) -> np.ndarray | None:
+        if not 0 < len(slots) <= TABLED:
+            return None
+        every = (np.arange(1 << len(slots))[:, None] >> np.arange(len(slots)) & 1).astype(bool)
+        return np.ascontiguousarray(path_contributions(every, shares, value).T)
+
     def slot_contributions(self, x: np.ndarray) -> np.ndarray:
         """Rows x slots: each input's additive share of the margin beyond ``base``."""
-        out = np.zeros((len(x), len(self.slots)))
-        for tree, leaves in zip(self.trees, self.leaves):
+        out = np.zeros((len(self.slots), len(x)))
+        for tree, leaves, tables in zip(self.trees, self.leaves, self.tables):
             test = self.goes_right(x, tree)
-            for value, slots, shares, tests in leaves:
+            other = ~test
+            for (value, slots, shares, tests), table in zip(leaves, tables):
                 if not slots:
                     continue
-                met = np.stack([np.all([test[:, node] == to_right for node, to_right in of_slot], axis=0) for of_slot in tests], 1)
-                pattern = met @ (1 << np.arange(len(slots))) if len(slots) < 63 else None
-                if len(slots) <= TABLED:
-                    every = (np.arange(1 << len(slots))[:, None] >> np.arange(len(slots)) & 1).astype(bool)
-                    out[:, slots] += path_contributions(every, shares, value)[pattern]
+                met = [reduce(np.logical_and, [(test if to_right else other)[:, node] for node, to_right in of_slot])
+                       for of_slot in tests]
+                if table is not None:
+                    pattern = met[0].astype(np.intp)
+                    for j, m in enumerate(met[1:], 1):
+                        pattern |= m.astype(np.intp) << j
+                    for slot, by_pattern in zip(slots, table):
+                        out[slot] += by_pattern[pattern]
                 else:
-                    kinds, which = np.unique(met, axis=0, return_inverse=True)
-                    out[:, slots] += path_contributions(kinds, shares, value)[which.reshape(-1)]
-        return out
+                    kinds, which = np.unique(np.stack(met, 1), axis=0, return_inverse=True)
+                    found = path_contributions(kinds, shares, value)[which.reshape(-1)]
+                    for j, slot in enumerate(slots):
+                        out[slot] += found[:, j]
+        return np.ascontiguousarray(out.T)
 
 
 def path_contributions(met: np.ndarray, shares: np.ndarray, value: float) -> np.ndarray:

@@ -2,6 +2,7 @@ import random
 from itertools import permutations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -337,3 +338,36 @@ def test_many_categories_in_many_tasks_take_no_shuffle(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(B, "_level", lambda *a: pytest.fail("summed by a shuffle"))
     assert trees() == want and len(want[0]["column"]) > 7
+
+
+def test_scores_and_contributions_equal_plain_walks():
+    """Row by row: the leaf that is reached, and what each met or unmet condition adds; gaps go where a split sends them."""
+    pick, nodes = np.random.default_rng(8), []
+    for tree in range(6):
+        inner = [(c, c < 2, pick.random() < 0.5) for c in pick.integers(0, 4, 7)]
+        for i in range(15):
+            c, category, gap_left = inner[i] if i < 7 else (None, False, True)
+            nodes.append({
+                "tree": tree, "node": i, "feature": None if c is None else "abcd"[c], "category": f"v{pick.integers(3)}" if category else None,
+                "threshold": None if c is None or category else float(pick.integers(4)), "gap_left": bool(gap_left),
+                "left": 2 * i + 1 if i < 7 else 0, "right": 2 * i + 2 if i < 7 else 0, "value": float(pick.normal()),
+                "cover": 2.0 ** (3 - (i + 1).bit_length())})
+    e = Ensemble(nodes, ["a", "b"], ["c", "d"])
+    columns = [pd.Series(pick.choice(["v0", "v1", "v2", "w", None], 40)) for _ in "ab"] + [
+        pd.Series(pick.choice([0.0, 1.0, 2.5, np.nan], 40)) for _ in "cd"]
+    want = []
+    for row in zip(*columns):
+        total = 0.0
+        for tree in range(6):
+            of, at = nodes[15 * tree:15 * tree + 15], 0
+            while of[at]["feature"] is not None:
+                n, v = of[at], row["abcd".index(of[at]["feature"])]
+                gap = n["category"] is None and np.isnan(v)
+                right = v == n["category"] if n["category"] else not n["gap_left"] if gap else v >= n["threshold"]
+                at = n["right"] if right else n["left"]
+            total += of[at]["value"]
+        want.append(total)
+    x = e.matrix(columns)
+    assert x.flags.f_contiguous and e.margins(x).tolist() == want
+    assert np.allclose(e.slot_contributions(x).sum(1) + e.base, want)
+    assert e.slot_contributions(x[:0]).shape == (0, len(e.slots)) and e.margins(x[:0]).shape == (0,)
