@@ -76,8 +76,18 @@ def _factors(t):
     return ops.top_risk_factors(ops.rule_attributions(scored_features(t)))
 
 
+def _flat(rows):
+    """``risk_factors`` as one row per factor.
+
+    The rows without a factor are dropped afterwards: for a plain ``posexplode`` Spark itself filters by the array's size below the
+    projections, and makes all factors once more there, each with every part that it shares with others written out.
+    """
+    placed = rows.select("id", F.posexplode_outer("risk_factors").alias("place", "f")).filter("place is not null")
+    return placed.select("id", "place", "f.*")
+
+
 def _flat_factors(t):
-    return _factors(t).select("id", F.posexplode("risk_factors").alias("place", "f")).select("id", "place", "f.*")
+    return _flat(_factors(t))
 
 
 def _bands(t):

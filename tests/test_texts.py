@@ -101,3 +101,21 @@ def test_named_model(spark):
     df = E.top_risk_factors(E.rule_attributions(spark.createDataFrame(ROWS, SCHEMA)))
     texts = [r["explanation"] for r in E.risk_narrative(df, model_name="boosted-tree").select(F.col("explanation")).collect()]
     assert all(t.startswith("The trained boosted-tree machine learning model estimated") for t in texts)
+
+
+def test_flat_factors(spark):
+    from incidentlens.catalog.explanation import _flat
+
+    df = E.top_risk_factors(E.rule_attributions(spark.createDataFrame(ROWS, SCHEMA)))
+    flat = _flat(df)
+    plan = flat._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(array(") == 1  # the contributions are put in order once, not again in a filter below
+    got = {(r["id"], r["place"]): (r["feature"], r["value"], r["importance"], r["impact"], r["description"]) for r in flat.collect()}
+    assert got == {(i, k): x for i in FACTORS for k, x in enumerate(FACTORS[i])}
+
+
+def test_flat_factors_of_none(spark):
+    from incidentlens.catalog.explanation import _flat
+
+    df = spark.createDataFrame([(1, [("type",)]), (2, []), (3, None), (4, [None])], "id int, risk_factors array<struct<feature:string>>")
+    assert [tuple(r) for r in _flat(df).orderBy("id").collect()] == [(1, 0, "type"), (4, 0, None)]
